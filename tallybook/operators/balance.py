@@ -8,7 +8,10 @@ from tallybook.functions import words as W
 from tallybook.functions.scalars import clean_desc, strip
 from tallybook.schemas import MONEY
 
-PLACE = F.struct("page_no", "line_no")
+
+
+def _place() -> Column:
+    return F.struct("page_no", "line_no")
 
 
 def file_balances(pages: DataFrame) -> DataFrame:
@@ -45,7 +48,7 @@ def _gaps(txn: DataFrame, balances: DataFrame) -> DataFrame:
 
 def _first_hit(rows: DataFrame, gaps: DataFrame, hit: Column) -> DataFrame:
     """First row per file, in reading order, that explains the gap. Kept map-side as one row per file."""
-    return (rows.join(gaps, "file").filter(hit).groupBy("file").agg(F.min(PLACE).alias("__at"))
+    return (rows.join(gaps, "file").filter(hit).groupBy("file").agg(F.min(_place()).alias("__at"))
             .select("file", "__at.page_no", "__at.line_no"))
 
 

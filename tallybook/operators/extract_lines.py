@@ -16,7 +16,10 @@ from tallybook.schemas import MONEY
 
 PAGE = ["file", "page_no"]
 PLACE = [*PAGE, "line_no"]
-NO_MONEY = F.lit(None).cast(MONEY)
+
+
+def _no_money() -> Column:
+    return F.lit(None).cast(MONEY)
 
 
 def _page_order():
@@ -29,7 +32,7 @@ def _page_group(start: Column) -> Column:
 
 
 def _txn(df: DataFrame, **extra: Column) -> DataFrame:
-    cols = {"doc_id": F.lit(None).cast("string"), "balance": NO_MONEY, **extra}
+    cols = {"doc_id": F.lit(None).cast("string"), "balance": _no_money(), **extra}
     return df.select(*PLACE, "date", F.col("amount").cast(MONEY).alias("amount"), "memo",
                      *[c.alias(n) for n, c in cols.items()])
 
@@ -67,7 +70,7 @@ def map_fields(lines: DataFrame, layout: dict) -> DataFrame:
     null = F.lit(None).cast("string")
 
     def number(name: str) -> Column:
-        return amount_with_seps(group[name], thousands, decimal) if name in group else NO_MONEY
+        return amount_with_seps(group[name], thousands, decimal) if name in group else _no_money()
 
     amount = number("amount")
     mark = F.translate(F.upper(strip(group.get("type", null))), "()", "")

@@ -105,27 +105,36 @@ def _day_counts(ledger: DataFrame, bank: DataFrame, keys: list[str]) -> DataFram
             .withColumn("m", F.least("nl", "nb")))
 
 
-def one_to_one_runs(ledger: DataFrame, bank: DataFrame, keys: list[str], tol: int = 3, exact: bool = True) -> DataFrame:
-    """J1 + J2 + J3 on counts: runs with their first match number.
+def _exact_runs(days: DataFrame, keys: list[str]) -> DataFrame:
+    one = F.lit(1).cast("bigint")
+    return days.filter("m > 0").select(
+        *keys, "cents", F.lit(0).alias("step"), F.col("date").alias("l_date"), one.alias("l_lo"),
+        F.col("date").alias("b_date"), one.alias("b_lo"), F.col("m").alias("n"))
+
+
+def _tolerant_runs(days: DataFrame, keys: list[str], tol: int) -> DataFrame:
+    """Runs on what the exact step leaves of every day: places from m + 1 on."""
+    rest = days.withColumn("sgn", F.lit(0)).withColumn("cls", F.col("cents"))
+
+    def left(count: str) -> DataFrame:
+        return rest.filter(F.col(count) > F.col("m")).select(
+            *keys, "cls", "date", "sgn", F.col("m").alias("start"), (F.col(count) - F.col("m")).alias("n"))
+
+    return greedy_counts(left("nl"), left("nb"), keys, tol, by_sign=False).select(
+        *keys, F.col("cls").alias("cents"), F.lit(1).alias("step"), F.col("d_date").alias("l_date"),
+        F.col("d_lo").alias("l_lo"), F.col("s_date").alias("b_date"), F.col("s_lo").alias("b_lo"), "n")
+
+
+def one_to_one_runs(ledger: DataFrame, bank: DataFrame, keys: list[str], tol: int | None = 3, exact: bool = True) -> DataFrame:
+    """J1 + J2 + J3 on counts: runs with their first match number. ``tol`` None leaves the tolerant step out.
 
     Columns: keys, cents, step (0 exact, 1 tolerant), l_date, l_lo, b_date, b_lo, n, first_no.
     """
     days = _day_counts(ledger, bank, keys)
     if not exact:
         days = days.withColumn("m", F.lit(0).cast("bigint"))
-    rest = days.withColumn("sgn", F.lit(0)).withColumn("cls", F.col("cents"))
-    demand = rest.filter("nl > m").select(*keys, "cls", "date", "sgn", F.col("m").alias("start"),
-                                          (F.col("nl") - F.col("m")).alias("n"))
-    supply = rest.filter("nb > m").select(*keys, "cls", "date", "sgn", F.col("m").alias("start"),
-                                          (F.col("nb") - F.col("m")).alias("n"))
-    runs = (greedy_counts(demand, supply, keys, tol, by_sign=False)
-            .select(*keys, F.col("cls").alias("cents"), F.lit(1).alias("step"), F.col("d_date").alias("l_date"),
-                    F.col("d_lo").alias("l_lo"), F.col("s_date").alias("b_date"), F.col("s_lo").alias("b_lo"), "n"))
-    if exact:
-        one = F.lit(1).cast("bigint")
-        runs = runs.unionByName(days.filter("m > 0").select(
-            *keys, "cents", F.lit(0).alias("step"), F.col("date").alias("l_date"), one.alias("l_lo"),
-            F.col("date").alias("b_date"), one.alias("b_lo"), F.col("m").alias("n")))
+    steps = ([_exact_runs(days, keys)] if exact else []) + ([_tolerant_runs(days, keys, tol)] if tol is not None else [])
+    runs = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
     runs = runs.withColumn("__a", F.struct("step", "l_date")).withColumn("__b", F.struct("cents", "l_lo"))
     return exclusive_prefix(runs, keys, ["__a", "__b"], "n", "first_no").drop("__a", "__b")
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tallybook.functions import words as W
 from tallybook.operators.ordering import id_block, ordinal
 
-MATCHED = F.col("status").contains(W.MATCHED)
+
+def _matched() -> Column:
+    return F.col("status").contains(W.MATCHED)
 
 
 def _sum_if(flag: Column, value: str = "cents") -> Column:
@@ -40,7 +42,7 @@ def status_counts(view: DataFrame, keys: list[str]) -> DataFrame:
 
 def status_buckets(view: DataFrame, keys: list[str]) -> DataFrame:
     """A13 pie buckets; empty ones do not appear."""
-    bucket = (F.when(MATCHED, W.MATCHED).when(F.col("status").contains("Banco"), "Pendente Banco")
+    bucket = (F.when(_matched(), W.MATCHED).when(F.col("status").contains("Banco"), "Pendente Banco")
               .when(F.col("status").contains("Diário"), "Pendente Diário"))
     return view.groupBy(*keys, bucket.alias("bucket")).agg(F.count("*").alias("n")).filter("bucket is not null")
 
@@ -48,7 +50,7 @@ def status_buckets(view: DataFrame, keys: list[str]) -> DataFrame:
 def recon_summary(view: DataFrame, keys: list[str]) -> DataFrame:
     """Counts, rate in per cent with one decimal, band."""
     s = view.groupBy(*keys).agg(
-        F.count("*").alias("total"), F.count_if(MATCHED).alias("matched"),
+        F.count("*").alias("total"), F.count_if(_matched()).alias("matched"),
         F.count_if(F.col("status") == W.BANK_ONLY).alias("bank_only"),
         F.count_if(F.col("status") == W.LEDGER_ONLY).alias("ledger_only"))
     rate = F.col("matched") * 100 / F.col("total")
@@ -68,7 +70,7 @@ def report_metrics(view: DataFrame, keys: list[str]) -> DataFrame:
 def bank_match_rate(view: DataFrame, keys: list[str]) -> DataFrame:
     """Per cent of the bank rows that are matched."""
     bank = F.col("source") == W.BANK_SRC
-    out = view.groupBy(*keys).agg(F.count_if(bank & MATCHED).alias("matched_bank"), F.count_if(bank).alias("bank_total"))
+    out = view.groupBy(*keys).agg(F.count_if(bank & _matched()).alias("matched_bank"), F.count_if(bank).alias("bank_total"))
     return out.withColumn("match_rate", F.when(F.col("bank_total") > 0, F.round(F.col("matched_bank") * 100.0 / F.col("bank_total"), 1))
                           .otherwise(0.0).cast("double"))
 
@@ -77,8 +79,8 @@ def flow_summary(view: DataFrame, keys: list[str]) -> DataFrame:
     """Matched rows of both sides with percentages, and what is left."""
     led, bank = F.col("source") == W.LEDGER_SRC, F.col("source") == W.BANK_SRC
     out = view.groupBy(*keys).agg(
-        F.count_if(led & MATCHED).alias("ledger_matched"), F.count_if(led).alias("ledger_total"),
-        F.count_if(bank & MATCHED).alias("bank_matched"), F.count_if(bank).alias("bank_total"))
+        F.count_if(led & _matched()).alias("ledger_matched"), F.count_if(led).alias("ledger_total"),
+        F.count_if(bank & _matched()).alias("bank_matched"), F.count_if(bank).alias("bank_total"))
     for side in ("ledger", "bank"):
         out = out.withColumn(f"{side}_pct", F.when(F.col(f"{side}_total") > 0, F.round(
             F.col(f"{side}_matched") * 100.0 / F.col(f"{side}_total"), 1)).cast("double"))
@@ -102,7 +104,7 @@ def entry_counters(entries: DataFrame, selected: DataFrame) -> DataFrame:
 
 def report_sheets(view: DataFrame, keys: list[str]) -> DataFrame:
     """K6: the rows of the three sheets and a TOTAL row each; ``ord`` is the row's place, the total comes last."""
-    sheet = (F.when(MATCHED, "Conciliados").when(F.col("status") == W.BANK_ONLY, "Apenas Banco")
+    sheet = (F.when(_matched(), "Conciliados").when(F.col("status") == W.BANK_ONLY, "Apenas Banco")
              .when(F.col("status") == W.LEDGER_ONLY, "Apenas Diário"))
     rows = view.withColumn("sheet", sheet).filter("sheet is not null").withColumn("__src", F.when(F.col("source") == W.LEDGER_SRC, 0).otherwise(1))
     rows = rows.withColumn("__blk", F.struct(F.col("__src").alias("a"), id_block().alias("b")))

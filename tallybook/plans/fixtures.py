@@ -76,10 +76,11 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("stmt-"), F.floor(F.col("o_orderkey") / ROWS_PER_FILE).cast("string")).alias("file"),
         (F.floor(n / ROWS_PER_PAGE) + 1).cast("int").alias("page_no"), (n % ROWS_PER_PAGE).cast("int").alias("slot"),
         F.col("o_orderdate").cast("date").alias("date"), F.when(neg, -mag).otherwise(mag).alias("cents"),
-        F.translate("o_orderpriority", "-", " ").alias("prio")
+        F.expr("substr(o_orderpriority, 3)").alias("prio")
     ).withColumn("mag_txt", fmt_brl(F.abs(from_cents("cents")))) \
      .withColumn("neg", F.col("cents") < 0) \
-     .withColumn("memo", F.concat(F.lit("MOV "), F.col("row_id").cast("string"), F.lit(" "), F.col("prio")))
+     .withColumn("memo", F.concat(F.lit("MOV N"), F.col("row_id").cast("string"), F.lit(" "), F.col("prio"))) \
+     .withColumn("dc", F.when(F.col("neg"), "D").otherwise("C"))
 
 
 def to_lines(mov: DataFrame, body: list[Column], header: list[Column] | None = None,
@@ -95,8 +96,11 @@ def to_lines(mov: DataFrame, body: list[Column], header: list[Column] | None = N
 
 def to_words(mov: DataFrame, words: list[tuple], gap: int = 12) -> DataFrame:
     """WORDS: (x0, text, line-in-row) per movement; a text of several words is split and spread to the right."""
-    items = [F.transform(F.split(text, " "), lambda w, i, x=x, dy=dy: F.struct(
-        (F.lit(float(x)) + i * 0.5).alias("x0"), F.lit(dy).alias("dy"), w.alias("text"))) for x, text, dy in words]
+    def spread(x: float, text: Column, dy: int) -> Column:
+        return F.transform(F.split(text, " "), lambda w, i: F.struct(
+            (F.lit(float(x)) + i * 0.5).alias("x0"), F.lit(dy).alias("dy"), w.alias("text")))
+
+    items = [spread(*w) for w in words]
     cells = F.filter(F.concat(*[F.coalesce(i, F.array().cast("array<struct<x0:double,dy:int,text:string>>")) for i in items]),
                      lambda w: F.length(w["text"]) > 0)
     return (mov.select("file", "page_no", "slot", F.explode(cells).alias("w"))
@@ -106,3 +110,18 @@ def to_words(mov: DataFrame, words: list[tuple], gap: int = 12) -> DataFrame:
 
 def date_br(pattern: str = "dd/MM/yyyy") -> Column:
     return F.date_format("date", pattern)
+
+
+def raw_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LEDGER_RAW: account 78 against a counter account, amounts unsigned, some dates and amounts unreadable."""
+    mov = movements(spark, sf_dir)
+    other = F.when(F.col("cust") % 50 == 0, F.lit("")).otherwise((F.col("cust") % 50 + 1000).cast("string"))
+    here = F.lit("78")
+    return mov.select(
+        F.regexp_replace("file", "stmt", "led").alias("file"), F.col("row_id").alias("pos"),
+        F.concat(F.lit("T"), F.col("row_id").cast("string")).alias("transaction_id"), F.col("cust").cast("string").alias("key"),
+        F.when(F.col("prio") == "HIGH", "31/02/2024").otherwise(date_br()).alias("date"),
+        F.when(F.col("neg"), other).otherwise(here).alias("debit_account"),
+        F.when(F.col("neg"), here).otherwise(other).alias("credit_account"),
+        F.when(F.col("prio") == "LOW", "sem valor").otherwise(F.abs(from_cents("cents")).cast("string")).alias("amount"),
+        F.col("memo").alias("description"))
