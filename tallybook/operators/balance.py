@@ -32,7 +32,7 @@ def validate_balance(txn: DataFrame, balances: DataFrame) -> DataFrame:
     calc = (F.col("bal_start") + F.col("total")).cast(MONEY)
     diff = F.abs(calc - F.col("bal_end")).cast(MONEY)
     known = F.col("bal_start").isNotNull() & F.col("bal_end").isNotNull()
-    two = lambda c: F.format_string("%.2f", c)
+    two = lambda c: c.cast(MONEY).cast("string")
     message = F.concat(F.lit("❌ Divergência: Calc: "), two(calc), F.lit(" | Real: "), two(F.col("bal_end")),
                        F.lit(" | Diff: "), two(diff))
     return _sums(txn, balances).select(

@@ -139,8 +139,8 @@ def append_batch(df: DataFrame, path: str, batch_id: str) -> None:
 def duplicates(df: DataFrame, cols: list[str]) -> DataFrame:
     """Every member of a group of equal rows, with the group's size."""
     sizes = df.groupBy(*cols).agg(F.count("*").alias("copies")).filter("copies > 1")
-    on = [df[c].eqNullSafe(sizes[c]) for c in cols]
-    return df.join(sizes, on).select(*[df[c] for c in df.columns], "copies")
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cols]
+    return df.alias("a").join(sizes.alias("b"), on).select("a.*", "b.copies")
 
 
 def extraction_diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.scalars import iso_text_to_br
 from tallybook.operators.ordering import ordinal
+from tallybook.schemas import MONEY
 
 # fixed values: defaults of an entry
 DEFAULTS = {"conta_debito": "78", "participante_debito": "", "conta_credito": "6670", "participante_credito": "", "documento": "001"}
@@ -46,7 +47,7 @@ def to_journal_lines(entries: DataFrame, keys: list[str], seq: str = "id") -> Da
     day = F.col("date") if iso else F.date_format("date", "yyyy-MM-dd")
     rows = ordinal(entries.withColumn("__day", day), keys, ["__day"], [seq], "n")
     text = [F.coalesce(F.col(c), F.lit("")) for c in ("conta_debito", "participante_debito", "conta_credito", "participante_credito")]
-    line = F.concat_ws(",", F.col("n").cast("string"), iso_text_to_br("__day"), *text, F.format_string("%.2f", "amount"), F.lit(""),
+    line = F.concat_ws(",", F.col("n").cast("string"), iso_text_to_br("__day"), *text, F.col("amount").cast(MONEY).cast("string"), F.lit(""),
                        F.coalesce("description", F.lit("")), F.lit("DCTO"), F.lit(""), F.coalesce("documento", F.lit("")))
     return rows.select(*keys, "n", line.alias("line"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.scalars import surrogate_id
 from tallybook.operators.ordering import id_block, ordinal
+from tallybook.schemas import MONEY
 
 # fixed values: document header and kept transaction types
 HEADER = ["OFXHEADER:100", "DATA:OFXSGML", "VERSION:102", "SECURITY:NONE", "ENCODING:UTF-8", "CHARSET:1252", "COMPRESSION:NONE",
@@ -28,7 +29,7 @@ def ofx_row(txn: DataFrame) -> DataFrame:
     kind = F.when(kind.isin(TYPES), kind).when(F.col("amount") < 0, "DEBIT").otherwise("CREDIT")
     ident = F.coalesce(F.nullif("fitid", F.lit("")), surrogate_id(F.col("date"), F.col("amount"), F.col("memo")))
     return txn.select("*", kind.alias("trntype"), F.date_format("date", "yyyyMMddHHmmss").alias("dtposted"),
-                      F.format_string("%.2f", "amount").alias("trnamt"), ident.alias("ident"),
+                      F.col("amount").cast(MONEY).cast("string").alias("trnamt"), ident.alias("ident"),
                       F.nullif("doc_id", F.lit("")).alias("checknum"))
 
 

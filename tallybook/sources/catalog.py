@@ -11,9 +11,10 @@ from tallybook.schemas import ACTIVITY, LAYOUT
 MAX_LAYOUTS = 2000
 
 
-def read_layouts(spark: SparkSession, folder: str) -> DataFrame:
+def read_layouts(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
     """One row per layout file; ``priority`` is the file name. Missing options get their defaults."""
-    raw = (spark.read.schema(LAYOUT).option("multiLine", "true").option("pathGlobFilter", "*.json").json(folder)
+    raw = (spark.read.schema(LAYOUT).option("multiLine", "true").option("pathGlobFilter", pattern)
+           .option("recursiveFileLookup", "true").json(folder)
            .select("*", F.col("_metadata.file_name").alias("priority")))
     defaults = {"has_balance_cleanup": F.lit(True), "amount_decimal_separator": F.lit(","), "amount_thousand_separator": F.lit("."),
                 "date_format": F.lit("%d/%m/%Y"), "header_keywords": F.array().cast("array<string>")}
@@ -121,10 +122,10 @@ def with_sublayout(pages: DataFrame) -> DataFrame:
 
 # ---- S11, S13 ------------------------------------------------------------------------------------
 
-def file_catalog(spark: SparkSession, root: str, meta: DataFrame | None = None) -> DataFrame:
-    """Every .pdf / .ofx below ``root``; ``meta``: file, bank, agency, account, start_date, end_date."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-             .filter(F.lower("path").rlike(r"\.(pdf|ofx)$")))
+def file_catalog(spark: SparkSession, root: str, meta: DataFrame | None = None, pattern: str = r"\.(pdf|ofx)$") -> DataFrame:
+    """Every .pdf / .ofx below ``root``; ``meta``: file (path), bank, agency, account, start_date, end_date."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("_metadata.file_path").alias("path"))
+             .filter(F.lower("path").rlike(pattern)))
     name = F.element_at(F.split("path", "/"), -1)
     files = files.select(F.lit(False).alias("selected"), name.alias("filename"),
                          F.upper(F.element_at(F.split(name, r"\."), -1)).alias("type"), "path")
@@ -133,7 +134,7 @@ def file_catalog(spark: SparkSession, root: str, meta: DataFrame | None = None)
     period = (F.when(F.col("start_date").isNotNull() & F.col("end_date").isNotNull(),
                      F.concat_ws(" - ", fmt_date_br("start_date"), fmt_date_br("end_date")))
               .when(F.col("start_date").isNotNull(), F.concat(F.lit("Inicio: "), fmt_date_br("start_date"))).otherwise(""))
-    return files.join(meta, files["filename"] == meta["file"], "left").select(
+    return files.join(meta, files["path"] == meta["file"], "left").select(
         *files.columns, *[F.coalesce(c, F.lit("")).alias(c) for c in ("bank", "agency", "account")], period.alias("period"))
 
 

@@ -33,7 +33,7 @@ def read_ledger_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_plain_ledger_csv(spark: SparkSession, path: str, columns: str, structured: DataFrame | None = None) -> DataFrame:
     """S1 fallback: comma CSV with a header, for the files that have no line of the export's shape."""
     rows = (spark.read.option("header", "true").option("recursiveFileLookup", "true").schema(columns).csv(path)
-            .select("*", F.col("_metadata.file_name").alias("file")))
+            .select("*", F.col("_metadata.file_path").alias("file")))
     if structured is not None:
         rows = rows.join(structured.select("file").distinct(), "file", "left_anti")
     date = F.coalesce(F.col("date").try_cast("date"), parse_date("date"))

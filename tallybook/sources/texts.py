@@ -24,14 +24,14 @@ def cp1252(raw: Column) -> Column:
 
 
 def read_records(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
-    """(file, pos, value): ``pos`` grows with the place in the file.
+    """(file, pos, value): ``file`` is the path, ``pos`` grows with the place in the file.
 
     Large files are split over tasks. A record's pos is the byte offset of its split plus its number inside the
     split; a split never has more records than bytes, so the order holds across splits.
     """
     raw = spark.read.option("lineSep", separator).option("recursiveFileLookup", "true").text(path)
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return raw.select(F.col("_metadata.file_name").alias("file"),
+    return raw.select(F.col("_metadata.file_path").alias("file"),
                       (F.col("_metadata.file_block_start") + local).alias("pos"), F.col("value"))
 
 
