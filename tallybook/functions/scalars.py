@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions import words as W
@@ -26,6 +26,29 @@ def has(c: Column | str, pattern: str) -> Column:
     return col(c).rlike(pattern)
 
 
+GROUP_MARK = "\x01"
+
+
+def groups(c: Column | str, pattern: str, n: int) -> Column:
+    """All n groups of the first match in one pass, null without a match; a group that took no part is ''."""
+    marks = GROUP_MARK.join(f"${i}" for i in range(1, n + 1))
+    return F.when(has(c, pattern), F.split(F.regexp_replace(col(c), f"(?s)^.*?(?:{pattern}).*$", marks), GROUP_MARK))
+
+
+def g(i: int, name: str = "g") -> Column:
+    """Group i (from 1) of a ``groups`` column."""
+    return F.get(F.col(name), F.lit(i - 1))
+
+
+def once(df: DataFrame, keep: list[str], *cols: Column) -> DataFrame:
+    """Select whose columns are computed one time.
+
+    A plain select is merged into every later filter and projection that uses it, and a regular expression or a
+    number parse would then run once per use; the one-row generator keeps it in place.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*cols))))
+
+
 def any_of(words: list[str]) -> str:
     """Regex alternation of literal words."""
     return "|".join(re.escape(w) for w in words)

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions import words as W
-from tallybook.functions.scalars import (amount_with_seps, br_amount_abs, fitid, has, has_word, is_continuation, or_null,
-                                         parse_date, rx, signed, strip, to_layout_date)
+from tallybook.functions.scalars import (amount_with_seps, br_amount_abs, fitid, g, groups, has, has_word, is_continuation, once,
+                                         or_null, parse_date, rx, signed, strip, to_layout_date)
 from tallybook.operators.ordering import joined_text, previous, running_count
 from tallybook.schemas import MONEY
 
@@ -56,7 +56,18 @@ def _first_last(df: DataFrame, start: Column | None, end: Column | None, group:
 
 def _dc(text: Column, pattern: str, value: int, mark: int) -> Column:
     """Amount with a C / D mark; null where the pattern does not match."""
-    return F.when(has(text, pattern), signed(br_amount_abs(rx(text, pattern, value)), rx(text, pattern, mark) == "D"))
+    return F.when(has(text, pattern), _marked(rx(text, pattern, value), rx(text, pattern, mark)))
+
+
+def _marked(value: Column, mark: Column, negative: str = "D") -> Column:
+    return signed(br_amount_abs(value), mark == negative)
+
+
+def _matched(lines: DataFrame, pattern: str, n: int, text: Column | None = None, keep: Column | None = None) -> DataFrame:
+    """Lines on which the pattern occurs, with its groups as ``g``."""
+    text = F.col("text") if text is None else text
+    rows = lines if keep is None else lines.filter(keep)
+    return once(rows, PLACE, groups(text, pattern, n).alias("g")).filter("g is not null")
 
 
 # ---- X1-X6: layout-driven ------------------------------------------------------------------------
@@ -66,7 +77,9 @@ def map_fields(lines: DataFrame, layout: dict) -> DataFrame:
     pattern = "^(?:" + layout["line_pattern"] + ")"
     thousands = layout.get("amount_thousand_separator", ".")
     decimal = layout.get("amount_decimal_separator", ",")
-    group = {c["name"]: or_null(rx("text", pattern, c["match_group"])) for c in layout["columns"] if c.get("match_group")}
+    number_of = {c["name"]: c["match_group"] for c in layout["columns"] if c.get("match_group")}
+    lines = once(lines, lines.columns, groups("text", pattern, max(number_of.values(), default=1)).alias("g"))
+    group = {name: or_null(g(i)) for name, i in number_of.items()}
     null = F.lit(None).cast("string")
 
     def number(name: str) -> Column:
@@ -84,18 +97,16 @@ def map_fields(lines: DataFrame, layout: dict) -> DataFrame:
     elif "amount_credit" in group:
         amount = F.when(credit > 0, credit).otherwise(amount)
     date = to_layout_date(group["date"], layout.get("date_format", "%d/%m/%Y")) if "date" in group else F.lit(None).cast("date")
-    return lines.select(
-        *lines.columns, has("text", pattern).alias("is_match"), date.alias("date"),
-        F.coalesce(amount, F.lit(0)).cast(MONEY).alias("amount"),
-        F.coalesce(strip(group.get("memo", null)), F.lit("")).alias("memo"),
-        strip(group.get("doc_id", null)).alias("doc_id"),
-    ).withColumn("type", F.when(F.col("amount") < 0, "DEBIT").otherwise("CREDIT")) \
-     .withColumn("fitid", fitid(F.col("date"), F.col("amount")))
+    rows = once(lines, [c for c in lines.columns if c != "g"], F.col("g").isNotNull().alias("is_match"), date.alias("date"),
+                F.coalesce(amount, F.lit(0)).cast(MONEY).alias("amount"),
+                F.coalesce(strip(group.get("memo", null)), F.lit("")).alias("memo"), strip(group.get("doc_id", null)).alias("doc_id"))
+    return (rows.withColumn("type", F.when(F.col("amount") < 0, "DEBIT").otherwise("CREDIT"))
+            .withColumn("fitid", fitid(F.col("date"), F.col("amount"))))
 
 
 def split_discarded(mapped: DataFrame, cleanup: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows kept, rows put aside for recovery); zero amounts are in neither."""
-    real = F.col("is_match") & (F.abs("amount") > 0.001)
+    real = F.col("is_match") & (F.col("amount") != 0)
     blocked = has(F.lower("memo"), "|".join(W.BALANCE_MEMO_BLOCK)) if cleanup else F.lit(False)
     return mapped.filter(real & ~blocked), mapped.filter(real & blocked)
 
@@ -111,7 +122,7 @@ def extract_generic(lines: DataFrame, layout: dict) -> tuple[DataFrame, DataFram
     mapped = map_fields(lines, layout)
     cleanup = layout.get("has_balance_cleanup", True)
     blocked = has(F.lower("memo"), "|".join(W.BALANCE_MEMO_BLOCK)) if cleanup else F.lit(False)
-    start = F.col("is_match") & (F.abs("amount") > 0.001) & ~blocked
+    start = F.col("is_match") & (F.col("amount") != 0) & ~blocked
     more = ~F.col("is_match") & is_continuation("text")
     rows = mapped.filter(start | more).withColumn("is_start", start)
     rows = running_count(rows, ["file"], "page_no", ["line_no"], F.col("is_start"), "grp").filter("grp > 0")
@@ -131,7 +142,7 @@ def extract_memo_above(lines: DataFrame, layout: dict) -> DataFrame:
     rows = previous(map_fields(text, layout), ["file"], "page_no", ["line_no"],
                     {"above": F.col("text"), "above_match": F.col("is_match")})
     usable = ~F.col("above_match") & ~has_word("above", [w.upper() for w in W.HEADER_ABOVE])
-    return (rows.filter(F.col("is_match") & (F.abs("amount") > 0.001))
+    return (rows.filter(F.col("is_match") & (F.col("amount") != 0))
             .withColumn("memo", F.when(usable, F.col("above")).otherwise(F.lit(W.NO_DESCRIPTION))).select(*GENERIC))
 
 
@@ -164,18 +175,19 @@ def _before(text: Column, pattern: str) -> Column:
 
 
 def _g331(lines: DataFrame) -> DataFrame:
-    t = strip("text")
+    rows = once(lines, PLACE, strip("text").alias("text"))
+    rows = once(rows, [*PLACE, "text"], groups("text", G331, 8).alias("g"))
+    t = F.col("text")
     closing = t.contains("S A L D O") | t.contains("Saldo Atual")
-    txn = has(t, G331) & ~closing & ~t.contains("Saldo Anterior") & parse_date(rx(t, G331)).isNotNull()
-    row_bal = F.when(txn & (rx(t, G331, 7) != ""), F.when(rx(t, G331, 8) == "D", -br_amount_abs(rx(t, G331, 7)))
-                     .otherwise(br_amount_abs(rx(t, G331, 7))))
-    return lines.select(
-        *PLACE, t.alias("text"), txn.alias("is_txn"), closing.alias("is_closing"),
-        (~txn & (has(t, r"\d{2}/\d{2}/\d{4}") | has_word(t, W.G331_STOP))).alias("is_stop"),
-        F.when(txn, parse_date(rx(t, G331))).alias("date"),
-        F.when(txn, signed(br_amount_abs(rx(t, G331, 5)), rx(t, G331, 6) == "D")).alias("amount"),
-        row_bal.cast(MONEY).alias("balance"),
-        F.when(txn, F.concat_ws(" ", or_null(_before(t, G331)), strip(rx(t, G331, 4)))).alias("memo"))
+    date = F.when(~closing & ~t.contains("Saldo Anterior"), parse_date(g(1)))
+    rows = once(rows, [*PLACE, "text", "g"], date.alias("date"), closing.alias("is_closing"), (
+        has(t, r"\d{2}/\d{2}/\d{4}") | has_word(t, W.G331_STOP)).alias("may_stop"))
+    txn = F.col("date").isNotNull()
+    # a printed balance counts against the account only with a D
+    balance = F.when(txn & (g(7) != ""), F.when(g(8) == "D", -br_amount_abs(g(7))).otherwise(br_amount_abs(g(7))))
+    return once(rows, [*PLACE, "text", "date", "is_closing"], txn.alias("is_txn"), (~txn & F.col("may_stop")).alias("is_stop"),
+                F.when(txn, _marked(g(5), g(6))).alias("amount"), balance.cast(MONEY).alias("balance"),
+                F.when(txn, F.concat_ws(" ", or_null(_before(t, G331)), strip(g(4)))).alias("memo"))
 
 
 def extract_bb_g331(lines: DataFrame) -> DataFrame:
@@ -196,17 +208,16 @@ def bb_g331_balances(lines: DataFrame) -> DataFrame:
 
 
 def _dot(lines: DataFrame) -> DataFrame:
-    t = strip("text")
-    rest = rx(t, DOT_LINE, 2)
-    dated, opening = has(t, DOT_LINE), rest.contains("Saldo anterior")
-    txn = dated & ~opening & has(rest, DOT_TAIL)
-    bal = F.when(txn & (rx(rest, DOT_TAIL, 3) != ""), signed(br_amount_abs(rx(rest, DOT_TAIL, 3)), rx(rest, DOT_TAIL, 4) == "D"))
-    return lines.select(
-        *PLACE, t.alias("text"), dated.alias("is_dated"), txn.alias("is_txn"),
-        F.when(dated & opening, _dc(rest, DOT_TAIL, 1, 2)).alias("opening"),
-        F.when(txn, parse_date(rx(t, DOT_LINE), "dd.MM.yyyy")).alias("date"),
-        F.when(txn, _dc(rest, DOT_TAIL, 1, 2)).alias("amount"), bal.alias("balance"),
-        F.when(txn, _before(rest, DOT_TAIL)).alias("memo"))
+    rows = once(lines, PLACE, strip("text").alias("text"))
+    rows = once(rows, [*PLACE, "text"], groups("text", DOT_LINE, 2).alias("line"))
+    rest = g(2, "line")
+    rows = once(rows, [*PLACE, "text", "line"], groups(rest, DOT_TAIL, 4).alias("g"), F.col("line").isNotNull().alias("is_dated"),
+                F.coalesce(rest.contains("Saldo anterior"), F.lit(False)).alias("is_opening"))
+    txn = F.col("g").isNotNull() & ~F.col("is_opening")
+    return once(rows, [*PLACE, "text", "is_dated"], txn.alias("is_txn"),
+                F.when(F.col("is_opening"), _marked(g(1), g(2))).alias("opening"), F.when(txn, parse_date(g(1, "line"), "dd.MM.yyyy")).alias("date"),
+                F.when(txn, _marked(g(1), g(2))).alias("amount"), F.when(txn & (g(3) != ""), _marked(g(3), g(4))).alias("balance"),
+                F.when(txn, _before(rest, DOT_TAIL)).alias("memo"))
 
 
 def extract_bb_dot(lines: DataFrame) -> DataFrame:
@@ -234,50 +245,46 @@ def _compact_year(raw: Column, known_digit: Column, default_year: int) -> Column
 
 def extract_bb_full(lines: DataFrame, default_year: int) -> DataFrame:
     """X12."""
-    t = strip("text")
-    usable = ~has_word(t, W.FULL_HEADER)
-    full = usable & has(t, FULL)
-    compact = usable & ~has(t, FULL) & has(t, COMPACT)
-    raw = F.when(full, rx(t, FULL)).when(compact, rx(t, COMPACT))
-    rows = lines.select(*PLACE, t.alias("text"), full.alias("is_full"), raw.alias("raw")).filter("raw is not null")
-    whole = F.when((F.length("raw") == 10) & parse_date("raw").isNotNull(), F.substring("raw", 10, 1))
-    digit = F.last(whole, ignorenulls=True).over(_page_order().rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("date", parse_date(_compact_year(F.col("raw"), digit, default_year))).filter("date is not null")
-    t = F.col("text")
-    return _txn(rows.select(
-        *PLACE, "date",
-        F.when(F.col("is_full"), signed(br_amount_abs(rx(t, FULL, 5)), rx(t, FULL, 6) == "D"))
-        .otherwise(signed(br_amount_abs(rx(t, COMPACT, 3)), rx(t, COMPACT, 4) == "-")).alias("amount"),
-        F.when(F.col("is_full"), strip(rx(t, FULL, 4))).otherwise(strip(rx(t, COMPACT, 2))).alias("memo")))
+    rows = once(lines, PLACE, strip("text").alias("text")).filter(~has_word("text", W.FULL_HEADER))
+    rows = once(rows, PLACE, groups("text", FULL, 6).alias("f"), groups("text", COMPACT, 4).alias("k"))
+    rows = rows.filter("f is not null or k is not null")
+    full = F.col("f").isNotNull()
+    rows = once(rows, PLACE, F.when(full, g(1, "f")).otherwise(g(1, "k")).alias("raw"),
+                F.when(full, _marked(g(5, "f"), g(6, "f"))).otherwise(_marked(g(3, "k"), g(4, "k"), "-")).alias("amount"),
+                strip(F.when(full, g(4, "f")).otherwise(g(2, "k"))).alias("memo"))
+    return _txn(_with_year(rows, default_year, "date").filter("date is not null"))
+
+
+def _with_year(rows: DataFrame, default_year: int, name: str) -> DataFrame:
+    """Date from ``raw``; a three-digit year takes its last digit from the row before."""
+    rows = once(rows, rows.columns, F.when((F.length("raw") == 10) & parse_date("raw").isNotNull(), F.substring("raw", 10, 1)).alias("__whole"))
+    digit = F.last("__whole", ignorenulls=True).over(_page_order().rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__digit", digit)
+    return once(rows, [c for c in rows.columns if not c.startswith("__") and c != "raw"],
+                parse_date(_compact_year(F.col("raw"), F.col("__digit"), default_year)).alias(name))
 
 
 def extract_bb_simple(lines: DataFrame, default_year: int) -> DataFrame:
     """Compact rows; a date alone, its amount within the next four lines; date and text, its amount on this
     line or the next. Lines used by a row above are not read again."""
-    t = strip("text")
     page = _page_order()
-    rows = lines.select(*PLACE, t.alias("text"))
+    rows = once(lines, PLACE, strip("text").alias("text"))
     t = F.col("text")
-    raw = F.when(has(t, COMPACT), rx(t, COMPACT))
-    whole = F.when((F.length(raw) == 10) & parse_date(raw).isNotNull(), F.substring(raw, 10, 1))
-    digit = F.last(whole, ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("c_date", parse_date(_compact_year(raw, digit, default_year)))
-    dated = r"^\d{2}/\d{2}/\d{4}"
-    rest = rx(t, r"^(\d{2}/\d{2}/\d{4})\s+(.*)", 2)
-    rows = rows.select(
-        "*", parse_date(rx(t, r"^(\d{2}/\d{2}/\d{4})")).alias("d_date"), has(t, dated).alias("is_dated"),
-        has(t, PLUS_MINUS).alias("has_amt"),
-        signed(br_amount_abs(rx(t, PLUS_MINUS)), rx(t, PLUS_MINUS, 2) == "-").alias("amt"),
-        _before(t, PLUS_MINUS).alias("lead_txt"), rest.alias("rest"))
-    is_c = F.col("c_date").isNotNull()
-    is_d = ~is_c & has(t, r"^\d{2}/\d{2}/\d{4}\s*$") & F.col("d_date").isNotNull()
-    is_t = ~is_c & has(t, r"^\d{2}/\d{2}/\d{4}\s+.+") & F.col("d_date").isNotNull() & ~has_word("rest", W.SIMPLE_HEADER)
-    rows = rows.select("*", is_c.alias("is_c"), is_d.alias("is_d"), is_t.alias("is_t"))
+    rows = once(rows, [*PLACE, "text"], groups(t, COMPACT, 4).alias("k"), groups(t, PLUS_MINUS, 2).alias("pm"),
+                groups(t, r"^(\d{2}/\d{2}/\d{4})(?:\s+(.*))?", 2).alias("d"), has(t, r"^\d{2}/\d{2}/\d{4}\s*$").alias("alone"))
+    rows = _with_year(rows.withColumn("raw", g(1, "k")), default_year, "c_date")
+    rows = once(rows, [*PLACE, "text", "k", "c_date", "alone"], F.col("d").isNotNull().alias("is_dated"), parse_date(g(1, "d")).alias("d_date"),
+                F.col("pm").isNotNull().alias("has_amt"), _marked(g(1, "pm"), g(2, "pm"), "-").alias("amt"), _before(t, PLUS_MINUS).alias("lead_txt"),
+                F.coalesce(g(2, "d"), F.lit("")).alias("rest"))
+    usable = F.col("c_date").isNull() & F.col("d_date").isNotNull()
+    rows = once(rows, [c for c in rows.columns if c not in ("alone", "d_date")], F.col("c_date").isNotNull().alias("is_c"),
+                (usable & F.col("alone")).alias("is_d"), (usable & ~F.col("alone") & (F.col("rest") != "") & ~has_word("rest", W.SIMPLE_HEADER)).alias("is_t"),
+                "d_date")
     cell = F.struct("text", "is_dated", "has_amt", "amt", "lead_txt")
     rows = rows.withColumn("ahead", F.collect_list(cell).over(page.rowsBetween(1, 4)))
     # first line ahead that ends the search: a dated line or an amount
     ends = F.transform("ahead", lambda x: (x["text"] != "") & (x["is_dated"] | x["has_amt"]))
-    rows = rows.withColumn("at", F.array_position(ends, F.lit(True)).cast("int"))
+    rows = once(rows, rows.columns, F.array_position(ends, F.lit(True)).cast("int").alias("at"))
     hit = F.when(F.col("at") > 0, F.get("ahead", F.col("at") - 1))
     d_ok = F.col("is_d") & (F.col("at") > 0) & ~hit["is_dated"]
     between = F.filter(F.transform(F.slice("ahead", 1, F.greatest(F.col("at") - 1, F.lit(0))), lambda x: x["text"]), lambda x: x != "")
@@ -295,10 +302,10 @@ def extract_bb_simple(lines: DataFrame, default_year: int) -> DataFrame:
     out = rows.select(
         *PLACE,
         F.when(F.col("is_c"), F.col("c_date")).otherwise(F.col("d_date")).alias("date"),
-        F.when(F.col("is_c"), signed(br_amount_abs(rx(t, COMPACT, 3)), rx(t, COMPACT, 4) == "-"))
+        F.when(F.col("is_c"), _marked(g(3, "k"), g(4, "k"), "-"))
         .when(F.col("d_ok"), F.col("d_amt")).when(F.col("t_next"), F.col("n_amt"))
         .when(F.col("is_t") & F.col("has_amt"), F.col("amt")).alias("amount"),
-        F.when(F.col("is_c"), strip(rx(t, COMPACT, 2))).when(F.col("is_d"), F.col("d_memo")).otherwise(t_memo).alias("memo"),
+        F.when(F.col("is_c"), strip(g(2, "k"))).when(F.col("is_d"), F.col("d_memo")).otherwise(t_memo).alias("memo"),
         (F.col("is_c") | F.col("d_ok") | F.col("is_t")).alias("keep"), "is_c")
     return _txn(out.filter(F.col("keep") & F.col("amount").isNotNull() & (F.col("is_c") | (F.col("memo") != ""))))
 
@@ -315,10 +322,9 @@ SIMPLE = r"^(\d{2}/\d{2}(?:/\d{4})?)\s+(.+?)\s+(-?[\d\.]+,\d{2})\s?([DC])?$"
 
 def extract_cef(lines: DataFrame) -> DataFrame:
     """X14."""
-    t = strip("text")
-    rows = lines.filter(has(t, CEF) & ~has(t, CEF_OPENING)).select(
-        *PLACE, parse_date(rx(t, CEF)).alias("date"), _dc(t, CEF, 4, 5).alias("amount"), strip(rx(t, CEF, 3)).alias("memo"),
-        rx(t, CEF, 2).alias("doc"), _dc(t, CEF, 6, 7).alias("bal"))
+    rows = _matched(lines, CEF, 7, strip("text"), ~has("text", CEF_OPENING))
+    rows = once(rows, PLACE, parse_date(g(1)).alias("date"), _marked(g(4), g(5)).alias("amount"), strip(g(3)).alias("memo"), g(2).alias("doc"),
+                _marked(g(6), g(7)).alias("bal"))
     return _txn(rows.filter("date is not null"), doc_id=F.col("doc"), balance=F.col("bal"))
 
 
@@ -330,10 +336,8 @@ def cef_balances(lines: DataFrame) -> DataFrame:
 
 def extract_santander(lines: DataFrame) -> DataFrame:
     """X15."""
-    t = strip("text")
-    rows = lines.filter(has(t, SANTANDER) & ~has(t, SANTANDER_DAY)).select(
-        *PLACE, parse_date(rx(t, SANTANDER)).alias("date"), strip(rx(t, SANTANDER, 2)).alias("memo"),
-        signed(br_amount_abs(rx(t, SANTANDER, 4)), rx(t, SANTANDER, 3) == "-").alias("amount"))
+    rows = _matched(lines, SANTANDER, 4, strip("text"), ~has("text", SANTANDER_DAY))
+    rows = once(rows, PLACE, parse_date(g(1)).alias("date"), strip(g(2)).alias("memo"), _marked(g(4), g(3), "-").alias("amount"))
     return _txn(rows.filter("date is not null"))
 
 
@@ -345,13 +349,9 @@ def santander_balances(lines: DataFrame) -> DataFrame:
 
 
 def extract_sicredi(lines: DataFrame) -> DataFrame:
-    """X16."""
-    t = F.col("text")
-    rows = lines.filter(has(t, SICREDI)).select(
-        *PLACE, parse_date(rx(t, SICREDI)).alias("date"), strip(rx(t, SICREDI, 2)).alias("memo"),
-        signed(br_amount_abs(rx(t, SICREDI, 3)), rx(t, SICREDI, 3).contains("-")).alias("amount"),
-        br_amount_abs(rx(t, SICREDI, 4)).alias("closing"))
-    # the row balance closes the page but is not part of the row
+    """X16. The row balance closes the page but is not part of the row."""
+    rows = _matched(lines, SICREDI, 4)
+    rows = once(rows, PLACE, parse_date(g(1)).alias("date"), strip(g(2)).alias("memo"), signed(br_amount_abs(g(3)), g(3).contains("-")).alias("amount"))
     return _txn(rows.filter("date is not null"))
 
 
@@ -366,13 +366,11 @@ def sicredi_balances(lines: DataFrame) -> DataFrame:
 
 def extract_simple(lines: DataFrame, default_year: int) -> DataFrame:
     """X23."""
-    t = F.col("text")
-    raw, value, mark = rx(t, SIMPLE), rx(t, SIMPLE, 3), rx(t, SIMPLE, 4)
+    raw, value, mark = g(1), g(3), g(4)
     date = parse_date(F.when(F.length(raw) <= 5, F.concat(raw, F.lit(f"/{default_year}"))).otherwise(raw))
-    rows = lines.filter(has(t, SIMPLE)).select(
-        *PLACE, date.alias("date"), strip(rx(t, SIMPLE, 2)).alias("memo"),
-        signed(br_amount_abs(value), (mark == "D") | ((mark == "") & value.startswith("-"))).alias("amount"))
-    return _txn(rows)
+    rows = _matched(lines, SIMPLE, 4)
+    return _txn(rows.select(*PLACE, date.alias("date"), strip(g(2)).alias("memo"),
+                            signed(br_amount_abs(value), (mark == "D") | ((mark == "") & value.startswith("-"))).alias("amount")))
 
 
 # ---- X17: blocks around an anchor ----------------------------------------------------------------
@@ -384,31 +382,24 @@ STONE_SHORT = STONE_HEAD + STONE_VALUE + r"\s+" + STONE_VALUE
 STONE_STOP = ["DATA TIPO LANÇAMENTO", "SALDO", "TRANSPORTE"]
 
 
-def _stone_amount(text: Column) -> Column:
-    return br_amount_abs(text)
-
-
 def extract_stone(lines: DataFrame, default_year: int) -> DataFrame:
     """Between two anchors the upper one takes up to two lines below it, then the lower one up to three above."""
-    rows = lines.withColumn("text", strip("text")).filter("text <> ''")
+    rows = once(lines, PLACE, strip("text").alias("text")).filter("text <> ''")
     t = F.col("text")
-    anchor = has(t, r"^(\d{2}/\d{2}(?:/\d{2,4})?)(\s|$)")
-    full, short = has(t, STONE_FULL), has(t, STONE_SHORT)
-    raw = F.when(full, rx(t, STONE_FULL)).otherwise(rx(t, STONE_SHORT))
-    kind = F.when(full, rx(t, STONE_FULL, 2)).otherwise(rx(t, STONE_SHORT, 2))
-    desc = F.when(full, rx(t, STONE_FULL, 3)).otherwise("")
-    value = F.when(full, rx(t, STONE_FULL, 4)).otherwise(rx(t, STONE_SHORT, 3))
-    bal = F.when(full, rx(t, STONE_FULL, 5)).otherwise(rx(t, STONE_SHORT, 4))
-    parsed = anchor & (full | short)
+    rows = once(rows, [*PLACE, "text"], has(t, r"^(\d{2}/\d{2}(?:/\d{2,4})?)(\s|$)").alias("is_anchor"), groups(t, STONE_FULL, 5).alias("f"),
+                groups(t, STONE_SHORT, 4).alias("k"), has(t, r"\d{2,},\d{2}").alias("money"), has_word(t, STONE_STOP).alias("header"))
+    full = F.col("f").isNotNull()
+    raw, kind = F.when(full, g(1, "f")).otherwise(g(1, "k")), F.when(full, g(2, "f")).otherwise(g(2, "k"))
+    desc, value = F.when(full, g(3, "f")).otherwise(""), F.when(full, g(4, "f")).otherwise(g(3, "k"))
+    bal = F.when(full, g(5, "f")).otherwise(g(4, "k"))
+    parsed = F.col("is_anchor") & raw.isNotNull()
     fee = F.lower(desc).contains("tarifa") | F.lower(kind).contains("tarifa")
     date = F.coalesce(parse_date(F.when(F.length(raw) == 10, raw)), parse_date(F.when(F.length(raw) == 8, raw), "dd/MM/yy"),
                       parse_date(F.when(F.length(raw) == 5, F.concat(raw, F.lit(f"/{default_year}")))))
-    money = has(t, r"\d{2,},\d{2}")
-    rows = rows.select(
-        *PLACE, "text", anchor.alias("is_anchor"), (parsed & ~fee).alias("takes"), parsed.alias("is_txn"), date.alias("date"),
-        signed(_stone_amount(value), F.upper(kind).isin(W.STONE_OUT)).alias("amount"), _stone_amount(bal).alias("balance"),
-        F.when(strip(desc) != "", strip(desc)).otherwise(strip(kind)).alias("core"),
-        money.cast("int").alias("money"), (money | has_word(t, STONE_STOP)).cast("int").alias("stop"))
+    rows = once(rows, [*PLACE, "text", "is_anchor"], F.coalesce(parsed & ~fee, F.lit(False)).alias("takes"), parsed.alias("is_txn"), date.alias("date"),
+                signed(br_amount_abs(value), F.upper(kind).isin(W.STONE_OUT)).alias("amount"), br_amount_abs(bal).alias("balance"),
+                F.when(strip(desc) != "", strip(desc)).otherwise(strip(kind)).alias("core"), F.col("money").cast("int").alias("money"),
+                (F.col("money") | F.col("header")).cast("int").alias("stop"))
     rows = rows.withColumn("gap", _page_group(F.col("is_anchor")))
     # the anchor below a gap: the one that opens the next gap
     anchors = rows.filter("is_anchor").select(*PAGE, "gap", "takes")

@@ -77,7 +77,8 @@ def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(n / ROWS_PER_PAGE) + 1).cast("int").alias("page_no"), (n % ROWS_PER_PAGE).cast("int").alias("slot"),
         F.col("o_orderdate").cast("date").alias("date"), F.when(neg, -mag).otherwise(mag).alias("cents"),
         F.expr("substr(o_orderpriority, 3)").alias("prio")
-    ).withColumn("mag_txt", fmt_brl(F.abs(from_cents("cents")))) \
+        # statements arrive as many files; the rules' page windows then need no shuffle of their own
+    ).repartition("file", "page_no").withColumn("mag_txt", fmt_brl(F.abs(from_cents("cents")))) \
      .withColumn("neg", F.col("cents") < 0) \
      .withColumn("memo", F.concat(F.lit("MOV N"), F.col("row_id").cast("string"), F.lit(" "), F.col("prio"))) \
      .withColumn("dc", F.when(F.col("neg"), "D").otherwise("C"))
