@@ -400,26 +400,24 @@ def extract_stone(lines: DataFrame, default_year: int) -> DataFrame:
                 signed(br_amount_abs(value), F.upper(kind).isin(W.STONE_OUT)).alias("amount"), br_amount_abs(bal).alias("balance"),
                 F.when(strip(desc) != "", strip(desc)).otherwise(strip(kind)).alias("core"), F.col("money").cast("int").alias("money"),
                 (F.col("money") | F.col("header")).cast("int").alias("stop"))
-    rows = rows.withColumn("gap", _page_group(F.col("is_anchor")))
-    # the anchor below a gap: the one that opens the next gap
-    anchors = rows.filter("is_anchor").select(*PAGE, "gap", "takes")
-    above_of = anchors.select(*PAGE, "gap", F.col("takes").alias("up_takes"))
-    below_of = anchors.select(*PAGE, (F.col("gap") - 1).alias("gap"), F.col("takes").alias("down_takes"))
-    gap = Window.partitionBy(*PAGE, "gap").orderBy("line_no")
-    free = (rows.filter("not is_anchor")
-            .withColumn("i", F.row_number().over(gap))
-            .withColumn("n", F.count("*").over(Window.partitionBy(*PAGE, "gap")))
-            .withColumn("money_to", F.sum("money").over(gap.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("stop_from", F.sum("stop").over(gap.rowsBetween(0, Window.unboundedFollowing)))
-            .join(above_of, [*PAGE, "gap"], "left").join(below_of, [*PAGE, "gap"], "left"))
-    goes_up = F.coalesce("up_takes", F.lit(False)) & (F.col("i") <= 2) & (F.col("money_to") == 0)
-    goes_down = F.coalesce("down_takes", F.lit(False)) & (F.col("n") - F.col("i") < 3) & (F.col("stop_from") == 0)
-    parts = free.withColumn("to", F.when(goes_up, F.col("gap")).when(goes_down, F.col("gap") + 1)).filter("to is not null")
-    parts = parts.select(*PLACE, F.col("to").alias("gap"), F.col("text").alias("piece"), F.lit(False).alias("is_txn"))
-    core = rows.filter(F.col("is_txn") & F.col("date").isNotNull()).withColumn("at", F.col("line_no"))
-    every = core.withColumn("piece", F.col("core")).select(*PLACE, "gap", "piece", "is_txn", "at", "date", "amount", "balance") \
-        .unionByName(parts, allowMissingColumns=True)
-    out = _joined(every, [*PAGE, "gap"], F.col("is_txn"), F.col("piece"), ["at", "date", "amount", "balance"])
+    page, up = Window.partitionBy(*PAGE).orderBy("line_no"), Window.partitionBy(*PAGE).orderBy(F.desc("line_no"))
+    to_here = (Window.unboundedPreceding, 0)
+    takes = F.when(F.col("is_anchor"), F.col("takes"))
+    rows = rows.select("*", _page_group(F.col("is_anchor")).alias("gap"), F.last(takes, ignorenulls=True).over(page.rowsBetween(*to_here)).alias("upper"),
+                       F.last(takes, ignorenulls=True).over(up.rowsBetween(*to_here)).alias("lower"))
+    # inside a gap: lines since the upper anchor, lines to the lower one, and what stands in the way
+    gap, gap_up = Window.partitionBy(*PAGE, "gap").orderBy("line_no"), Window.partitionBy(*PAGE, "gap").orderBy(F.desc("line_no"))
+    line = (~F.col("is_anchor")).cast("int")
+    rows = rows.select("*", F.sum(line).over(gap.rowsBetween(*to_here)).alias("i"), F.sum(line).over(gap_up.rowsBetween(*to_here)).alias("j"),
+                       F.sum(F.col("money") * line).over(gap.rowsBetween(*to_here)).alias("money_to"),
+                       F.sum(F.col("stop") * line).over(gap_up.rowsBetween(*to_here)).alias("stop_from"))
+    free = ~F.col("is_anchor")
+    goes_up = free & F.coalesce("upper", F.lit(False)) & (F.col("i") <= 2) & (F.col("money_to") == 0)
+    goes_down = free & F.coalesce("lower", F.lit(False)) & (F.col("j") <= 3) & (F.col("stop_from") == 0)
+    core = F.col("is_txn") & F.col("date").isNotNull()
+    rows = rows.withColumn("gap", F.when(core | goes_up, F.col("gap")).when(goes_down, F.col("gap") + 1)).filter("gap is not null")
+    rows = rows.withColumn("is_core", core).withColumn("at", F.col("line_no"))
+    out = _joined(rows, [*PAGE, "gap"], F.col("is_core"), F.when(F.col("is_core"), F.col("core")).otherwise(F.col("text")), ["at", "date", "amount", "balance"])
     return _txn(out.withColumnRenamed("at", "line_no"), balance=F.col("balance"))
 
 
