@@ -153,14 +153,32 @@ def j7(spark, sf):
     return out.select("account_id", "bank_id", "size", "ledger_id")
 
 
-@query("j9_reconcile")
-def j9(spark, sf):
-    return reconcile(*sides(spark, sf), KEYS).view
+# the whole flow: bank rows inside the ledger's period, both one-to-one steps, then combos of what is left
+CLIPPED = SIDES.replace("WITH ", "WITH RECURSIVE ", 1).replace("bank AS (", "bank_all AS (") + """,
+period AS (SELECT account_id, min(date) AS lo, max(date) AS hi FROM ledger GROUP BY 1),
+bank AS (SELECT b.* FROM bank_all b JOIN period p ON p.account_id = b.account_id AND b.date BETWEEN p.lo AND p.hi)"""
+WHOLE = f"""{CLIPPED}, {J1}, {J2}, {NUMBERED.split(GREEDY + ", ", 1)[1]},
+cl AS (SELECT * FROM ledger WHERE row_id NOT IN (SELECT ledger_id FROM num)), cb AS (SELECT * FROM bank WHERE row_id NOT IN (SELECT bank_id FROM num)),
+{PLACES}, {J7.replace("steps", "csteps")},
+heads AS (SELECT s.account_id, s.bank_id, s.pick, row_number() OVER (PARTITION BY s.account_id ORDER BY b.date, b.cents, b.row_id) - 1 AS no
+  FROM csteps s JOIN bank b ON b.row_id = s.bank_id WHERE s.pick IS NOT NULL),
+parts AS (SELECT account_id, no, unnest(pick) AS ledger_id FROM heads),
+view0 AS (
+  SELECT l.account_id, l.row_id, l.date, l.cents, l.description, 'Diário' AS source,
+    CASE WHEN n.match_no IS NOT NULL THEN 'Conciliado' WHEN p.no IS NOT NULL THEN 'Conciliado (Comb)' ELSE 'Apenas no Diário' END AS status,
+    coalesce('S-' || n.match_no, 'C-' || p.no, '-1') AS group_id, CASE WHEN coalesce(n.match_no, p.no) IS NULL THEN 'unmatched_ledger' ELSE 'matched_ledger' END AS color_code
+  FROM ledger l LEFT JOIN num n ON n.ledger_id = l.row_id LEFT JOIN parts p ON p.ledger_id = l.row_id
+  UNION ALL
+  SELECT b.account_id, b.row_id, b.date, b.cents, b.description, 'Banco',
+    CASE WHEN n.match_no IS NOT NULL THEN 'Conciliado' WHEN h.no IS NOT NULL THEN 'Conciliado (Comb)' ELSE 'Apenas no Banco' END,
+    coalesce('S-' || n.match_no, 'C-' || h.no, '-1'), CASE WHEN coalesce(n.match_no, h.no) IS NULL THEN 'unmatched_bank' ELSE 'matched_bank' END
+  FROM bank b LEFT JOIN num n ON n.bank_id = b.row_id LEFT JOIN heads h ON h.bank_id = b.row_id),
+whole AS (SELECT *, CASE WHEN group_id = '-1' THEN date ELSE min(date) OVER (PARTITION BY account_id, group_id) END AS cluster_date FROM view0)"""
 
 
-# combined timeline of the order-total data: many combos, no one-to-one matches of items and totals with one item only
-def combo_view(spark, sf):
-    return reconcile(combo_ledger(spark, sf), combo_bank(spark, sf), KEYS).view
+@query("j9_reconcile", f"{WHOLE} SELECT * FROM whole")
+def j9(spark, sf):
+    return reconcile(*sides(spark, sf), KEYS).view
 
 
 def whole_view(spark, sf):
@@ -168,6 +186,20 @@ def whole_view(spark, sf):
     return cut_lineage(reconcile(*sides(spark, sf), KEYS).view)
 
 
+# items and totals: one-item orders match one to one when the day fits, the others as combos
+TOTALS = WHOLE.replace(CLIPPED, f"""WITH RECURSIVE {COMBO}, ledger AS (SELECT *, 'ITEM ' || (row_id % 8) AS description FROM cl),
+bank_all AS (SELECT *, 'ORDER ' || row_id AS description FROM cb), period AS (SELECT account_id, min(date) AS lo, max(date) AS hi FROM ledger GROUP BY 1),
+bank AS (SELECT b.* FROM bank_all b JOIN period p ON p.account_id = b.account_id AND b.date BETWEEN p.lo AND p.hi)""").replace(
+    "cl AS (SELECT * FROM ledger WHERE", "cl2 AS (SELECT * FROM ledger WHERE").replace("cb AS (SELECT * FROM bank WHERE", "cb2 AS (SELECT * FROM bank WHERE").replace(
+    "AS B FROM cb GROUP", "AS B FROM cb2 GROUP").replace("AS L FROM cl GROUP", "AS L FROM cl2 GROUP")
+
+
+@query("j9_reconcile_totals", f"{TOTALS} SELECT account_id, row_id, date, cents, source, status, group_id, cluster_date FROM whole")
+def j9_totals(spark, sf):
+    view = reconcile(combo_ledger(spark, sf), combo_bank(spark, sf), KEYS).view
+    return view.select("account_id", "row_id", "date", "cents", "source", "status", "group_id", "cluster_date")
+
+
 @query("w1_build_view", NUMBERED + """ SELECT account_id, row_id, date, cents, description, source, status, group_id, color_code FROM (
   SELECT l.account_id, l.row_id, l.date, l.cents, l.description, 'Diário' AS source, CASE WHEN n.match_no IS NULL THEN 'Apenas no Diário' ELSE 'Conciliado' END AS status,
          coalesce('S-' || n.match_no, '-1') AS group_id, CASE WHEN n.match_no IS NULL THEN 'unmatched_ledger' ELSE 'matched_ledger' END AS color_code

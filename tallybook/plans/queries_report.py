@@ -10,7 +10,7 @@ from tallybook.operators.clean import filter_view
 from tallybook.operators.match import match_one_to_one
 from tallybook.operators.view import build_view, sort_view
 from tallybook.plans.fixtures import KEYS, ledger_of, orders_bank, with_amount
-from tallybook.plans.queries_match import NUMBERED, VIEW, exact_view, no_combos, whole_view
+from tallybook.plans.queries_match import NUMBERED, VIEW, WHOLE, exact_view, no_combos, whole_view
 from tallybook.plans.registry import SIDES, query
 from tallybook.session import cut_lineage
 from tallybook.sinks.files import divergences
@@ -36,7 +36,10 @@ def a11(spark, sf):
     return R.recon_metrics(two_step_view(spark, sf), KEYS)
 
 
-@query("a11_metrics_with_combos")
+@query("a11_metrics_with_combos", f"""{WHOLE} SELECT account_id, count(*) FILTER (WHERE source = 'Diário') AS ledger_total, count(*) FILTER (WHERE source = 'Banco') AS bank_total,
+  CAST(abs(coalesce(sum(cents) FILTER (WHERE status <> 'Conciliado' AND source = 'Diário'), 0) - coalesce(sum(cents) FILTER (WHERE status <> 'Conciliado' AND source = 'Banco'), 0)) AS BIGINT) AS diff_initial,
+  CAST(abs(coalesce(sum(cents) FILTER (WHERE status = 'Apenas no Diário'), 0) - coalesce(sum(cents) FILTER (WHERE status = 'Apenas no Banco'), 0)) AS BIGINT) AS diff_final,
+  count(*) FILTER (WHERE source = 'Banco' AND status = 'Conciliado (Comb)') AS comb_count FROM whole GROUP BY 1""")
 def a11c(spark, sf):
     return R.recon_metrics(whole_view(spark, sf), KEYS)
 
