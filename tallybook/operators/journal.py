@@ -45,7 +45,9 @@ def to_journal_lines(entries: DataFrame, keys: list[str], seq: str = "id") -> Da
     """
     iso = dict(entries.dtypes)["date"] == "string"
     day = F.col("date") if iso else F.date_format("date", "yyyy-MM-dd")
-    rows = ordinal(entries.withColumn("__day", day), keys, ["__day"], [seq], "n")
+    # the head of the id splits a busy day; it sorts like the id itself
+    rows = entries.withColumn("__day", day).withColumn("__head", F.left(F.col(seq), F.lit(8)))
+    rows = ordinal(rows, keys, ["__day", "__head"], [seq], "n")
     text = [F.coalesce(F.col(c), F.lit("")) for c in ("conta_debito", "participante_debito", "conta_credito", "participante_credito")]
     line = F.concat_ws(",", F.col("n").cast("string"), iso_text_to_br("__day"), *text, F.col("amount").cast(MONEY).cast("string"), F.lit(""),
                        F.coalesce("description", F.lit("")), F.lit("DCTO"), F.lit(""), F.coalesce("documento", F.lit("")))

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 16
+BLOCK_BITS = 16      # rows of one id block
+STRETCH_BITS = 10    # blocks of one stretch
 
 
 def id_block(row_id: str = "row_id", bits: int = BLOCK_BITS) -> Column:
@@ -55,48 +56,49 @@ def ordinal(df: DataFrame, part: list[str], levels: list[str], order: list, out:
             .withColumn(out, (F.col("__rn") + F.col("__off")).cast("bigint")).drop("__rn", "__off"))
 
 
+def _carry_in(ends: DataFrame, part: list[str], block: str, names: list[str]) -> DataFrame:
+    """Per block, the last non-null block value before it: first inside a stretch of blocks, then over stretches."""
+    ends = ends.withColumn("__stretch", F.shiftright(F.col(block).cast("bigint"), STRETCH_BITS))
+    inside = Window.partitionBy(*part, "__stretch").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*part).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ends.groupBy(*part, "__stretch").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(block))).alias(n) for n in names])
+    whole = whole.select(*part, "__stretch", *[F.last(n, ignorenulls=True).over(before).alias(f"__far_{n}") for n in names])
+    near = ends.select(*part, block, "__stretch", *[F.last(n, ignorenulls=True).over(inside).alias(f"__near_{n}") for n in names])
+    return near.join(whole, [*part, "__stretch"]).select(
+        *part, block, *[F.coalesce(f"__near_{n}", f"__far_{n}").alias(f"__in_{n}") for n in names])
+
+
+def _carried(df: DataFrame, part: list[str], block: str, order: list[str], values: dict[str, Column], local) -> DataFrame:
+    names = list(values)
+    out = df.select("*", *[v.alias(f"__{n}") for n, v in values.items()])
+    ends = out.groupBy(*part, block).agg(*[
+        F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.struct(*order))).alias(n) for n in names])
+    out = out.select("*", *[local(F.col(f"__{n}")).alias(f"__loc_{n}") for n in names])
+    out = out.join(_carry_in(ends, part, block, names), [*part, block])
+    keep = [c for c in df.columns if c not in names]
+    return out.select(*keep, *[F.coalesce(f"__loc_{n}", f"__in_{n}").alias(n) for n in names])
+
+
 def carry_last(df: DataFrame, part: list[str], block: str, order: list[str], values: dict[str, Column]) -> DataFrame:
     """Forward fill: last non-null value up to the row, over ``part`` in (block, order)."""
-    local = Window.partitionBy(*part, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df
-    for name, value in values.items():
-        out = out.withColumn(f"__{name}", value)
-    ends = out.groupBy(*part, block).agg(*[
-        F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.struct(*order))).alias(n) for n in values])
-    before = Window.partitionBy(*part).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*part, block, *[F.last(n, ignorenulls=True).over(before).alias(f"__in_{n}") for n in values])
-    out = out.select("*", *[F.last(f"__{n}", ignorenulls=True).over(local).alias(f"__loc_{n}") for n in values])
-    out = out.join(ends, [*part, block])
-    for name in values:
-        out = out.withColumn(name, F.coalesce(f"__loc_{name}", f"__in_{name}"))
-    return out.drop(*[p + n for n in values for p in ("__", "__in_", "__loc_")])
+    w = Window.partitionBy(*part, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return _carried(df, part, block, order, values, lambda c: F.last(c, ignorenulls=True).over(w))
 
 
 def previous(df: DataFrame, part: list[str], block: str, order: list[str], values: dict[str, Column]) -> DataFrame:
     """Value of the row before, over ``part`` in (block, order); values must be non-null."""
-    local = Window.partitionBy(*part, block).orderBy(*order)
-    out = df
-    for name, value in values.items():
-        out = out.withColumn(f"__{name}", value)
-    ends = out.groupBy(*part, block).agg(*[F.max_by(f"__{n}", F.struct(*order)).alias(n) for n in values])
-    before = Window.partitionBy(*part).orderBy(block)
-    ends = ends.select(*part, block, *[F.lag(n).over(before).alias(f"__in_{n}") for n in values])
-    out = out.select("*", *[F.lag(f"__{n}").over(local).alias(f"__loc_{n}") for n in values])
-    out = out.join(ends, [*part, block])
-    for name in values:
-        out = out.withColumn(name, F.coalesce(f"__loc_{name}", f"__in_{name}"))
-    return out.drop(*[p + n for n in values for p in ("__", "__in_", "__loc_")])
+    w = Window.partitionBy(*part, block).orderBy(*order)
+    return _carried(df, part, block, order, values, lambda c: F.lag(c).over(w))
 
 
 def running_count(df: DataFrame, part: list[str], block: str, order: list[str], flag: Column, out: str) -> DataFrame:
     """Number of set flags up to and including the row, over ``part`` in (block, order)."""
     local = Window.partitionBy(*part, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    one = F.when(flag, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    marked = df.withColumn("__f", one)
+    marked = df.withColumn("__f", F.when(flag, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
     totals = marked.groupBy(*part, block).agg(F.sum("__f").alias("__n"))
-    before = Window.partitionBy(*part).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*part, block, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    return (marked.withColumn("__loc", F.sum("__f").over(local)).join(totals, [*part, block])
+    totals = totals.withColumn("__stretch", F.shiftright(F.col(block).cast("bigint"), STRETCH_BITS))
+    before = exclusive_prefix(totals, part, ["__stretch", block], "__n", "__off").select(*part, block, "__off")
+    return (marked.withColumn("__loc", F.sum("__f").over(local)).join(before, [*part, block])
             .withColumn(out, F.col("__loc") + F.col("__off")).drop("__f", "__loc", "__off"))
 
 
