@@ -101,7 +101,7 @@ def greedy_counts(demand: DataFrame, supply: DataFrame, keys: list[str], tol: in
 def _day_counts(ledger: DataFrame, bank: DataFrame, keys: list[str]) -> DataFrame:
     both = (ledger.select(*keys, "cents", "date", F.lit(1).alias("l"), F.lit(0).alias("b"))
             .unionByName(bank.select(*keys, "cents", "date", F.lit(0).alias("l"), F.lit(1).alias("b"))))
-    return (both.groupBy(*keys, "cents", "date").agg(F.sum("l").alias("nl"), F.sum("b").alias("nb"))
+    return (both.dropna(subset=[*keys, "cents", "date"]).groupBy(*keys, "cents", "date").agg(F.sum("l").alias("nl"), F.sum("b").alias("nb"))
             .withColumn("m", F.least("nl", "nb")))
 
 
@@ -146,7 +146,10 @@ def tag_side(df: DataFrame, runs: DataFrame, keys: list[str], side: str) -> Data
     cls = [*keys, "cents", "date"]
     lists = runs.groupBy(*keys, "cents", F.col(f"{side}_date").alias("date")).agg(F.collect_list(F.struct(
         F.col(f"{side}_lo").alias("lo"), "n", "step", "first_no", F.col(f"{other}_date").alias("partner"))).alias("__runs"))
-    rows = df.withColumn("__blk", id_block())
+    whole = F.lit(True)
+    for c in cls:
+        whole = whole & F.col(c).isNotNull()
+    rows = df.filter(whole).withColumn("__blk", id_block())
     local = Window.partitionBy(*cls, "__blk").orderBy("row_id")
     rows = rows.withColumn("__rn", F.row_number().over(local))
     blocks = rows.groupBy(*cls, "__blk").agg(F.count("*").alias("__n"))
@@ -154,11 +157,11 @@ def tag_side(df: DataFrame, runs: DataFrame, keys: list[str], side: str) -> Data
     rows = rows.join(blocks, [*cls, "__blk"])
     k = F.col("__rn") + F.col("__off")
     hit = F.get(F.filter("__runs", lambda r: (r["lo"] <= k) & (k < r["lo"] + r["n"])), F.lit(0))
-    return (rows.withColumn("__hit", hit)
-            .withColumn("step", F.col("__hit.step"))
-            .withColumn("match_no", F.col("__hit.first_no") + k - F.col("__hit.lo"))
-            .withColumn("match_date", F.col("__hit.partner"))
-            .drop("__blk", "__rn", "__off", "__runs", "__hit"))
+    out = rows.withColumn("__hit", hit).select(
+        *df.columns, F.col("__hit.step").alias("step"), (F.col("__hit.first_no") + k - F.col("__hit.lo")).alias("match_no"),
+        F.col("__hit.partner").alias("match_date"))
+    # rows without a date, amount or account cannot match but stay
+    return out.unionByName(df.filter(~whole), allowMissingColumns=True)
 
 
 def match_one_to_one(ledger: DataFrame, bank: DataFrame, keys: list[str], tol: int = 3,

@@ -11,6 +11,7 @@ from tallybook.operators import extract_words as V
 from tallybook.operators.balance import file_balances
 from tallybook.operators.clean import grep_context
 from tallybook.plans.fixtures import date_br, movements, table, to_lines, to_words
+from tallybook.plans.extract import extract_statements
 from tallybook.plans.registry import MOVES, query
 from tallybook.sources.catalog import bank_label, bank_name, detect_layout, identify, route, shipped_layouts, with_sublayout
 from tallybook.sources.texts import page_lines
@@ -448,3 +449,57 @@ def l6(spark, sf):
     texts = F.array(F.lit("G331 x\n01.01.2025"), F.lit("x\n01.01.2025 y"), F.lit("a\n05/03/2025 3935 99020870 z"), F.lit("02/01/2025 Dep"))
     pages = kind.select("file", "page_no", F.element_at(texts, (c("v") + 1).cast("int")).alias("text"), F.lit("bb").alias("rule_set"))
     return with_sublayout(pages).select("file", "page_no", "sublayout")
+
+
+# ---- the whole extraction ------------------------------------------------------------------------
+
+def as_pages(lines: DataFrame, prefix: str) -> DataFrame:
+    """LINES back to page texts; a page is bounded."""
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+    return lines.groupBy("file", "page_no").agg(texts.alias("text")).withColumn("file", F.concat(F.lit(prefix + "-"), c("file")))
+
+
+def itau_words(spark, sf):
+    mov = movements(spark, sf)
+    head = to_words(mov, [(100, F.when(c("slot") == 0, F.lit("Lançamentos do período Saldo total")), 0)])
+    body = to_words(mov, [(30, date_br(), 1), (100, c("memo"), 1), (480, F.concat(F.when(c("neg"), "-").otherwise(""), c("mag_txt")), 1),
+                          (520, fmt_brl(from_cents(c("row_id") * 100 + 7)), 1)])
+    return head.unionByName(body).withColumn("file", F.concat(F.lit("itau-"), c("file")))
+
+
+def mixed_statements(spark, sf):
+    """The same movements printed in five layouts, and the documents as pages no layout knows."""
+    bb = bb_dot_lines(spark, sf)
+    bb = bb.withColumn("text", F.when(c("text") == "Conta Corrente", "Agência Dia Histórico Lote").otherwise(c("text")))
+    own = dot_lines(spark, sf)
+    own = own.withColumn("text", F.when(c("text") == "EXTRATO DE CONTA", "EXTRATO DE CONTA PROPRIA").otherwise(c("text")))
+    words = itau_words(spark, sf)
+    parts = [as_pages(cef_lines(spark, sf), "cef"), as_pages(santander_lines(spark, sf), "santander"), as_pages(sicredi_lines(spark, sf), "sicredi"),
+             as_pages(stone_lines(spark, sf).withColumn("text", F.when(c("text").startswith("DATA TIPO"), "Stone DATA TIPO LANÇAMENTO").otherwise(c("text"))), "stone"),
+             as_pages(bb, "bb"), as_pages(own, "own"), as_pages(V.words_to_lines(words), "x").withColumn("file", F.substring("file", 3, 1000)),
+             table(spark, sf, "documents").select(F.concat(F.lit("doc-"), c("doc_id").cast("string")).alias("file"), F.lit(1).alias("page_no"), "text")]
+    pages = parts[0]
+    for p in parts[1:]:
+        pages = pages.unionByName(p)
+    own_layout = {**DOT_LAYOUT, "name": "Own", "keywords": ["conta propria"], "priority": "99_own"}
+    return pages, words, [*shipped_layouts(), own_layout]
+
+
+MIXED = f"""{MOVES} SELECT 'cef-' || file AS file, date, cents, memo FROM mov UNION ALL SELECT 'santander-' || file, date, cents, memo FROM mov
+UNION ALL SELECT 'sicredi-' || file, date, cents, memo FROM mov UNION ALL SELECT 'itau-' || file, date, cents, memo FROM mov
+UNION ALL SELECT 'bb-' || file, date, cents, {REST_SQL} FROM mov UNION ALL SELECT 'own-' || file, date, cents, {REST_SQL} FROM mov
+UNION ALL SELECT 'stone-' || file, date, cents, memo || ' ' || CASE WHEN row_id % 2 = 0 THEN 'Recebível' WHEN neg THEN 'Saída' ELSE 'Entrada' END || ' Pix | Maquininha Loja 1' FROM mov WHERE row_id % 9 <> 0"""
+
+
+@query("x_extract_statements", MIXED)
+def whole_extraction(spark, sf):
+    return extract_statements(*mixed_statements(spark, sf), 2000).txn.select("file", "date", to_cents("amount").alias("cents"), "memo")
+
+
+@query("x_extract_status", f"""WITH t AS (SELECT file, count(*) AS tx_count FROM ({MIXED}) GROUP BY 1)
+SELECT file, CASE split_part(file, '-', 1) WHEN 'cef' THEN 'CEF' WHEN 'santander' THEN 'Santander' WHEN 'sicredi' THEN 'Sicredi Associado' WHEN 'itau' THEN 'Itau' WHEN 'bb' THEN 'Banco do Brasil'
+  WHEN 'own' THEN 'Own' ELSE 'Stone' END AS layout, 'Text' AS method, tx_count, CAST(NULL AS VARCHAR) AS error FROM t
+UNION ALL SELECT 'doc-' || doc_id, lay, CASE WHEN lay IS NULL THEN 'unknown' ELSE 'Failed' END, 0, CASE WHEN lay IS NULL THEN 'Layout not detected in Text mode.' END
+  FROM (SELECT doc_id, {_case('name')} AS lay FROM (SELECT doc_id, strip_accents(upper(text)) AS u FROM documents))""")
+def whole_status(spark, sf):
+    return extract_statements(*mixed_statements(spark, sf), 2000).status.select("file", "layout", "method", "tx_count", "error")

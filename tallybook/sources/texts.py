@@ -52,7 +52,7 @@ def read_statement_lines(spark: SparkSession, path: str) -> DataFrame:
     return page_lines(pages)
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
+def page_lines(pages: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Page texts -> LINES."""
-    return (pages.select("file", "page_no", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return (pages.select("file", "page_no", *(extra or []), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
             .filter("text is not null"))

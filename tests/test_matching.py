@@ -145,3 +145,10 @@ def test_reconcile_invariants(spark):
         else:
             assert 2 <= len(led) <= 4 and abs(abs(led.cents.sum()) - abs(bnk.cents.iloc[0])) <= 1
         assert (rows.cluster_date == rows.date.min()).all()
+
+
+def test_rows_without_date_stay_unmatched(spark):
+    ledger = spark.createDataFrame([(1, 1, DAY0, 5, "x"), (1, 2, None, 5, "x")], DDL)
+    bank = spark.createDataFrame([(1, 1, DAY0, 5, "x"), (1, 2, DAY0, None, "x")], DDL)
+    for side_ in M.match_one_to_one(ledger, bank, ["account_id"]):
+        assert sorted((r.row_id, r.match_id) for r in side_.collect()) == [(1, "S-0"), (2, None)]
