@@ -6,6 +6,7 @@ rows of each ledger day: an equi join, no range join, never more than (2*tol+1)*
 """
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.operators.ordering import ordinal
+from tallybook.operators.ordering import id_block, ordinal
 from tallybook.session import cut_lineage
 
 # fixed values: pool size, largest subset, allowed difference in cents
@@ -118,13 +119,16 @@ def _slices(bank: DataFrame, keys: list[str], tol: int, slice_rows: int) -> Data
     days = days.withColumn("island", F.sum("__gap").over(by_date.rowsBetween(Window.unboundedPreceding, 0)))
     before = Window.partitionBy(*keys, "island").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     return (days.withColumn("slice", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / slice_rows).cast("int"))
-            .select(*keys, "date", "island", "slice"))
+            .select(*keys, "date", "island", "slice", "n"))
 
 
 def _assign(n_keys: int, tol: int, cap: int, max_size: int):
-    """Streams events sorted by (group, time, ledger first). State: free ledger rows of one date window."""
+    """Streams events sorted by (group, time, ledger first).
+
+    State: the free ledger rows of one date window, the first ``cap`` of them as the pool, the others in a queue.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, pool, sums = None, [], {}
+        group, pool, queue, sums = None, [], deque(), {}
         for pdf in batches:
             out = []
             names = pdf.columns[: n_keys + 2]
@@ -132,16 +136,21 @@ def _assign(n_keys: int, tol: int, cap: int, max_size: int):
                 key = row[: n_keys + 2]
                 kind, day, cents, row_id = row[n_keys + 3:]
                 if key != group:
-                    group, pool, sums = key, [], {}
+                    group, pool, queue, sums = key, [], deque(), {}
                 if kind == 0:
-                    pool.append((day, cents, row_id))
-                    if len(pool) <= cap:
-                        sums = {}
+                    queue.append((day, cents, row_id))
                     continue
-                if pool and pool[0][0] < day - tol:
-                    pool = [p for p in pool if p[0] >= day - tol]
+                gone = 0
+                while gone < len(pool) and pool[gone][0] < day - tol:
+                    gone += 1
+                if gone:
+                    pool, sums = pool[gone:], {}
+                while queue and queue[0][0] < day - tol:
+                    queue.popleft()
+                while len(pool) < cap and queue:
+                    pool.append(queue.popleft())
                     sums = {}
-                values = np.array([p[1] for p in pool[:cap]], dtype=np.int64)
+                values = np.array([p[1] for p in pool], dtype=np.int64)
                 for size in range(2, min(max_size, len(values)) + 1):
                     if size not in sums:
                         sums[size] = _subset_sums(values, size)
@@ -158,6 +167,23 @@ def _assign(n_keys: int, tol: int, cap: int, max_size: int):
     return run
 
 
+def _within_quota(ledger: DataFrame, days: DataFrame, keys: list[str], tol: int, cap: int, max_size: int) -> DataFrame:
+    """Ledger rows that can reach a pool at all.
+
+    A day seen by B bank rows gives up at most ``max_size`` * B rows, so its rows beyond place cap + max_size * B are
+    never among the first ``cap`` free ones. Only days longer than that are numbered.
+    """
+    reach = F.explode(F.sequence(F.date_sub("date", tol), F.date_add("date", tol)))
+    quota = (days.select(*keys, reach.alias("d"), "n").groupBy(*keys, F.col("d").alias("date"))
+             .agg((F.sum("n") * max_size + cap).alias("__quota")))
+    sizes = ledger.groupBy(*keys, "date").agg(F.count("*").alias("__size")).join(quota, [*keys, "date"])
+    marked = ledger.join(sizes, [*keys, "date"])
+    long_day = F.col("__size") > F.col("__quota")
+    cut = ordinal(marked.filter(long_day).withColumn("__blk", id_block()), [*keys, "date"], ["cents", "__blk"], ["row_id"], "__k")
+    return (marked.filter(~long_day).select(*ledger.columns)
+            .unionByName(cut.filter(F.col("__k") <= F.col("__quota")).select(*ledger.columns)))
+
+
 def combo_assign(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: int = 3, cap: int = POOL,
                  max_size: int = MAX_SIZE, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Bank rows in (date, cents, row_id) order each take the first subset of their free pool.
@@ -175,10 +201,10 @@ def combo_assign(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: int =
     bank = cut_lineage(_possible(bank, ledger, keys, tol, max_size))
     days = _slices(bank, keys, tol, slice_rows)
     days = cut_lineage(days)
-    bank_in = bank.join(days, [*keys, "date"])
+    bank_in = bank.join(days.drop("n"), [*keys, "date"])
     reach = F.explode(F.sequence(F.date_sub("date", tol), F.date_add("date", tol)))
     ledger_days = days.select(*group, reach.alias("target")).withColumnRenamed("target", "date").distinct()
-    ledger_in = ledger.join(ledger_days, [*keys, "date"])
+    ledger_in = _within_quota(ledger, days, keys, tol, cap, max_size).join(ledger_days, [*keys, "date"])
     events = [*group, "t", "kind", "day", "cents", "row_id"]
 
     def solve(bank_rows: DataFrame, ledger_rows: DataFrame) -> DataFrame:

@@ -107,7 +107,9 @@ def loop_combos(ledger, bank, tol, cap):
 
 
 @pytest.mark.parametrize("seed,n_ledger,n_bank,days,cap,slice_rows", [
-    (1, 60, 40, 60, 20, 10**6), (2, 120, 60, 25, 5, 10**6), (3, 150, 80, 20, 6, 4), (4, 200, 90, 30, 20, 7), (5, 100, 60, 10, 4, 1), (6, 160, 60, 3, 20, 5)])
+    (1, 60, 40, 60, 20, 10**6), (2, 120, 60, 25, 5, 10**6), (3, 150, 80, 20, 6, 4), (4, 200, 90, 30, 20, 7), (5, 100, 60, 10, 4, 1), (6, 160, 60, 3, 20, 5),
+    # days far longer than their bank rows can use up
+    (7, 400, 4, 4, 3, 10**6), (8, 500, 6, 12, 2, 2)])
 def test_combo_assign(spark, seed, n_ledger, n_bank, days, cap, slice_rows):
     """Small slices force the parallel runs of one hot account to settle on the sequential result."""
     rng = random.Random(seed)
