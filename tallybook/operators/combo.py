@@ -22,7 +22,7 @@ from tallybook.session import cut_lineage
 # fixed values: pool size, largest subset, allowed difference in cents
 POOL, MAX_SIZE, SLACK = 20, 4, 1
 SCAN = 24          # windows up to this size are searched in full when pruning
-SLICE_ROWS = 200_000
+SLICE_ROWS = 20_000
 
 
 @cache
@@ -176,11 +176,13 @@ def _within_quota(ledger: DataFrame, days: DataFrame, keys: list[str], tol: int,
     reach = F.explode(F.sequence(F.date_sub("date", tol), F.date_add("date", tol)))
     quota = (days.select(*keys, reach.alias("d"), "n").groupBy(*keys, F.col("d").alias("date"))
              .agg((F.sum("n") * max_size + cap).alias("__quota")))
-    sizes = ledger.groupBy(*keys, "date").agg(F.count("*").alias("__size")).join(quota, [*keys, "date"])
-    marked = ledger.join(sizes, [*keys, "date"])
-    long_day = F.col("__size") > F.col("__quota")
-    cut = ordinal(marked.filter(long_day).withColumn("__blk", id_block()), [*keys, "date"], ["cents", "__blk"], ["row_id"], "__k")
-    return (marked.filter(~long_day).select(*ledger.columns)
+    near = cut_lineage(ledger.join(quota, [*keys, "date"]))
+    long_days = near.groupBy(*keys, "date", "__quota").agg(F.count("*").alias("__size")).filter("__size > __quota")
+    if long_days.isEmpty():
+        return near.select(*ledger.columns)
+    day = [*keys, "date"]
+    cut = ordinal(near.join(long_days.select(*day), day, "left_semi").withColumn("__blk", id_block()), day, ["cents", "__blk"], ["row_id"], "__k")
+    return (near.join(long_days.select(*day), day, "left_anti").select(*ledger.columns)
             .unionByName(cut.filter(F.col("__k") <= F.col("__quota")).select(*ledger.columns)))
 
 
