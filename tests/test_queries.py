@@ -4,8 +4,11 @@ import pytest
 import __spark_entry__ as entry
 from check import compare, connect
 
+from tallybook.plans import registry
+
 SF = "/root/testdata/sf0.001"
-SQL = entry.oracle_sql()
+registry.load()
+SQL = registry.SQL
 
 
 @pytest.fixture(scope="module")
@@ -13,9 +16,9 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, con, name):
-    rows, same, note = compare(spark, con, entry.queries()[name], SQL.get(name), SF)
+    rows, same, note = compare(spark, con, registry.QUERIES[name], SQL.get(name), SF)
     assert same is not False, note
     assert rows > 0
 
