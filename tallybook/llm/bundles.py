@@ -12,7 +12,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Ranges cut at quantiles of doc_id; beyond that many, each is cut into equal widths of doc_id.
@@ -23,9 +23,9 @@ REPLY_SCHEMA = pa.schema([("bundle", pa.int64()), ("bucket", pa.int32()), ("blob
 REQUEST_SCHEMA = pa.schema([("bucket", pa.int32()), ("bundle", pa.int64()), ("blob", pa.binary()), ("marked", pa.binary())])
 
 
-def with_bundle(docs: DataFrame, id_col: str, text_col: str, target: int) -> tuple[DataFrame, int]:
-    """Adds ``bundle``: growing with the id, about ``target`` bytes of text each. Rows without an id go to the last one."""
-    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+def with_bundle(docs: DataFrame, id_col: str, weight: Column, target: int) -> tuple[DataFrame, int]:
+    """Adds ``bundle``: growing with the id, with a sum of weights of about ``target`` each. Rows without an id go to the last one."""
+    size = docs.agg(F.sum(weight).alias("n")).first()["n"] or 0
     wanted = max(1, math.ceil(size / target))
     cuts, fine = min(wanted, QUANTILES), math.ceil(wanted / QUANTILES)
     at = F.coalesce(F.col(id_col).cast("double"), F.lit(float(2**63)))
