@@ -5,10 +5,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallybook.llm.bpe import op2_bpe
 from tallybook.llm.simhash import op7_simhash
 from tallybook.llm.substring_dedup import op3_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op7_simhash": op7_simhash,
 }
