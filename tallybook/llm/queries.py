@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tallybook.llm.bpe import op2_bpe
 from tallybook.llm.simhash import op7_simhash
 from tallybook.llm.substring_dedup import op3_substring_dedup
+from tallybook.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
 }
 SQL: dict[str, str] = {}
