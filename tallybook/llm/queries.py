@@ -6,12 +6,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallybook.llm.bpe import op2_bpe
+from tallybook.llm.fingerprints import op1_fingerprints
 from tallybook.llm.mixing import op4_mixing
 from tallybook.llm.simhash import op7_simhash
 from tallybook.llm.substring_dedup import op3_substring_dedup
 from tallybook.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
