@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallybook.llm.bpe import op2_bpe
+from tallybook.llm.chat import OP9_SQL, op9_chat
 from tallybook.llm.fingerprints import op1_fingerprints
 from tallybook.llm.mixing import op4_mixing
 from tallybook.llm.simhash import op7_simhash
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
+    "op9_chat": op9_chat,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op9_chat": OP9_SQL}
