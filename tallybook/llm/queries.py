@@ -11,6 +11,7 @@ from tallybook.llm.fingerprints import op1_fingerprints
 from tallybook.llm.mixing import op4_mixing
 from tallybook.llm.simhash import op7_simhash
 from tallybook.llm.substring_dedup import op3_substring_dedup
+from tallybook.llm.suffix_dedup import op5_suffix_dedup
 from tallybook.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op9_chat": op9_chat,
