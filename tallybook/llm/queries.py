@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallybook.llm.bpe import op2_bpe
 from tallybook.llm.chat import OP9_SQL, op9_chat
+from tallybook.llm.embedding_dedup import op8_embedding_dedup
 from tallybook.llm.fingerprints import op1_fingerprints
 from tallybook.llm.mixing import op4_mixing
 from tallybook.llm.simhash import op7_simhash
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chat": op9_chat,
 }
 SQL: dict[str, str] = {"op9_chat": OP9_SQL}
