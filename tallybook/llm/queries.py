@@ -9,6 +9,7 @@ from tallybook.llm.bpe import op2_bpe
 from tallybook.llm.chat import OP9_SQL, op9_chat
 from tallybook.llm.embedding_dedup import op8_embedding_dedup
 from tallybook.llm.fingerprints import op1_fingerprints
+from tallybook.llm.licences import op10_licences
 from tallybook.llm.mixing import op4_mixing
 from tallybook.llm.simhash import op7_simhash
 from tallybook.llm.substring_dedup import op3_substring_dedup
@@ -25,5 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chat": op9_chat,
+    "op10_licences": op10_licences,
 }
 SQL: dict[str, str] = {"op9_chat": OP9_SQL}
