@@ -160,8 +160,8 @@ def scan_balances(lines: DataFrame, layout: dict) -> DataFrame:
 
 # ---- X10-X13: code 001 ---------------------------------------------------------------------------
 
-G331 = (r"(\d{2}/\d{2}/\d{4})\s+(?:\d{2}/\d{2}/\d{4}\s+)?(\d+)\s+(\d+)\s+(.*?)\s+([\d\.,]+)\s+([CD])"
-        r"(?:\s+([\d\.,]+)\s+([CD]))?")
+# fixed values: line patterns
+G331 = r"(\d{2}/\d{2}/\d{4})\s+(?:\d{2}/\d{2}/\d{4}\s+)?(\d+)\s+(\d+)\s+(.*?)\s+([\d\.,]+)\s+([CD])(?:\s+([\d\.,]+)\s+([CD]))?"
 DOT_LINE = r"^(\d{2}\.\d{2}\.\d{4})\s+(.*)"
 DOT_TAIL = r"([\d\.,]+)\s+([CD])(?:\s+([\d\.,]+)\s+([CD]))?\s*$"
 FULL = r"(\d{2}/\d{2}/\d{4})\s+(\d{4})\s+(\d{8})\s+(.*?)\s+([\d\.,]+)\s+([CD])"
@@ -375,10 +375,9 @@ def extract_simple(lines: DataFrame, default_year: int) -> DataFrame:
 
 # ---- X17: blocks around an anchor ----------------------------------------------------------------
 
-STONE_VALUE = r"(-?\s*(?:R\$\s*)?[\d\.]+,\d{2})"
-STONE_HEAD = r"(?iuU)^(\d{2}/\d{2}(?:/\d{2,4})?)\s+(E\w+|S\w+|Cr.dito|D.bito)\s+"
-STONE_FULL = STONE_HEAD + r"(.*?)\s+" + STONE_VALUE + r"\s+" + STONE_VALUE
-STONE_SHORT = STONE_HEAD + STONE_VALUE + r"\s+" + STONE_VALUE
+# fixed values: line patterns and lines left out
+STONE_FULL = r"(?iuU)^(\d{2}/\d{2}(?:/\d{2,4})?)\s+(E\w+|S\w+|Cr.dito|D.bito)\s+(.*?)\s+(-?\s*(?:R\$\s*)?[\d\.]+,\d{2})\s+(-?\s*(?:R\$\s*)?[\d\.]+,\d{2})"
+STONE_SHORT = r"(?iuU)^(\d{2}/\d{2}(?:/\d{2,4})?)\s+(E\w+|S\w+|Cr.dito|D.bito)\s+(-?\s*(?:R\$\s*)?[\d\.]+,\d{2})\s+(-?\s*(?:R\$\s*)?[\d\.]+,\d{2})"
 STONE_STOP = ["DATA TIPO LANÇAMENTO", "SALDO", "TRANSPORTE"]
 
 

@@ -186,3 +186,35 @@ def test_repair(spark, start, end, amounts, gone, want, method):
     fixed, status = B.auto_repair(statement(spark, amounts), statement(spark, gone or [0]).filter("amount <> 0"), bal)
     assert sorted(int(r.amount) for r in fixed.collect()) == sorted(want)
     assert status.first().method == method
+
+
+@pytest.mark.parametrize("text,want", [
+    ("PIX para Maria Souza", True), ("ref. nota 123", True), ("ok", False), ("Saldo do dia 10,00", False), ("SALDO ANTERIOR", False), ("Ouvidoria 0800 000 000", False), ("Página 3 de 4", False),
+    ("lançamentos futuros", True), ("LANCAMENTOS FUTUROS", False), ("Coop Cred Central", False), ("conta: 12-3", False), ("autenticação mecânica", False), ("----- fim -----", False),
+    ("...continua", False), ("cartão **/**/**** x", False), ("Alô cliente", False), ("Sujeito a alteração", False), ("transporte de valores", False), ("total geral", False)])
+def test_continuation_sentences(spark, text, want):
+    assert value(spark, S.is_continuation(F.lit(text))) is want
+
+
+@pytest.mark.parametrize("text,want", [
+    ("", True), ("Saldo em conta", True), ("total geral", True), ("bloqueado 3 dias", True), ("S A L D O", True), ("transportado", True), ("mês anterior", True), ("tarifa 0,00 D", True),
+    ("tarifa 0.00", True), ("tarifa 10,00 D", False), ("PIX recebido", False)])
+def test_ignored_sentences(spark, text, want):
+    assert value(spark, S.should_ignore(F.lit(text))) is want
+
+
+@pytest.mark.parametrize("code,want", [
+    ("001", "Banco do Brasil S.A."), ("0.33 ", "Banco Santander (Brasil) S.A."), ("104", "Caixa Econômica Federal"), ("237", "Banco Bradesco S.A."), ("341", "Itaú Unibanco S.A."),
+    ("748", "Banco Cooperativo Sicredi S.A."), ("756", "Banco Cooperativo do Brasil S.A. (SICOOB)"), ("260", "Nu Pagamentos S.A. (Nubank)"), ("999", "Banco Desconhecido"), ("", "Banco Desconhecido")])
+def test_bank_names(spark, code, want):
+    from tallybook.sources.catalog import bank_name
+    assert value(spark, bank_name(F.lit(code))) == want
+
+
+@pytest.mark.parametrize("bank,layout,want", [
+    ("001", "x", "bb"), ("104", "x", "cef"), ("748", "x", "sicredi"), ("033", "x", "santander"), ("341", "x", "itau"), ("237", "x", "bradesco"), ("756", "x", "sicoob"),
+    ("999", "Stone", "stone"), (None, "Cre sol", "cresol"), ("000", "other", "generic"), ("001", None, None)])
+def test_routes(spark, bank, layout, want):
+    from tallybook.sources.catalog import route
+    df = spark.createDataFrame([(bank, layout)], "bank_id string, layout string")
+    assert route(df).first().rule_set == want
