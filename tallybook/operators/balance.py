@@ -1,7 +1,7 @@
 """Balances: scan, check, repair, audits. TXN rows carry file, page_no, line_no, amount, type."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions import words as W
@@ -130,7 +130,7 @@ def extraction_audit(catalog: DataFrame, txn: DataFrame, balances: DataFrame, ba
     label = F.when(code == "", W.NOT_DETECTED).otherwise(
         F.concat(F.coalesce("bank_name", F.lit(W.UNKNOWN_BANK)), F.lit(" ("), code, F.lit(")")))
     return (catalog.join(checked, "file", "left").join(counts, "file", "left")
-            .join(F.broadcast(banks), catalog["bank_id"] == banks["code"], "left")
+            .join(banks, catalog["bank_id"] == banks["code"], "left")
             .select("file", F.when(F.lower("suffix") != "pdf", "error")
                     .when(F.coalesce("is_valid", F.lit(True)), "success").otherwise("warning").alias("status"),
                     label.alias("bank"), F.coalesce("tx_count", F.lit(0)).alias("tx_count"), "is_valid", "msg", "bal_start", "bal_end"))
@@ -175,13 +175,13 @@ def null_audit(txn: DataFrame) -> DataFrame:
 
 
 def load_status(ledger: DataFrame, bank: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows per side and the names of the ledger files, in name order."""
-    names = (ledger.select(*keys, "source_file").distinct().groupBy(*keys)
-             .agg(F.array_join(F.array_sort(F.collect_list("source_file")), ", ").alias("ledger_name")))
+    """Rows per side, and a row for each ledger file: its name and place in name order, as many as a company has."""
+    named = ledger.select(*keys, "source_file").distinct().withColumn(
+        "place", F.row_number().over(Window.partitionBy(*keys).orderBy("source_file")))
     both = (ledger.select(*keys, F.lit(1).alias("l"), F.lit(0).alias("b"))
             .unionByName(bank.select(*keys, F.lit(0).alias("l"), F.lit(1).alias("b"))))
     return (both.groupBy(*keys).agg(F.sum("l").alias("ledger_count"), F.sum("b").alias("bank_count"))
-            .join(names, keys, "left"))
+            .join(named.withColumnRenamed("source_file", "ledger_name"), keys, "left"))
 
 
 def ingest_errors(catalog: DataFrame, txn: DataFrame) -> DataFrame:

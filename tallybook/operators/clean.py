@@ -117,18 +117,22 @@ def dedup_statement(txn: DataFrame, require_balance: bool = False) -> DataFrame:
 def consolidate(dfs: list[DataFrame], key: str = "id") -> DataFrame:
     """Union by name, description never null, one row per (source_file, internal_id) or per content.
 
+    The first of the list counts; of several in one input the smallest row. Rows without an internal_id are rows of their own.
     Sort on write: orderBy('date', 'source_file', 'internal_id').
     """
-    out = dfs[0]
-    for df in dfs[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
+    out = dfs[0].withColumn("__input", F.lit(0))
+    for i, df in enumerate(dfs[1:], 1):
+        out = out.unionByName(df.withColumn("__input", F.lit(i)), allowMissingColumns=True)
     out = (out.withColumn("date", F.col("date").cast("date")).withColumn("amount", F.col("amount").cast(MONEY))
            .withColumn("description", strip(F.coalesce("description", F.lit("")))))
     cols = ["source_file", "internal_id"] if key == "id" else ["date", "amount", "description"]
+    first = ["__input", *(c for c in ("batch", "source_file", "internal_id") if c in out.columns)]
     rest = [c for c in out.columns if c not in cols]
-    order = F.struct(*[F.col(c) for c in ("batch", "source_file", "internal_id") if c in out.columns])
+    order = F.struct(*first, *[c for c in rest if c not in first])
+    whole = out.filter("internal_id is not null") if key == "id" else out
     # min_by keeps one row per key map-side, so many copies of one row cost one shuffled row per task
-    return out.groupBy(*cols).agg(F.min_by(F.struct(*rest), order).alias("__r")).select(*cols, "__r.*").select(*out.columns)
+    whole = whole.groupBy(*cols).agg(F.min_by(F.struct(*rest), order).alias("__r")).select(*cols, "__r.*").select(*out.columns)
+    return (whole.unionByName(out.filter("internal_id is null")) if key == "id" else whole).drop("__input")
 
 
 def append_batch(df: DataFrame, path: str, batch_id: str) -> None:

@@ -1,8 +1,9 @@
 """Many-to-one matching: a bank row against the signed sum of 2 to 4 ledger rows.
 
-The pool of a bank row is the first ``cap`` free ledger rows, in (date, cents, row_id) order, within ``tol``
-days. All bank rows of one day share a pool, so pools are built per (keys, bank date) from the first ``cap``
-rows of each ledger day: an equi join, no range join, never more than (2*tol+1)*cap rows in a group.
+The pool of a bank row is the free ledger rows within ``tol`` days, in (date, cents, row_id) order; with a ``cap``, the first
+so many of them. The bound is the caller's: None searches whole windows, and results say where a bound cut a pool
+(``pool_cut``). All bank rows of one day share a pool, so pools are built per (keys, bank date): an equi join, no
+range join, with a cap never more than (2*tol+1)*cap rows in a group.
 """
 from __future__ import annotations
 
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from tallybook.operators.ordering import id_block, ordinal
 from tallybook.session import cut_lineage
 
-# fixed values: pool size, largest subset, allowed difference in cents
-POOL, MAX_SIZE, SLACK = 20, 4, 1
-SCAN = 24          # windows up to this size are searched in full when pruning
+# fixed values: largest subset, allowed difference in cents
+MAX_SIZE, SLACK = 4, 1
 SLICE_ROWS = 20_000
+WIDE = 24          # pools above this size are searched row by row
+PAIRS = 1_000      # windows up to this size are tested by their pair sums when pruning
 
 
 @cache
@@ -40,27 +42,58 @@ def _subset_sums(values: np.ndarray, size: int) -> np.ndarray:
     return np.abs(total)
 
 
+def _first_hit(values: np.ndarray, want: int, size: int, base: int = 0) -> list[int] | None:
+    """Places of the lexicographically first subset of that size that, with ``base``, meets the amount; the last two places at once."""
+    n = len(values)
+    if size == 2:
+        hit = np.triu(np.abs(np.abs(base + values[:, None] + values[None]) - want) <= SLACK, 1)
+        return [int(x) for x in np.unravel_index(hit.argmax(), hit.shape)] if hit.any() else None
+    for i in range(n - size + 1):
+        rest = _first_hit(values[i + 1:], want, size - 1, base + int(values[i]))
+        if rest:
+            return [i, *(i + 1 + x for x in rest)]
+    return None
+
+
+def _may_fit(values: np.ndarray, want: int, max_size: int) -> bool:
+    """Whether some sum of up to max_size values, repeats allowed, meets the amount: false only if no subset does."""
+    pairs = np.unique(values[:, None] + values[None])
+
+    def near(sums: np.ndarray, targets: np.ndarray) -> bool:
+        return bool((np.searchsorted(sums, targets - SLACK, "left") < np.searchsorted(sums, targets + SLACK, "right")).any())
+    both = np.array([want, -want])
+    if near(pairs, both):
+        return True
+    if max_size >= 3 and near(pairs, (both[:, None] - values[None]).ravel()):
+        return True
+    return max_size >= 4 and any(near(pairs, w - pairs) for w in both)
+
+
 # ---- pools ---------------------------------------------------------------------------------------
 
-def day_pools(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: int, cap: int) -> DataFrame:
-    """(keys, date) of the bank with ``pool``: the first ``cap`` ledger rows (date, cents, row_id) in reach."""
-    head = Window.partitionBy(*keys, "date").orderBy("cents", "row_id")
-    days = (ledger.select(*keys, "date", "cents", "row_id").withColumn("__rn", F.row_number().over(head))
-            .filter(F.col("__rn") <= cap)
-            .groupBy(*keys, "date").agg(F.collect_list(F.struct("date", "cents", "row_id")).alias("rows")))
+def day_pools(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: int, cap: int | None) -> DataFrame:
+    """(keys, date) of the bank with ``pool``: the (first ``cap``) ledger rows (date, cents, row_id) in reach, and ``pool_cut``."""
+    rows = ledger.select(*keys, "date", "cents", "row_id")
+    if cap is not None:             # one more tells whether there are more
+        head = Window.partitionBy(*keys, "date").orderBy("cents", "row_id")
+        rows = rows.withColumn("__rn", F.row_number().over(head)).filter(F.col("__rn") <= cap + 1)
+    days = rows.groupBy(*keys, "date").agg(F.collect_list(F.struct("date", "cents", "row_id")).alias("rows"))
     reach = F.explode(F.sequence(F.date_sub("date", tol), F.date_add("date", tol)))
     wanted = bank.select(*keys, "date").distinct()
-    return (days.select(*keys, reach.alias("target"), "rows").withColumnRenamed("target", "date")
-            .join(wanted, [*keys, "date"], "left_semi")
-            .groupBy(*keys, "date").agg(F.slice(F.array_sort(F.flatten(F.collect_list("rows"))), 1, cap).alias("pool")))
+    pools = (days.select(*keys, reach.alias("target"), "rows").withColumnRenamed("target", "date")
+             .join(wanted, [*keys, "date"], "left_semi")
+             .groupBy(*keys, "date").agg(F.array_sort(F.flatten(F.collect_list("rows"))).alias("pool")))
+    if cap is None:
+        return pools.withColumn("pool_cut", F.lit(False))
+    return pools.withColumn("pool_cut", F.size("pool") > cap).withColumn("pool", F.slice("pool", 1, cap))
 
 
-def combo_candidates(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: int = 3, cap: int = POOL) -> DataFrame:
-    """The pool of every bank row, one row per candidate, with its place."""
+def combo_candidates(bank: DataFrame, ledger: DataFrame, keys: list[str], cap: int | None, tol: int = 3) -> DataFrame:
+    """The pool of every bank row, one row per candidate, with its place and whether the pool was cut."""
     pools = day_pools(bank, ledger, keys, tol, cap)
     return (bank.select(*keys, "date", F.col("row_id").alias("bank_id")).join(pools, [*keys, "date"])
-            .select(*keys, "bank_id", F.posexplode("pool").alias("place", "c"))
-            .select(*keys, "bank_id", (F.col("place") + 1).alias("place"), F.col("c.row_id").alias("ledger_id")))
+            .select(*keys, "bank_id", "pool_cut", F.posexplode("pool").alias("place", "c"))
+            .select(*keys, "bank_id", (F.col("place") + 1).alias("place"), F.col("c.row_id").alias("ledger_id"), "pool_cut"))
 
 
 def _first_subset(max_size: int):
@@ -71,6 +104,12 @@ def _first_subset(max_size: int):
         want = np.abs(target.to_numpy())
         for n in np.unique(sizes[sizes >= 2]):
             at = np.flatnonzero(sizes == n)
+            if n > WIDE:            # too many subsets to hold for several rows at once
+                for i in at:
+                    values = np.asarray(pools.iloc[i], dtype=np.int64)
+                    hits = (_first_hit(values, want[i], size) for size in range(2, max_size + 1))
+                    result[i] = next((h for h in hits if h), None) if _may_fit(values, want[i], max_size) else None
+                continue
             for chunk in np.array_split(at, max(1, len(at) // 512)):
                 values = np.stack([np.asarray(pools.iloc[i], dtype=np.int64) for i in chunk])
                 open_ = np.arange(len(chunk))
@@ -87,7 +126,7 @@ def _first_subset(max_size: int):
     return first_subset
 
 
-def combo_enumerate(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: int = 3, cap: int = POOL,
+def combo_enumerate(bank: DataFrame, ledger: DataFrame, keys: list[str], cap: int | None, tol: int = 3,
                     max_size: int = MAX_SIZE) -> DataFrame:
     """Per bank row the first subset of its static pool that meets it: smallest size, then pool order."""
     pools = day_pools(bank, ledger, keys, tol, cap)
@@ -95,19 +134,19 @@ def combo_enumerate(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: in
     found = (bank.join(pools, [*keys, "date"]).filter(F.size("pool") >= 2)
              .withColumn("__at", _first_subset(max_size)(cents, F.col("cents"))).filter("__at is not null"))
     return found.select(*keys, F.col("row_id").alias("bank_id"), F.size("__at").alias("size"),
-                        F.transform("__at", lambda i: F.get("pool", i)["row_id"]).alias("members"))
+                        F.transform("__at", lambda i: F.get("pool", i)["row_id"]).alias("members"), "pool_cut")
 
 
 # ---- greedy assignment ---------------------------------------------------------------------------
 
 def _possible(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: int, max_size: int) -> DataFrame:
-    """Bank rows that could match: a subset exists in the whole window, or the window is too large to search."""
-    pools = day_pools(bank, ledger, keys, tol, SCAN + 1).filter(F.size("pool") >= 2)
-    joined = bank.join(pools, [*keys, "date"])
+    """Bank rows that could match: sums of the whole window's pairs allow it, or the window is too large to say. Leaves results as they are."""
+    @F.pandas_udf("boolean")
+    def may_fit(pools: pd.Series, target: pd.Series) -> pd.Series:
+        return pd.Series([len(p) > PAIRS or _may_fit(np.asarray(p, dtype=np.int64), abs(t), max_size) for p, t in zip(pools, target)], dtype=bool)
+    pools = day_pools(bank, ledger, keys, tol, PAIRS + 1).filter(F.size("pool") >= 2)
     cents = F.transform("pool", lambda c: c["cents"])
-    wide = F.size("pool") > SCAN
-    searched = joined.filter(~wide).withColumn("__at", _first_subset(max_size)(cents, F.col("cents"))).filter("__at is not null")
-    return searched.select(*bank.columns).unionByName(joined.filter(wide).select(*bank.columns))
+    return bank.join(pools, [*keys, "date"]).filter(may_fit(cents, F.col("cents"))).select(*bank.columns)
 
 
 def _slices(bank: DataFrame, keys: list[str], tol: int, slice_rows: int) -> DataFrame:
@@ -122,7 +161,7 @@ def _slices(bank: DataFrame, keys: list[str], tol: int, slice_rows: int) -> Data
             .select(*keys, "date", "island", "slice", "n"))
 
 
-def _assign(n_keys: int, tol: int, cap: int, max_size: int):
+def _assign(n_keys: int, tol: int, cap: int | None, max_size: int):
     """Streams events sorted by (group, time, ledger first).
 
     State: the free ledger rows of one date window, the first ``cap`` of them as the pool, the others in a queue.
@@ -147,23 +186,28 @@ def _assign(n_keys: int, tol: int, cap: int, max_size: int):
                     pool, sums = pool[gone:], {}
                 while queue and queue[0][0] < day - tol:
                     queue.popleft()
-                while len(pool) < cap and queue:
+                while queue and (cap is None or len(pool) < cap):
                     pool.append(queue.popleft())
                     sums = {}
                 values = np.array([p[1] for p in pool], dtype=np.int64)
+                if len(values) > WIDE and not _may_fit(values, abs(cents), max_size):
+                    continue
                 for size in range(2, min(max_size, len(values)) + 1):
-                    if size not in sums:
-                        sums[size] = _subset_sums(values, size)
-                    hit = np.abs(sums[size] - abs(cents)) <= SLACK
-                    if hit.any():
-                        members = _subsets(len(values), size)[:, hit.argmax()].tolist()
+                    if len(values) > WIDE:
+                        members = _first_hit(values, abs(cents), size)
+                    else:
+                        if size not in sums:
+                            sums[size] = _subset_sums(values, size)
+                        hit = np.abs(sums[size] - abs(cents)) <= SLACK
+                        members = _subsets(len(values), size)[:, hit.argmax()].tolist() if hit.any() else None
+                    if members:
                         for m in members:
-                            out.append((*key, row_id, day, size, pool[m][2], pool[m][0]))
+                            out.append((*key, row_id, day, size, pool[m][2], pool[m][0], bool(queue)))
                         pool = [p for i, p in enumerate(pool) if i not in members]
                         sums = {}
                         break
             if out:
-                yield pd.DataFrame(out, columns=[*names, "bank_id", "bank_day", "size", "ledger_id", "ledger_day"])
+                yield pd.DataFrame(out, columns=[*names, "bank_id", "bank_day", "size", "ledger_id", "ledger_day", "pool_cut"])
     return run
 
 
@@ -186,7 +230,7 @@ def _within_quota(ledger: DataFrame, days: DataFrame, keys: list[str], tol: int,
             .unionByName(cut.filter(F.col("__k") <= F.col("__quota")).select(*ledger.columns)))
 
 
-def combo_assign(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: int = 3, cap: int = POOL,
+def combo_assign(bank: DataFrame, ledger: DataFrame, keys: list[str], cap: int | None, tol: int = 3,
                  max_size: int = MAX_SIZE, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Bank rows in (date, cents, row_id) order each take the first subset of their free pool.
 
@@ -195,7 +239,7 @@ def combo_assign(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: int =
     left neighbour took rows they had counted on run again until nothing changes. The fixed point is the
     sequential result (slice s is right after round s at the latest).
 
-    Returns (keys, bank_id, bank_date, size, ledger_id, ledger_date), one row per member.
+    Returns (keys, bank_id, bank_date, size, ledger_id, ledger_date, pool_cut), one row per member.
     """
     group = [*keys, "island", "slice"]
     bank = bank.select(*keys, "date", "cents", "row_id")
@@ -206,7 +250,8 @@ def combo_assign(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: int =
     bank_in = bank.join(days.drop("n"), [*keys, "date"])
     reach = F.explode(F.sequence(F.date_sub("date", tol), F.date_add("date", tol)))
     ledger_days = days.select(*group, reach.alias("target")).withColumnRenamed("target", "date").distinct()
-    ledger_in = _within_quota(ledger, days, keys, tol, cap, max_size).join(ledger_days, [*keys, "date"])
+    near = ledger if cap is None else _within_quota(ledger, days, keys, tol, cap, max_size)
+    ledger_in = near.join(ledger_days, [*keys, "date"])
     events = [*group, "t", "kind", "day", "cents", "row_id"]
 
     def solve(bank_rows: DataFrame, ledger_rows: DataFrame) -> DataFrame:
@@ -217,14 +262,14 @@ def combo_assign(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: int =
         types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema.fields[: len(group)])
         return (both.repartition(*group).sortWithinPartitions(*group, "t", "kind", "day", "cents", "row_id")
                 .mapInPandas(_assign(len(keys), tol, cap, max_size), types + ", bank_id long, bank_day int, "
-                             "size int, ledger_id long, ledger_day int"))
+                             "size int, ledger_id long, ledger_day int, pool_cut boolean"))
 
     result = solve(bank_in, ledger_in)
     if not days.filter("slice > 0").isEmpty():
         result = _settle(cut_lineage(result), bank_in, ledger_in, days, keys, tol, solve)
     return cut_lineage(result.select(
         *keys, "bank_id", F.date_from_unix_date("bank_day").alias("bank_date"), "size", "ledger_id",
-        F.date_from_unix_date("ledger_day").alias("ledger_date")))
+        F.date_from_unix_date("ledger_day").alias("ledger_date"), "pool_cut"))
 
 
 def _settle(result: DataFrame, bank_in: DataFrame, ledger_in: DataFrame, days: DataFrame, keys: list[str], tol: int,

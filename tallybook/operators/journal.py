@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions.scalars import iso_text_to_br
-from tallybook.operators.ordering import ordinal
+from tallybook.operators.ordering import join_whole, ordinal
 from tallybook.schemas import MONEY
 
 # fixed values: defaults of an entry
@@ -13,26 +13,26 @@ DEFAULTS = {"conta_debito": "78", "participante_debito": "", "conta_credito": "6
 ENTRY = ["id", "date", "amount", "description", *DEFAULTS, "source", "is_edited"]
 
 
-def overlay_edits(bank_only: DataFrame, edits: DataFrame) -> DataFrame:
-    """Latest value per edited field over the defaults. ``edits``: id, field, value, seq."""
-    last = (edits.groupBy("id").pivot("field", list(DEFAULTS)).agg(F.max_by("value", "seq"))
+def overlay_edits(bank_only: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """Latest value per edited field over the defaults. ``edits``: keys, id, field, value, seq; of equal seq the larger value counts."""
+    last = (edits.groupBy(*keys, "id").pivot("field", list(DEFAULTS)).agg(F.max_by("value", F.struct("seq", "value")))
             .withColumn("is_edited", F.lit(True)))
-    return bank_only.join(last, "id", "left").select(
-        "id", "date", "amount", "description", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in DEFAULTS.items()],
+    return join_whole(bank_only, last, [*keys, "id"], "left").select(
+        *keys, "id", "date", "amount", "description", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in DEFAULTS.items()],
         F.lit("bank").alias("source"), F.coalesce("is_edited", F.lit(False)).alias("is_edited"))
 
 
-def select_entries(entries: DataFrame, ids: DataFrame) -> DataFrame:
-    """J11. ``ids``: id."""
-    return entries.join(ids, "id", "left_semi")
+def select_entries(entries: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """J11. ``ids``: keys, id."""
+    return join_whole(entries, ids.select(*keys, "id"), [*keys, "id"], "left_semi")
 
 
-def apply_manual_log(log: DataFrame) -> DataFrame:
-    """The last event per id decides; deleted entries are gone. ``log``: seq, op, id, entry fields."""
-    cols = [c for c in log.columns if c != "id"]
-    last = log.groupBy("id").agg(F.max_by(F.struct(*cols), "seq").alias("e")).select("id", "e.*").filter("op <> 'delete'")
+def apply_manual_log(log: DataFrame, keys: list[str]) -> DataFrame:
+    """The last event per id decides; deleted entries are gone. ``log``: keys, seq, op, id, entry fields; of equal seq the larger row counts."""
+    cols = [c for c in log.columns if c not in (*keys, "id")]
+    last = log.groupBy(*keys, "id").agg(F.max_by(F.struct(*cols), F.struct("seq", *cols)).alias("e")).select(*keys, "id", "e.*").filter("op <> 'delete'")
     return last.select(
-        "id", "date", "amount", "description", "conta_debito", F.coalesce("participante_debito", F.lit("")).alias("participante_debito"),
+        *keys, "id", "date", "amount", "description", "conta_debito", F.coalesce("participante_debito", F.lit("")).alias("participante_debito"),
         "conta_credito", F.coalesce("participante_credito", F.lit("")).alias("participante_credito"),
         F.coalesce(F.nullif("documento", F.lit("")), F.lit("001")).alias("documento"), F.lit("manual").alias("source"),
         F.lit(False).alias("is_edited"))
@@ -41,7 +41,8 @@ def apply_manual_log(log: DataFrame) -> DataFrame:
 def to_journal_lines(entries: DataFrame, keys: list[str], seq: str = "id") -> DataFrame:
     """K1: numbered export lines in date order per key. ``date`` may be a date or text.
 
-    The number is a prefix over days, so one large company is not numbered in one task.
+    The number is a prefix over days, so one large company is not numbered in one task. Entries without a date come last,
+    with an empty date.
     """
     iso = dict(entries.dtypes)["date"] == "string"
     day = F.col("date") if iso else F.date_format("date", "yyyy-MM-dd")
@@ -49,7 +50,7 @@ def to_journal_lines(entries: DataFrame, keys: list[str], seq: str = "id") -> Da
     rows = entries.withColumn("__day", day).withColumn("__head", F.left(F.col(seq), F.lit(8)))
     rows = ordinal(rows, keys, ["__day", "__head"], [seq], "n")
     text = [F.coalesce(F.col(c), F.lit("")) for c in ("conta_debito", "participante_debito", "conta_credito", "participante_credito")]
-    line = F.concat_ws(",", F.col("n").cast("string"), iso_text_to_br("__day"), *text, F.col("amount").cast(MONEY).cast("string"), F.lit(""),
+    line = F.concat_ws(",", F.col("n").cast("string"), F.coalesce(iso_text_to_br("__day"), F.lit("")), *text, F.col("amount").cast(MONEY).cast("string"), F.lit(""),
                        F.coalesce("description", F.lit("")), F.lit("DCTO"), F.lit(""), F.coalesce("documento", F.lit("")))
     return rows.select(*keys, "n", line.alias("line"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.operators.ordering import exclusive_prefix, id_block, ordinal
-from tallybook.session import cut_lineage
+from tallybook.session import stored
 
 
 def with_rank(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,22 +87,31 @@ def greedy_counts(demand: DataFrame, supply: DataFrame, keys: list[str], tol: in
               .withColumn("day", day))
     # drop entries without a partner in reach before any row goes to Python
     near = Window.partitionBy(*keys, "cls").orderBy("day").rangeBetween(-tol, tol)
-    events = (events.withColumn("d", F.max("kind").over(near)).withColumn("s", F.min("kind").over(near))
-              .filter("d = 1 and s = 0").select(*cols))
+    supplies, demands = F.count_if(F.col("kind") == 0).over(near), F.count_if(F.col("kind") == 1).over(near)
+    events = events.withColumn("others", F.when(F.col("kind") == 1, supplies).otherwise(demands)).filter("others > 0")
+    # a demand and a supply that reach only each other are settled here; only contested ones go to Python
+    mate = F.max(F.when(F.col("kind") == 0, F.struct("day", "sgn", "start", "n", "others"))).over(near)
+    mate_d = F.max(F.when(F.col("kind") == 1, F.col("others"))).over(near)
+    events = stored(events.withColumn("mate", mate).withColumn("alone", (F.col("others") == 1) & F.when(
+        F.col("kind") == 1, F.col("mate.others") == 1).otherwise(mate_d == 1)))
+    settled = events.filter("alone and kind = 1 and least(n, mate.n) > 0").select(
+        *keys, "cls", F.col("day").alias("d_day"), F.col("sgn").alias("d_sgn"), (F.col("start") + 1).alias("d_lo"), F.col("mate.day").alias("s_day"),
+        F.col("mate.sgn").alias("s_sgn"), (F.col("mate.start") + 1).alias("s_lo"), F.least("n", "mate.n").alias("n"))
+    events = events.filter("not alone").select(*cols)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields[: len(keys) + 1])
     runs = (events.repartition(*keys, "cls").sortWithinPartitions(*keys, "cls", "t", "kind", "day", "sgn")
             .mapInPandas(_fold(len(keys), tol, by_sign),
                          schema + ", d_day int, d_sgn int, d_lo long, s_day int, s_sgn int, s_lo long, n long"))
     # runs are far fewer than rows and read several times: written once
-    return cut_lineage(runs.withColumn("d_date", F.date_from_unix_date("d_day"))
-                       .withColumn("s_date", F.date_from_unix_date("s_day")).drop("d_day", "s_day"))
+    return stored(runs.unionByName(settled).withColumn("d_date", F.date_from_unix_date("d_day"))
+                  .withColumn("s_date", F.date_from_unix_date("s_day")).drop("d_day", "s_day"))
 
 
 def _day_counts(ledger: DataFrame, bank: DataFrame, keys: list[str]) -> DataFrame:
     both = (ledger.select(*keys, "cents", "date", F.lit(1).alias("l"), F.lit(0).alias("b"))
             .unionByName(bank.select(*keys, "cents", "date", F.lit(0).alias("l"), F.lit(1).alias("b"))))
-    return (both.dropna(subset=[*keys, "cents", "date"]).groupBy(*keys, "cents", "date").agg(F.sum("l").alias("nl"), F.sum("b").alias("nb"))
-            .withColumn("m", F.least("nl", "nb")))
+    days = both.dropna(subset=[*keys, "cents", "date"]).groupBy(*keys, "cents", "date").agg(F.sum("l").alias("nl"), F.sum("b").alias("nb"))
+    return stored(days.withColumn("m", F.least("nl", "nb")))
 
 
 def _exact_runs(days: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,7 +145,7 @@ def one_to_one_runs(ledger: DataFrame, bank: DataFrame, keys: list[str], tol: in
     steps = ([_exact_runs(days, keys)] if exact else []) + ([_tolerant_runs(days, keys, tol)] if tol is not None else [])
     runs = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
     runs = runs.withColumn("__a", F.struct("step", "l_date")).withColumn("__b", F.struct("cents", "l_lo"))
-    return exclusive_prefix(runs, keys, ["__a", "__b"], "n", "first_no").drop("__a", "__b")
+    return stored(exclusive_prefix(runs, keys, ["__a", "__b"], "n", "first_no").drop("__a", "__b"))
 
 
 def tag_side(df: DataFrame, runs: DataFrame, keys: list[str], side: str) -> DataFrame:
@@ -167,6 +176,7 @@ def tag_side(df: DataFrame, runs: DataFrame, keys: list[str], side: str) -> Data
 def match_one_to_one(ledger: DataFrame, bank: DataFrame, keys: list[str], tol: int = 3,
                      exact: bool = True) -> tuple[DataFrame, DataFrame]:
     """J1 + J2 + J3: both sides with ``match_id`` ``S-<n>`` (null where unmatched)."""
+    ledger, bank = stored(ledger), stored(bank)
     runs = one_to_one_runs(ledger, bank, keys, tol, exact)
     return tuple(with_match_id(tag_side(df, runs, keys, side)) for df, side in ((ledger, "l"), (bank, "b")))
 

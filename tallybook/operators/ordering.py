@@ -4,14 +4,20 @@ A window over a whole account or a whole file would put a hot one into a single
 here work in two steps instead: a window inside a bounded block (a page, a day, a range of row ids)
 and a prefix over one pre-aggregated row per block. Blocks keep the order, so results are the plain
 window's results.
+
+Nulls in keys and sort columns are values like any other: rows without an account form a group, rows without a
+date come last. The input is written once to the shared folder, as rows and sums both read it.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallybook.session import stored
+
 BLOCK_BITS = 16      # rows of one id block
 STRETCH_BITS = 10    # blocks of one stretch
+_LAST = 1 << 62      # stretch of a block without a number
 
 
 def id_block(row_id: str = "row_id", bits: int = BLOCK_BITS) -> Column:
@@ -19,12 +25,34 @@ def id_block(row_id: str = "row_id", bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(F.col(row_id).cast("bigint"), bits)
 
 
+def _whole(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Each column as a non-null pair (is null, value): equal nulls are equal, and come last."""
+    pairs = {c: F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in cols}
+    return df.select(*[pairs[c].alias(c) if c in pairs else F.col(c) for c in df.columns])
+
+
+def _plain(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(*[F.col(c)["v"].alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def join_whole(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null."""
+    return _plain(_whole(left, keys).join(_whole(right, keys), keys, how), keys)
+
+
 def exclusive_prefix(counts: DataFrame, part: list[str], levels: list[str], n: str, out: str) -> DataFrame:
     """Sum of ``n`` over all earlier rows of ``part`` in the order of ``levels``.
 
     One row per (part, levels) is expected. Each level is summed and prefixed on its own, so no window
     sees more than the distinct values of one level below one parent.
     """
+    keys = part + levels
+    return _plain(_prefix(_whole(counts, keys), part, levels, n, out), keys)
+
+
+def _prefix(counts: DataFrame, part: list[str], levels: list[str], n: str, out: str) -> DataFrame:
+    if len(levels) > 1:
+        counts = stored(counts)
     finest = Window.partitionBy(*(part + levels[:-1])).orderBy(levels[-1])
     earlier = (Window.unboundedPreceding, -1)
     result = counts.withColumn("__pre", F.coalesce(F.sum(n).over(finest.rowsBetween(*earlier)), F.lit(0)))
@@ -46,19 +74,21 @@ def ordinal(df: DataFrame, part: list[str], levels: list[str], order: list, out:
     """1-based position inside ``part``: row_number() without a window over the whole part.
 
     ``levels`` are order-preserving columns, coarse to fine; ``order`` sorts inside the finest level.
-    All sort columns must be non-null.
     """
     keys = part + levels
+    df = _whole(stored(df), keys)
+    order = [F.col(o).asc_nulls_last() if isinstance(o, str) else o for o in order]
     local = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    offsets = exclusive_prefix(counts, part, levels, "__n", "__off").drop("__n")
-    return (local.join(offsets, keys)
-            .withColumn(out, (F.col("__rn") + F.col("__off")).cast("bigint")).drop("__rn", "__off"))
+    offsets = _prefix(counts, part, levels, "__n", "__off").drop("__n")
+    numbered = (local.join(offsets, keys)
+                .withColumn(out, (F.col("__rn") + F.col("__off")).cast("bigint")).drop("__rn", "__off"))
+    return _plain(numbered, keys).select(*[c for c in df.columns if c != out], out)
 
 
 def _carry_in(ends: DataFrame, part: list[str], block: str, names: list[str]) -> DataFrame:
     """Per block, the last non-null block value before it: first inside a stretch of blocks, then over stretches."""
-    ends = ends.withColumn("__stretch", F.shiftright(F.col(block).cast("bigint"), STRETCH_BITS))
+    ends = ends.withColumn("__stretch", F.coalesce(F.shiftright(F.col(block)["v"].cast("bigint"), STRETCH_BITS), F.lit(_LAST)))
     inside = Window.partitionBy(*part, "__stretch").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy(*part).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
     whole = ends.groupBy(*part, "__stretch").agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(block))).alias(n) for n in names])
@@ -69,12 +99,12 @@ def _carry_in(ends: DataFrame, part: list[str], block: str, names: list[str]) ->
 
 
 def _carried(df: DataFrame, part: list[str], block: str, order: list[str], values: dict[str, Column], local) -> DataFrame:
-    names = list(values)
-    out = df.select("*", *[v.alias(f"__{n}") for n, v in values.items()])
+    names, keys = list(values), [*part, block]
+    out = _whole(stored(df.select("*", *[v.alias(f"__{n}") for n, v in values.items()])), keys)
     ends = out.groupBy(*part, block).agg(*[
         F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.struct(*order))).alias(n) for n in names])
     out = out.select("*", *[local(F.col(f"__{n}")).alias(f"__loc_{n}") for n in names])
-    out = out.join(_carry_in(ends, part, block, names), [*part, block])
+    out = _plain(out.join(_carry_in(ends, part, block, names), keys), keys)
     keep = [c for c in df.columns if c not in names]
     return out.select(*keep, *[F.coalesce(f"__loc_{n}", f"__in_{n}").alias(n) for n in names])
 
@@ -94,12 +124,14 @@ def previous(df: DataFrame, part: list[str], block: str, order: list[str], value
 def running_count(df: DataFrame, part: list[str], block: str, order: list[str], flag: Column, out: str) -> DataFrame:
     """Number of set flags up to and including the row, over ``part`` in (block, order)."""
     local = Window.partitionBy(*part, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = df.withColumn("__f", F.when(flag, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))
-    totals = marked.groupBy(*part, block).agg(F.sum("__f").alias("__n"))
-    totals = totals.withColumn("__stretch", F.shiftright(F.col(block).cast("bigint"), STRETCH_BITS))
-    before = exclusive_prefix(totals, part, ["__stretch", block], "__n", "__off").select(*part, block, "__off")
-    return (marked.withColumn("__loc", F.sum("__f").over(local)).join(before, [*part, block])
-            .withColumn(out, F.col("__loc") + F.col("__off")).drop("__f", "__loc", "__off"))
+    keys = [*part, block]
+    marked = _whole(stored(df.withColumn("__f", F.when(flag, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))), keys)
+    totals = marked.groupBy(*keys).agg(F.sum("__f").alias("__n"))
+    totals = totals.withColumn("__stretch", F.coalesce(F.shiftright(F.col(block)["v"].cast("bigint"), STRETCH_BITS), F.lit(_LAST)))
+    before = _prefix(totals, part, ["__stretch", block], "__n", "__off").select(*keys, "__off")
+    counted = (marked.withColumn("__loc", F.sum("__f").over(local)).join(before, keys)
+               .withColumn(out, F.col("__loc") + F.col("__off")).drop("__f", "__loc", "__off"))
+    return _plain(counted, keys)
 
 
 def joined_text(piece: Column, order: list[str], sep: str = " ") -> Column:

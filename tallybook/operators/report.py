@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions import words as W
-from tallybook.operators.ordering import id_block, ordinal
+from tallybook.operators.ordering import id_block, join_whole, ordinal
 
 
 def _matched() -> Column:
@@ -95,10 +95,11 @@ def view_counters(view: DataFrame, shown: Column, keys: list[str]) -> DataFrame:
         F.count_if(F.col("status").isin(W.BANK_ONLY, W.LEDGER_ONLY)).alias("pending"))
 
 
-def entry_counters(entries: DataFrame, selected: DataFrame) -> DataFrame:
-    """Bank, manual and selected entries. ``selected``: id."""
-    marked = entries.join(selected.distinct().withColumn("__sel", F.lit(True)), "id", "left")
-    return marked.agg(F.count_if(F.col("source") == "bank").alias("bank"), F.count_if(F.col("source") == "manual").alias("manual"),
+def entry_counters(entries: DataFrame, selected: DataFrame, keys: list[str]) -> DataFrame:
+    """Bank, manual and selected entries per key. ``selected``: keys, id."""
+    chosen = selected.select(*keys, "id").distinct().withColumn("__sel", F.lit(True))
+    marked = join_whole(entries, chosen, [*keys, "id"], "left")
+    return marked.groupBy(*keys).agg(F.count_if(F.col("source") == "bank").alias("bank"), F.count_if(F.col("source") == "manual").alias("manual"),
                       F.count_if("__sel").alias("selected"))
 
 

@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions import words as W
-from tallybook.operators.ordering import id_block, ordinal
+from tallybook.operators.ordering import id_block, join_whole, ordinal
+from tallybook.session import stored
 
 VIEW = ["row_id", "date", "cents", "description", "source", "status", "group_id", "color_code", "cluster_date"]
 
@@ -44,7 +45,10 @@ def _ranked(view: DataFrame) -> DataFrame:
 
 
 def sort_view(view: DataFrame, keys: list[str]) -> DataFrame:
-    """``pos`` in (cluster_date, group_id, source, row_id) order inside the account; write with orderBy(keys, pos)."""
+    """``pos`` in (cluster_date, group_id, source, row_id) order inside the account; write with orderBy(keys, pos).
+
+    Rows without a date come last; rows without an account are one account.
+    """
     alone = F.col("group_id") == "-1"
     view = (_ranked(view).withColumn("__head", F.left("group_id", F.lit(6)))
             .withColumn("__blk", F.struct(F.when(alone, F.col("source_rank")).otherwise(0).alias("a"),
@@ -58,16 +62,17 @@ def with_group_edges(view: DataFrame, keys: list[str]) -> DataFrame:
 
     Needs ``pos``. Rows of a group stand together, so the edges are the group's smallest and largest pos.
     """
+    view = stored(view)
     alone = F.col("group_id") == "-1"
     groups = view.groupBy(*keys, "group_id").agg(F.min("pos").alias("__lo"), F.max("pos").alias("__hi"))
     groups = ordinal(groups.withColumn("__blk", id_block("__lo")), keys, ["__blk"], ["__lo"], "__no").drop("__blk")
     # one account's ungrouped rows all join one row: join the real groups, look the odd one up by account
     none = groups.filter(alone).select(*keys, F.col("__no").alias("__none"))
     real = groups.filter(~alone)
-    rows = view.filter(~alone).join(real, [*keys, "group_id"]).select(
+    rows = join_whole(view.filter(~alone), real, [*keys, "group_id"]).select(
         *view.columns, (F.col("pos") == F.col("__lo")).alias("is_first"), (F.col("pos") == F.col("__hi")).alias("is_last"),
         ((F.col("__no") - 1) % 2 == 0).alias("is_even_group"))
-    loose = view.filter(alone).join(none, keys).select(
+    loose = join_whole(view.filter(alone), none, keys).select(
         *view.columns, F.lit(False).alias("is_first"), F.lit(False).alias("is_last"),
         ((F.col("__none") - 1) % 2 == 0).alias("is_even_group"))
     return rows.unionByName(loose)
@@ -76,7 +81,7 @@ def with_group_edges(view: DataFrame, keys: list[str]) -> DataFrame:
 def top_discrepancies(view: DataFrame, keys: list[str], n: int = 50) -> DataFrame:
     """The first ``n`` unmatched rows per status in date order, with how many there are in all."""
     loose = view.filter(F.col("status").isin(W.BANK_ONLY, W.LEDGER_ONLY))
-    w = Window.partitionBy(*keys, "status").orderBy("date", "cents", "row_id")
+    w = Window.partitionBy(*keys, "status").orderBy(F.col("date").asc_nulls_last(), "cents", "row_id")
     top = loose.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
     counts = loose.groupBy(*keys, "status").agg(F.count("*").alias("total"))
-    return top.join(counts, [*keys, "status"])
+    return join_whole(top, counts, [*keys, "status"])

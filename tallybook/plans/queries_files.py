@@ -10,7 +10,8 @@ from tallybook.operators.clean import append_batch
 from tallybook.operators.match import match_one_to_one
 from tallybook.plans.fixtures import KEYS, date_br, ledger_of, movements, orders_bank, raw_ledger, table, to_lines, with_amount
 from tallybook.plans.queries_report import TWO
-from tallybook.plans.queries_text import T, c, cef_lines, rows_out
+from tallybook.operators.extract_lines import extract_bb_dot
+from tallybook.plans.queries_text import REST_SQL, T, bb_dot_lines, c, cef_lines, rows_out
 from tallybook.plans.registry import MOVES, RAWS, SIDES, query
 from tallybook.session import scratch_path
 from tallybook.sinks import files as K
@@ -127,9 +128,60 @@ BLOCK = f"""'          <STMTTRN>' || chr(10) || '            <TRNTYPE>' || CASE
   '            <MEMO>' || memo || '</MEMO>' || chr(10) || '          </STMTTRN>'"""
 
 
-@query("k3_to_ofx", f"""{MOVES} SELECT file, row_number() OVER (PARTITION BY file ORDER BY row_id) AS ord, {BLOCK} AS text FROM mov""")
+# the whole document as it must come out
+OFX_HEAD = """OFXHEADER:100
+DATA:OFXSGML
+VERSION:102
+SECURITY:NONE
+ENCODING:UTF-8
+CHARSET:1252
+COMPRESSION:NONE
+OLDFILEUID:NONE
+NEWFILEUID:NONE
+<OFX>
+  <SIGNONMSGSRSV1>
+    <SONRS>
+      <STATUS>
+        <CODE>0</CODE>
+        <SEVERITY>INFO</SEVERITY>
+      </STATUS>
+      <DTSERVER>20250101000000</DTSERVER>
+      <LANGUAGE>POR</LANGUAGE>
+    </SONRS>
+  </SIGNONMSGSRSV1>
+  <BANKMSGSRSV1>
+    <STMTTRNRS>
+      <TRNUID>1001</TRNUID>
+      <STATUS>
+        <CODE>0</CODE>
+        <SEVERITY>INFO</SEVERITY>
+      </STATUS>
+      <STMTRS>
+        <CURDEF>BRL</CURDEF>
+        <BANKACCTFROM>
+          <BANKID>000</BANKID>
+          <ACCTID>00000</ACCTID>
+          <ACCTTYPE>CHECKING</ACCTTYPE>
+        </BANKACCTFROM>
+        <BANKTRANLIST>
+          <DTSTART>{LO}</DTSTART>
+          <DTEND>{HI}</DTEND>"""
+OFX_TAIL = """        </BANKTRANLIST>
+        <LEDGERBAL>
+          <BALAMT>0.00</BALAMT>
+          <DTASOF>20250101000000</DTASOF>
+        </LEDGERBAL>
+      </STMTRS>
+    </STMTTRNRS>
+  </BANKMSGSRSV1>
+</OFX>"""
+
+
+@query("k3_to_ofx", f"""{MOVES} SELECT file, row_number() OVER (PARTITION BY file ORDER BY row_id) AS ord, {BLOCK} AS text FROM mov
+UNION ALL SELECT file, 0, replace(replace('{OFX_HEAD}', '{{LO}}', strftime(min(date), '%Y%m%d000000')), '{{HI}}', strftime(max(date), '%Y%m%d235959')) FROM mov GROUP BY 1
+UNION ALL SELECT file, count(*) + 1, '{OFX_TAIL}' FROM mov GROUP BY 1""")
 def k3(spark, sf):
-    return O.to_ofx(ofx_source(spark, sf), ["file"], "20250101000000").filter(F.col("text").startswith("          <STMTTRN>"))
+    return O.to_ofx(ofx_source(spark, sf), ["file"], "20250101000000")
 
 
 @query("k3_ofx_span", f"{MOVES} SELECT file, strftime(min(date), '%Y%m%d000000') AS dtstart, strftime(max(date), '%Y%m%d235959') AS dtend FROM mov GROUP BY 1")
@@ -187,7 +239,7 @@ def s10(spark, sf):
     return chosen.unionByName(others)
 
 
-@query("s11_file_catalog", f"""{MOVES} SELECT DISTINCT 'OFX' AS type, '' AS bank, '001' AS agency, '4913' AS account, strftime(min(date) OVER (PARTITION BY file), '%d/%m/%Y') || ' - ' ||
+@query("s11_file_catalog", f"""{MOVES} SELECT DISTINCT false AS selected, 'TXT' AS type, true AS named, '' AS bank, '001' AS agency, '4913' AS account, strftime(min(date) OVER (PARTITION BY file), '%d/%m/%Y') || ' - ' ||
   strftime(max(date) OVER (PARTITION BY file), '%d/%m/%Y') AS period, file FROM mov""")
 def s11(spark, sf):
     blocks = O.to_ofx(ofx_source(spark, sf), ["file"], "20250101000000", bank_id="001", acct_id="4913")
@@ -197,7 +249,7 @@ def s11(spark, sf):
         "folder", "value").write.partitionBy("folder").text(path)
     accounts = X.ofx_accounts(spark, path).join(X.file_period(X.read_ofx(spark, path)), "file")
     return C.file_catalog(spark, path, accounts, r"\.ofx/[^/]*\.txt$").select(
-        F.lit("OFX").alias("type"), "bank", "agency", "account", "period", F.regexp_extract("path", r"folder=([^/]*)\.ofx", 1).alias("file"))
+        "selected", "type", c("path").endswith(F.concat(F.lit("/"), c("filename"))).alias("named"), "bank", "agency", "account", "period", F.regexp_extract("path", r"folder=([^/]*)\.ofx", 1).alias("file"))
 
 
 @query("s12_source_file", f"{MOVES} SELECT file AS folder, count(*) AS n, CAST(1 AS BIGINT) AS files FROM mov GROUP BY 1")
@@ -272,6 +324,18 @@ def t1(spark, sf):
     return rows_out(spark.read.parquet(sink))
 
 
+@query("t1_stream_bank_pages", f"{MOVES} SELECT file, page_no, date, cents, {REST_SQL} AS memo FROM mov")
+def t1b(spark, sf):
+    """A rule with page windows; the statements arrive in two parts, and the first part once more."""
+    source, sink = scratch_path(spark, "lines"), scratch_path(spark, "bank")
+    lines = bb_dot_lines(spark, sf)
+    first = c("page_no") % 2 == 0
+    for part in (lines.filter(first), lines, lines.filter(first)):
+        part.write.mode("append").parquet(source)
+        stream_bank(spark, source, sink, sink + "-state", extract_bb_dot).awaitTermination()
+    return rows_out(spark.read.parquet(sink))
+
+
 @query("t2_stream_activity", """SELECT CAST(ts AS DATE) AS day, 'upload' AS category, CAST(user_id AS VARCHAR) AS "user", count(*) AS n FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 3""")
 def t2(spark, sf):

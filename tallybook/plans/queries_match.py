@@ -9,7 +9,7 @@ from tallybook.operators import view as V
 from tallybook.operators.clean import clip_to_period
 from tallybook.plans.fixtures import KEYS, combo_bank, combo_ledger, ledger_of, orders_bank
 from tallybook.plans.reconcile import reconcile
-from tallybook.plans.registry import COMBO, COMBOS, SIDES, query
+from tallybook.plans.registry import COMBO, COMBOS, GAPS, SIDES, query
 from tallybook.session import cut_lineage
 
 J1 = """lr AS (SELECT *, row_number() OVER (PARTITION BY account_id, date, cents ORDER BY row_id) AS k FROM ledger),
@@ -40,9 +40,15 @@ def sides(spark, sf):
     return ledger_of(spark, sf), orders_bank(spark, sf)
 
 
-@query("w5_rank", f"{SIDES} SELECT account_id, row_id, row_number() OVER (PARTITION BY account_id ORDER BY date, cents, row_id) AS rank FROM ledger")
+def with_gaps(df):
+    """Some rows without an account, some without a date."""
+    return (df.withColumn("account_id", F.when(F.col("row_id") % 29 != 0, F.col("account_id")))
+            .withColumn("date", F.when(F.col("row_id") % 31 != 0, F.col("date"))))
+
+
+@query("w5_rank", f"{GAPS} SELECT account_id, row_id, row_number() OVER (PARTITION BY account_id ORDER BY date, cents, row_id) AS rank FROM ledger")
 def w5(spark, sf):
-    return M.with_rank(ledger_of(spark, sf), KEYS).select("account_id", "row_id", "rank")
+    return M.with_rank(with_gaps(ledger_of(spark, sf)), KEYS).select("account_id", "row_id", "rank")
 
 
 @query("p4_clip_to_period", f"""{SIDES}, p AS (SELECT account_id, min(date) AS lo, max(date) AS hi FROM ledger GROUP BY 1)
@@ -99,8 +105,9 @@ def j8(spark, sf):
     return M.match_any_sign(bank, led, KEYS).select("account_id", "bank_id", "ledger_id", "opposite_sign")
 
 
+POOL = 20      # ledger rows that a combo is looked for in, as in the SQL below
 CAND = """cand AS (SELECT b.account_id, b.row_id AS bank_id, b.cents AS b_cents, l.row_id AS ledger_id, l.cents,
-  row_number() OVER (PARTITION BY b.account_id, b.row_id ORDER BY l.date, l.cents, l.row_id) AS place
+  row_number() OVER (PARTITION BY b.account_id, b.row_id ORDER BY l.date, l.cents, l.row_id) AS place, count(*) OVER (PARTITION BY b.account_id, b.row_id) AS total
   FROM cb b JOIN cl l ON l.account_id = b.account_id AND l.date BETWEEN b.date - 3 AND b.date + 3 QUALIFY place <= 20)"""
 SUBSETS = f"""{CAND}, two AS (SELECT a.account_id, a.bank_id, a.b_cents, a.place AS p, b.place AS q, a.cents + b.cents AS s, [a.ledger_id, b.ledger_id] AS m
   FROM cand a JOIN cand b ON a.bank_id = b.bank_id AND a.account_id = b.account_id AND a.place < b.place),
@@ -114,14 +121,25 @@ best AS (SELECT account_id, bank_id, size, m FROM fits WHERE abs(abs(s) - abs(b_
   QUALIFY row_number() OVER (PARTITION BY account_id, bank_id ORDER BY size, p, q, r, u) = 1)"""
 
 
-@query("j5_combo_candidates", f"{COMBOS}, {CAND} SELECT account_id, bank_id, place, ledger_id FROM cand")
+@query("j5_combo_candidates", f"{COMBOS}, {CAND} SELECT account_id, bank_id, place, ledger_id, total > 20 AS pool_cut FROM cand")
 def j5(spark, sf):
-    return C.combo_candidates(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS)
+    return C.combo_candidates(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS, POOL)
+
+
+@query("j5_candidates_cut", f"{COMBOS}, {CAND.replace('<= 20', '<= 3')} SELECT account_id, bank_id, place, ledger_id, total > 3 AS pool_cut FROM cand")
+def j5b(spark, sf):
+    return C.combo_candidates(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS, 3)
 
 
 @query("j6_combo_enumerate", f"""{COMBOS}, {SUBSETS} SELECT account_id, bank_id, size, array_to_string(list_transform(m, lambda x: CAST(x AS VARCHAR)), ',') AS members FROM best""")
 def j6(spark, sf):
-    out = C.combo_enumerate(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS)
+    out = C.combo_enumerate(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS, POOL).drop("pool_cut")
+    return out.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
+@query("j6_combo_unbounded", f"""{COMBOS}, {SUBSETS.replace(" QUALIFY place <= 20", "")} SELECT account_id, bank_id, size, array_to_string(list_transform(m, lambda x: CAST(x AS VARCHAR)), ',') AS members FROM best""")
+def j6b(spark, sf):
+    out = C.combo_enumerate(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS, None).drop("pool_cut")
     return out.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
@@ -149,7 +167,7 @@ combos AS (SELECT n, coalesce((SELECT list([a.x, b.x] ORDER BY a.x, b.x) FROM nu
 @query("j7_combo_assign", f"""WITH RECURSIVE {COMBO}, {PLACES}, {J7}
 SELECT account_id, bank_id, CAST(len(pick) AS INTEGER) AS size, unnest(pick) AS ledger_id FROM steps WHERE bank_id IS NOT NULL AND pick IS NOT NULL""")
 def j7(spark, sf):
-    out = C.combo_assign(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS)
+    out = C.combo_assign(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS, POOL)
     return out.select("account_id", "bank_id", "size", "ledger_id")
 
 
@@ -178,12 +196,12 @@ whole AS (SELECT *, CASE WHEN group_id = '-1' THEN date ELSE min(date) OVER (PAR
 
 @query("j9_reconcile", f"{WHOLE} SELECT * FROM whole")
 def j9(spark, sf):
-    return reconcile(*sides(spark, sf), KEYS).view
+    return reconcile(*sides(spark, sf), KEYS, POOL).view
 
 
 def whole_view(spark, sf):
     """Timeline of the one-to-one data, written once: several queries read it twice."""
-    return cut_lineage(reconcile(*sides(spark, sf), KEYS).view)
+    return cut_lineage(reconcile(*sides(spark, sf), KEYS, POOL).view)
 
 
 # items and totals: one-item orders match one to one when the day fits, the others as combos
@@ -196,7 +214,7 @@ bank AS (SELECT b.* FROM bank_all b JOIN period p ON p.account_id = b.account_id
 
 @query("j9_reconcile_totals", f"{TOTALS} SELECT account_id, row_id, date, cents, source, status, group_id, cluster_date FROM whole")
 def j9_totals(spark, sf):
-    view = reconcile(combo_ledger(spark, sf), combo_bank(spark, sf), KEYS).view
+    view = reconcile(combo_ledger(spark, sf), combo_bank(spark, sf), KEYS, POOL).view
     return view.select("account_id", "row_id", "date", "cents", "source", "status", "group_id", "cluster_date")
 
 
@@ -229,9 +247,12 @@ seen AS (SELECT account_id, group_id, min(pos) AS lo, max(pos) AS hi FROM view2
 ranked AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY lo) - 1 AS idx FROM seen)"""
 
 
-def exact_view(spark, sf):
+VIEW_GAPS = VIEW.replace(SIDES, GAPS, 1)
+
+
+def exact_view(spark, sf, gaps=False):
     """The timeline of the exact pass alone."""
-    led, bank = sides(spark, sf)
+    led, bank = map(with_gaps, sides(spark, sf)) if gaps else sides(spark, sf)
     runs = M.one_to_one_runs(led, bank, KEYS, tol=None)
     led, bank = (M.with_match_id(M.tag_side(df, runs, KEYS, s)) for df, s in ((led, "l"), (bank, "b")))
     return V.build_view(led, bank, no_combos(spark), KEYS)
@@ -242,19 +263,18 @@ def w2(spark, sf):
     return V.with_cluster_date(exact_view(spark, sf), KEYS).select("account_id", "row_id", "source", "group_id", "cluster_date")
 
 
-@query("w3_sort_view", f"{VIEW} SELECT account_id, row_id, source, pos FROM view2")
+@query("w3_sort_view", f"{VIEW_GAPS} SELECT account_id, row_id, source, pos FROM view2")
 def w3(spark, sf):
-    return V.sort_view(cut_lineage(exact_view(spark, sf)), KEYS).select("account_id", "row_id", "source", "pos")
+    return V.sort_view(exact_view(spark, sf, gaps=True), KEYS).select("account_id", "row_id", "source", "pos")
 
 
-@query("w4_group_edges", f"""{VIEW} SELECT account_id, v.row_id, v.source, v.group_id <> '-1' AND pos = lo AS is_first, v.group_id <> '-1' AND pos = hi AS is_last,
-  idx % 2 = 0 AS is_even_group FROM view2 v JOIN ranked USING (account_id, group_id)""")
+@query("w4_group_edges", f"""{VIEW_GAPS} SELECT v.account_id, v.row_id, v.source, v.group_id <> '-1' AND pos = lo AS is_first, v.group_id <> '-1' AND pos = hi AS is_last,
+  idx % 2 = 0 AS is_even_group FROM view2 v JOIN ranked r ON v.account_id IS NOT DISTINCT FROM r.account_id AND v.group_id = r.group_id""")
 def w4(spark, sf):
-    view = cut_lineage(V.sort_view(cut_lineage(exact_view(spark, sf)), KEYS))
-    return V.with_group_edges(view, KEYS).select("account_id", "row_id", "source", "is_first", "is_last", "is_even_group")
+    return V.with_group_edges(V.sort_view(exact_view(spark, sf, gaps=True), KEYS), KEYS).select("account_id", "row_id", "source", "is_first", "is_last", "is_even_group")
 
 
-@query("w6_top_discrepancies", f"""{VIEW} SELECT account_id, status, row_id, place, total FROM (SELECT *, row_number() OVER (PARTITION BY account_id, status ORDER BY date, cents, row_id) AS place,
+@query("w6_top_discrepancies", f"""{VIEW_GAPS} SELECT account_id, status, row_id, place, total FROM (SELECT *, row_number() OVER (PARTITION BY account_id, status ORDER BY date, cents, row_id) AS place,
   count(*) OVER (PARTITION BY account_id, status) AS total FROM view1 WHERE status <> 'Conciliado') WHERE place <= 50""")
 def w6(spark, sf):
-    return V.top_discrepancies(exact_view(spark, sf), KEYS).select("account_id", "status", "row_id", "place", "total")
+    return V.top_discrepancies(exact_view(spark, sf, gaps=True), KEYS).select("account_id", "status", "row_id", "place", "total")

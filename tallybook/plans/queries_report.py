@@ -9,7 +9,7 @@ from tallybook.operators.clean import filter_view
 from tallybook.operators.match import match_one_to_one
 from tallybook.operators.view import build_view
 from tallybook.plans.fixtures import KEYS, ledger_of, orders_bank, with_amount
-from tallybook.plans.queries_match import NUMBERED, VIEW, WHOLE, exact_view, no_combos, whole_view
+from tallybook.plans.queries_match import NUMBERED, VIEW, VIEW_GAPS, WHOLE, exact_view, no_combos, whole_view
 from tallybook.plans.registry import SIDES, query
 from tallybook.session import cut_lineage
 from tallybook.sinks.files import divergences
@@ -103,12 +103,12 @@ def k5(spark, sf):
             .unionByName(not_in_bank.select(*pick, F.lit("not_in_bank").alias("report"))))
 
 
-@query("k6_report_sheets", f"""{VIEW}, s AS (SELECT *, CASE status WHEN 'Conciliado' THEN 'Conciliados' WHEN 'Apenas no Banco' THEN 'Apenas Banco' ELSE 'Apenas Diário' END AS sheet FROM view1)
+@query("k6_report_sheets", f"""{VIEW_GAPS}, s AS (SELECT *, CASE status WHEN 'Conciliado' THEN 'Conciliados' WHEN 'Apenas no Banco' THEN 'Apenas Banco' ELSE 'Apenas Diário' END AS sheet FROM view1)
 SELECT account_id, sheet, row_number() OVER (PARTITION BY account_id, sheet ORDER BY date, source_rank, row_id) AS ord, date AS "Data", source AS "Origem", description AS "Descrição",
   CAST(cents AS BIGINT) AS "Valor", status AS "Status", CASE WHEN group_id = '-1' THEN '' ELSE group_id END AS "Grupo" FROM s
 UNION ALL SELECT account_id, sheet, count(*) + 1, NULL, NULL, 'TOTAL:', CAST(sum(cents) AS BIGINT), NULL, NULL FROM s GROUP BY 1, 2""")
 def k6(spark, sf):
-    return R.report_sheets(cut_lineage(exact_view(spark, sf)), KEYS)
+    return R.report_sheets(cut_lineage(exact_view(spark, sf, gaps=True)), KEYS)
 
 
 @query("k8_json_rows", f"""{VIEW} SELECT account_id, row_id, '{{"row_id":' || row_id || ',"date":"' || strftime(date, '%Y-%m-%d') || '","cents":' || cents || ',"source":"' || source || '","status":"' || status ||

@@ -9,6 +9,7 @@ from tallybook.operators import balance as B
 from tallybook.operators import clean as P
 from tallybook.operators import journal as J
 from tallybook.operators import ledger as L
+from tallybook.operators import ordering as O
 from tallybook.operators.extract_lines import extract_cef, extract_simple
 from tallybook.plans.fixtures import date_br, ledger_of, movements, orders_bank, raw_ledger, table, to_lines, with_amount
 from tallybook.plans.queries_text import BR_ABS, T, balance_cents, c, cef_lines
@@ -196,11 +197,13 @@ def d1(spark, sf):
     return P.dedup_statement(txn.unionByName(again)).select("file", "memo", S.to_cents("amount").alias("cents"), "internal_id")
 
 
-@query("d2_consolidate", f"""{MOVES} SELECT file AS source_file, row_id % 1000 AS internal_id, date, cents, trim(CASE WHEN prio = 'LOW' THEN '' ELSE memo END) AS description FROM mov""")
+@query("d2_consolidate", f"""{MOVES} SELECT file AS source_file, row_id % 1000 AS internal_id, date, cents, trim(CASE WHEN prio = 'LOW' THEN '' ELSE memo END) AS description FROM mov
+UNION ALL SELECT file, NULL, date, cents, trim(CASE WHEN prio = 'LOW' THEN '' ELSE memo END) FROM mov WHERE cents > 0""")
 def d2(spark, sf):
     rows = statement(spark, sf).select(c("file").alias("source_file"), "internal_id", "date", "amount",
                                        F.when(c("prio") != "LOW", F.concat(F.lit(" "), c("memo"), F.lit(" "))).alias("description"))
-    out = P.consolidate([rows, rows.filter("amount < 0"), rows])
+    # the same ids again with other contents, and rows of a source that has no ids
+    out = P.consolidate([rows, rows.filter("amount < 0").withColumn("description", F.lit("AAA")), rows.filter("amount > 0").drop("internal_id")])
     return out.select("source_file", "internal_id", "date", S.to_cents("amount").alias("cents"), "description")
 
 
@@ -378,8 +381,8 @@ def a21(spark, sf):
     return B.null_audit(raw)
 
 
-@query("a22_load_status", f"""WITH {LEDGER}, {BANK}, n AS (SELECT account_id, string_agg(f, ', ' ORDER BY f) AS ledger_name FROM (SELECT DISTINCT account_id, description AS f FROM ledger) GROUP BY 1)
-SELECT account_id, ledger_count, coalesce(bank_count, 0) AS bank_count, ledger_name FROM (SELECT account_id, count(*) AS ledger_count FROM ledger GROUP BY 1)
+@query("a22_load_status", f"""WITH {LEDGER}, {BANK}, n AS (SELECT account_id, f AS ledger_name, row_number() OVER (PARTITION BY account_id ORDER BY f) AS place FROM (SELECT DISTINCT account_id, description AS f FROM ledger))
+SELECT account_id, ledger_count, coalesce(bank_count, 0) AS bank_count, ledger_name, place FROM (SELECT account_id, count(*) AS ledger_count FROM ledger GROUP BY 1)
   LEFT JOIN (SELECT account_id, count(*) AS bank_count FROM bank GROUP BY 1) USING (account_id) JOIN n USING (account_id)""")
 def a22(spark, sf):
     led = ledger_of(spark, sf).withColumn("source_file", c("description"))
@@ -403,20 +406,24 @@ def a25(spark, sf):
 # ---- journal -------------------------------------------------------------------------------------
 
 def entries_of(spark, sf) -> DataFrame:
-    return with_amount(orders_bank(spark, sf)).select(F.concat(F.lit("bank_"), c("row_id").cast("string")).alias("id"), "date", "amount", "description", "account_id", "row_id")
+    """Every id stands in two accounts; some entries have no date."""
+    rows = with_amount(orders_bank(spark, sf)).withColumn("date", F.when(c("row_id") % 31 != 0, c("date")))
+    rows = rows.select(F.concat(F.lit("bank_"), c("row_id").cast("string")).alias("id"), "date", "amount", "description", "account_id")
+    return rows.unionByName(rows.withColumn("account_id", c("account_id") + 1000))
 
 
 def edits_of(spark, sf) -> DataFrame:
-    """Two versions of the debit account and one document per edited row."""
-    rows = orders_bank(spark, sf).filter(c("row_id") % 7 == 0).select(F.concat(F.lit("bank_"), c("row_id").cast("string")).alias("id"), "row_id")
+    """Two versions of the debit account and one document per edited row; the second account's entries are not edited."""
+    rows = orders_bank(spark, sf).filter(c("row_id") % 7 == 0).select("account_id", F.concat(F.lit("bank_"), c("row_id").cast("string")).alias("id"), "row_id")
     versions = F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value"), F.lit(s).cast("bigint").alias("seq")) for f, v, s in (
         ("conta_debito", F.lit("100"), 1), ("conta_debito", F.concat(F.lit("20"), c("row_id").cast("string")), 2), ("documento", F.lit("D9"), 3))])
-    return rows.select("id", F.inline(versions))
+    return rows.select("account_id", "id", F.inline(versions))
 
 
-ENTRIES = f"""{SIDES}, ent AS (SELECT 'bank_' || row_id AS id, date, cents, description, CASE WHEN row_id % 7 = 0 THEN '20' || row_id ELSE '78' END AS conta_debito, '' AS participante_debito,
-  '6670' AS conta_credito, '' AS participante_credito, CASE WHEN row_id % 7 = 0 THEN 'D9' ELSE '001' END AS documento, 'bank' AS source, row_id % 7 = 0 AS is_edited, row_id, account_id FROM bank)"""
-ENTRY_COLS = "id, date, cents, description, conta_debito, participante_debito, conta_credito, participante_credito, documento, source, is_edited"
+ENTRIES = f"""{SIDES}, twice AS (SELECT account_id, row_id, date, cents, description, row_id % 7 = 0 AS ed FROM bank UNION ALL SELECT account_id + 1000, row_id, date, cents, description, false FROM bank),
+ent AS (SELECT 'bank_' || row_id AS id, CASE WHEN row_id % 31 = 0 THEN NULL ELSE date END AS date, cents, description, CASE WHEN ed THEN '20' || row_id ELSE '78' END AS conta_debito, '' AS participante_debito,
+  '6670' AS conta_credito, '' AS participante_credito, CASE WHEN ed THEN 'D9' ELSE '001' END AS documento, 'bank' AS source, ed AS is_edited, row_id, account_id FROM twice)"""
+ENTRY_COLS = "account_id, id, date, cents, description, conta_debito, participante_debito, conta_credito, participante_credito, documento, source, is_edited"
 
 
 def entry_cents(df: DataFrame) -> DataFrame:
@@ -424,7 +431,7 @@ def entry_cents(df: DataFrame) -> DataFrame:
 
 
 def overlaid(spark, sf) -> DataFrame:
-    return J.overlay_edits(entries_of(spark, sf), edits_of(spark, sf))
+    return J.overlay_edits(entries_of(spark, sf), edits_of(spark, sf), ["account_id"])
 
 
 @query("j10_overlay_edits", f"{ENTRIES} SELECT {ENTRY_COLS} FROM ent")
@@ -433,55 +440,73 @@ def j10(spark, sf):
 
 
 def manual_log(spark, sf) -> DataFrame:
-    """Every ledger row is added by hand, every second one added again later, pending ones deleted last."""
+    """Every ledger row is added by hand, every second one added again later, pending ones deleted last, in one of two accounts with the same ids."""
     led = with_amount(ledger_of(spark, sf))
-    base = led.select("row_id", F.concat(F.lit("manual_"), c("row_id").cast("string")).alias("id"), "date", "amount", "description", F.lit("10").alias("conta_debito"),
+    base = led.select("account_id", "row_id", F.concat(F.lit("manual_"), c("row_id").cast("string")).alias("id"), "date", "amount", "description", F.lit("10").alias("conta_debito"),
                       F.lit(None).cast("string").alias("participante_debito"), F.lit("20").alias("conta_credito"), F.lit("P1").alias("participante_credito"),
                       F.when(c("row_id") % 3 == 0, "X7").otherwise("").alias("documento"))
     first = base.withColumn("op", F.lit("add")).withColumn("seq", F.lit(1))
     second = base.filter(c("row_id") % 2 == 0).withColumn("op", F.lit("add")).withColumn("seq", F.lit(2)).withColumn("conta_debito", F.lit("11"))
     gone = base.filter(c("description") == "5-LOW").withColumn("op", F.lit("delete")).withColumn("seq", F.lit(3))
-    return first.unionByName(second).unionByName(gone).drop("row_id")
+    other = first.withColumn("account_id", c("account_id") + 1000)
+    return first.unionByName(second).unionByName(gone).unionByName(other).drop("row_id")
 
 
-MANUAL = f"""man AS (SELECT 'manual_' || row_id AS id, date, cents, description, CASE WHEN row_id % 2 = 0 THEN '11' ELSE '10' END AS conta_debito, '' AS participante_debito, '20' AS conta_credito,
-  'P1' AS participante_credito, CASE WHEN row_id % 3 = 0 THEN 'X7' ELSE '001' END AS documento, 'manual' AS source, false AS is_edited, row_id, account_id FROM ledger WHERE description <> '5-LOW')"""
+MANUAL = f"""by_hand AS (SELECT *, row_id % 2 = 0 AS again FROM ledger WHERE description <> '5-LOW' UNION ALL SELECT * REPLACE (account_id + 1000 AS account_id), false FROM ledger),
+man AS (SELECT 'manual_' || row_id AS id, date, cents, description, CASE WHEN again THEN '11' ELSE '10' END AS conta_debito, '' AS participante_debito, '20' AS conta_credito,
+  'P1' AS participante_credito, CASE WHEN row_id % 3 = 0 THEN 'X7' ELSE '001' END AS documento, 'manual' AS source, false AS is_edited, row_id, account_id FROM by_hand)"""
 
 
 @query("j12_manual_log", f"{SIDES}, {MANUAL} SELECT {ENTRY_COLS} FROM man")
 def j12(spark, sf):
-    return entry_cents(J.apply_manual_log(manual_log(spark, sf)))
+    return entry_cents(J.apply_manual_log(manual_log(spark, sf), ["account_id"]))
 
 
 @query("d6_all_entries", f"{ENTRIES}, {MANUAL} SELECT {ENTRY_COLS} FROM ent UNION ALL SELECT {ENTRY_COLS} FROM man")
 def d6(spark, sf):
-    return entry_cents(P.all_entries(overlaid(spark, sf), J.apply_manual_log(manual_log(spark, sf))))
+    return entry_cents(P.all_entries(overlaid(spark, sf), J.apply_manual_log(manual_log(spark, sf), ["account_id"])))
 
 
 def chosen_ids(spark, sf) -> DataFrame:
-    return orders_bank(spark, sf).filter("cents > 0").select(F.concat(F.lit("bank_"), c("row_id").cast("string")).alias("id"))
+    return orders_bank(spark, sf).filter("cents > 0").select("account_id", F.concat(F.lit("bank_"), c("row_id").cast("string")).alias("id"))
 
 
-@query("j11_select_entries", f"{ENTRIES} SELECT id, cents FROM ent WHERE cents > 0")
+@query("j11_select_entries", f"{ENTRIES} SELECT account_id, id, cents FROM ent WHERE cents > 0 AND account_id < 1000")
 def j11(spark, sf):
-    return entry_cents(J.select_entries(overlaid(spark, sf), chosen_ids(spark, sf))).select("id", "cents")
+    return entry_cents(J.select_entries(overlaid(spark, sf), chosen_ids(spark, sf), ["account_id"])).select("account_id", "id", "cents")
 
 
-@query("a24_entry_counters", f"{ENTRIES}, {MANUAL} SELECT (SELECT count(*) FROM ent) AS bank, (SELECT count(*) FROM man) AS manual, (SELECT count(*) FROM ent WHERE cents > 0) AS selected")
+@query("a24_entry_counters", f"""{ENTRIES}, {MANUAL} SELECT account_id, count(*) FILTER (WHERE source = 'bank') AS bank, count(*) FILTER (WHERE source = 'manual') AS manual,
+  count(*) FILTER (WHERE source = 'bank' AND cents > 0 AND account_id < 1000) AS selected FROM (SELECT account_id, source, cents FROM ent UNION ALL SELECT account_id, source, cents FROM man) GROUP BY 1""")
 def a24b(spark, sf):
     from tallybook.operators.report import entry_counters
-    return entry_counters(P.all_entries(overlaid(spark, sf), J.apply_manual_log(manual_log(spark, sf))), chosen_ids(spark, sf))
+    return entry_counters(P.all_entries(overlaid(spark, sf), J.apply_manual_log(manual_log(spark, sf), ["account_id"])), chosen_ids(spark, sf), ["account_id"])
 
 
 @query("k1_journal_lines", f"""{ENTRIES}, n AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY date, id) AS n FROM ent)
-SELECT account_id, n, n || ',' || strftime(date, '%d/%m/%Y') || ',' || conta_debito || ',,' || conta_credito || ',,' || CAST(CAST(cents / 100.0 AS DECIMAL(18,2)) AS VARCHAR) || ',,' || description ||
+SELECT account_id, n, n || ',' || coalesce(strftime(date, '%d/%m/%Y'), '') || ',' || conta_debito || ',,' || conta_credito || ',,' || CAST(CAST(cents / 100.0 AS DECIMAL(18,2)) AS VARCHAR) || ',,' || description ||
   ',DCTO,,' || documento AS line FROM n""")
 def k1(spark, sf):
-    ids = entries_of(spark, sf).select("id", "account_id")
-    return J.to_journal_lines(overlaid(spark, sf).join(ids, "id"), ["account_id"])
+    return J.to_journal_lines(overlaid(spark, sf), ["account_id"])
 
 
 @query("k2_journal_file_name", "SELECT c_custkey, 'lancamento_' || upper(replace(c_name || ' ltda', ' ', '')) || '_' || (c_custkey % 12 + 1) || '2025 BANCO.txt' AS file_name FROM customer")
 def k2(spark, sf):
     name = J.journal_file_name(F.concat("c_name", F.lit(" ltda")), c("c_custkey") % 12 + 1, F.lit(2025), F.lit("BANCO"))
     return table(spark, sf, "customer").select("c_custkey", name.alias("file_name"))
+
+
+# ---- ordering helpers ----------------------------------------------------------------------------
+
+@query("w7_carry_last", f"""{MOVES} SELECT row_id, last_value(CASE WHEN slot % 7 = 3 THEN date END IGNORE NULLS) OVER (
+  PARTITION BY file ORDER BY page_no, slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM mov""")
+def w7(spark, sf):
+    rows = movements(spark, sf).select("row_id", "file", "page_no", "slot", "date")
+    return O.carry_last(rows, ["file"], "page_no", ["slot"], {"seen": F.when(c("slot") % 7 == 3, c("date"))}).select("row_id", "seen")
+
+
+@query("w8_running_count", f"""{MOVES} SELECT row_id, count(*) FILTER (WHERE prio = 'URGENT') OVER (
+  PARTITION BY file ORDER BY page_no, slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM mov""")
+def w8(spark, sf):
+    rows = movements(spark, sf).select("row_id", "file", "page_no", "slot", "prio")
+    return O.running_count(rows, ["file"], "page_no", ["slot"], c("prio") == "URGENT", "n").select("row_id", "n")

@@ -87,9 +87,9 @@ def x2(spark, sf):
     return rows_out(X.map_fields(dual_lines(spark, sf), DUAL_LAYOUT).filter("is_match"), "type")
 
 
-@query("x3_fitid", f"{MOVES} SELECT file, page_no, slot * 10 AS line_no, strftime(date, '%Y%m%d') || abs(cents) AS fitid FROM mov WHERE slot > 0")
+@query("x3_fitid", f"{MOVES} SELECT file, page_no, CAST(slot * 10 + CASE WHEN slot = 0 THEN 1 ELSE 0 END AS INTEGER) AS line_no, strftime(date, '%Y%m%d') || abs(cents) AS fitid FROM mov")
 def x3(spark, sf):
-    return X.map_fields(dual_lines(spark, sf), DUAL_LAYOUT).filter("is_match and line_no >= 10").select("file", "page_no", "line_no", "fitid")
+    return X.map_fields(dual_lines(spark, sf), DUAL_LAYOUT).filter("is_match").select("file", "page_no", "line_no", "fitid")
 
 
 def doc_lines(spark, sf) -> DataFrame:
@@ -176,9 +176,11 @@ def x10(spark, sf):
     return rows_out(X.extract_bb_g331(g331_lines(spark, sf)), to_cents("balance").alias("balance"))
 
 
-@query("x10_bb_g331_balances", f"{MOVES} SELECT file, page_no, CAST(-50000 AS BIGINT) AS bal_start, CAST(115000 AS BIGINT) AS bal_end FROM mov GROUP BY 1, 2 HAVING count(*) = 40")
+# the closing line stands below the last slot of a page; a shorter page ends with its last balance
+@query("x10_bb_g331_balances", f"""{MOVES} SELECT file, page_no, CAST(CASE WHEN min(slot) = 0 THEN -50000 END AS BIGINT) AS bal_start,
+  CAST(CASE WHEN max(slot) = 39 THEN 115000 ELSE max(row_id) FILTER (WHERE row_id % 3 = 0) * 100 + 7 END AS BIGINT) AS bal_end FROM mov GROUP BY 1, 2""")
 def x10b(spark, sf):
-    return balance_cents(X.bb_g331_balances(g331_lines(spark, sf)), "file", "page_no").filter("bal_end = 115000")
+    return balance_cents(X.bb_g331_balances(g331_lines(spark, sf)), "file", "page_no")
 
 
 def bb_dot_lines(spark, sf):
@@ -245,10 +247,10 @@ def x15(spark, sf):
     return rows_out(X.extract_santander(santander_lines(spark, sf)))
 
 
-@query("x15_santander_balances", f"""{MOVES} SELECT file, page_no, min(row_id) * 100 + 7 AS bal_start, max(row_id) * 100 + 7 AS bal_end
-  FROM mov WHERE slot % 10 = 5 GROUP BY 1, 2""")
+@query("x15_santander_balances", f"""{MOVES} SELECT file, page_no, min(row_id) FILTER (WHERE slot % 10 = 5) * 100 + 7 AS bal_start,
+  max(row_id) FILTER (WHERE slot % 10 = 5) * 100 + 7 AS bal_end FROM mov GROUP BY 1, 2""")
 def x15b(spark, sf):
-    return balance_cents(X.santander_balances(santander_lines(spark, sf)), "file", "page_no").filter("bal_start is not null")
+    return balance_cents(X.santander_balances(santander_lines(spark, sf)), "file", "page_no")
 
 
 def sicredi_lines(spark, sf):
@@ -330,9 +332,10 @@ def x21(spark, sf):
     return rows_out(V.extract_bradesco(bradesco_words(spark, sf)), to_cents("balance").alias("balance"))
 
 
-@query("x21_bradesco_balances", f"{MOVES} SELECT file, page_no, CAST(NULL AS BIGINT) AS bal_start, CAST(99999 AS BIGINT) AS bal_end FROM mov GROUP BY 1, 2 HAVING count(*) = 40")
+@query("x21_bradesco_balances", f"""{MOVES} SELECT file, page_no, CAST(NULL AS BIGINT) AS bal_start, CAST(CASE WHEN max(slot) = 39 THEN 99999 ELSE max(row_id) * 100 + 7 END AS BIGINT) AS bal_end
+  FROM mov GROUP BY 1, 2""")
 def x21b(spark, sf):
-    return balance_cents(V.bradesco_balances(bradesco_words(spark, sf)), "file", "page_no").filter("bal_end = 99999")
+    return balance_cents(V.bradesco_balances(bradesco_words(spark, sf)), "file", "page_no")
 
 
 def sicoob_words(spark, sf):
@@ -348,9 +351,10 @@ def x22(spark, sf):
     return rows_out(V.extract_sicoob(sicoob_words(spark, sf)), to_cents("balance").alias("balance"))
 
 
-@query("x22_sicoob_balances", f"{MOVES} SELECT file, page_no, CAST(100000 AS BIGINT) AS bal_start, CAST(-7700 AS BIGINT) AS bal_end FROM mov GROUP BY 1, 2 HAVING count(*) = 40")
+@query("x22_sicoob_balances", f"""{MOVES} SELECT file, page_no, CAST(CASE WHEN min(slot) = 0 THEN 100000 END AS BIGINT) AS bal_start,
+  CAST(CASE WHEN max(slot) = 39 THEN -7700 WHEN min(slot) = 0 THEN 100000 END AS BIGINT) AS bal_end FROM mov GROUP BY 1, 2""")
 def x22b(spark, sf):
-    return balance_cents(V.sicoob_balances(sicoob_words(spark, sf)), "file", "page_no").filter("bal_end = -7700")
+    return balance_cents(V.sicoob_balances(sicoob_words(spark, sf)), "file", "page_no")
 
 
 @query("x23_simple", f"""{MOVES}, d AS (SELECT *, CASE WHEN row_id % 5 = 0 THEN TRY_CAST('2025' || strftime(date, '-%m-%d') AS DATE) ELSE date END AS rd FROM mov)
@@ -361,9 +365,10 @@ def x23(spark, sf):
     return rows_out(X.extract_simple(to_lines(movements(spark, sf), [T(day, c("memo"), value)], [F.lit("EXTRATO")]), 2025))
 
 
-@query("a2_scan_balances", f"{MOVES} SELECT file, CAST(100000 AS BIGINT) AS bal_start, CAST(115000 AS BIGINT) AS bal_end FROM mov GROUP BY 1 HAVING count(*) >= 40")
+@query("a2_scan_balances", f"""{MOVES} SELECT file, CAST(CASE WHEN min(slot) = 0 THEN 100000 END AS BIGINT) AS bal_start, CAST(CASE WHEN max(slot) = 39 THEN 115000 END AS BIGINT) AS bal_end
+  FROM mov GROUP BY 1""")
 def a2(spark, sf):
-    return balance_cents(X.scan_balances(dot_lines(spark, sf), DOT_LAYOUT), "file").filter("bal_end is not null")
+    return balance_cents(X.scan_balances(dot_lines(spark, sf), DOT_LAYOUT), "file")
 
 
 # ---- layouts -------------------------------------------------------------------------------------

@@ -20,6 +20,10 @@ BANK = """bank AS (
          cents, 'TX ' || description AS description
   FROM ledger WHERE NOT (st = 'P' AND description = '5-LOW'))"""
 SIDES = f"WITH {LEDGER}, {BANK}"
+# the same sides with rows that lack a date or an account
+GAPS = f"""WITH {LEDGER.replace("ledger AS (", "ledger0 AS (", 1)}, {BANK.replace("bank AS (", "bank0 AS (", 1).replace("FROM ledger ", "FROM ledger0 ")},
+ledger AS (SELECT * REPLACE (CASE WHEN row_id % 29 = 0 THEN NULL ELSE account_id END AS account_id, CASE WHEN row_id % 31 = 0 THEN NULL ELSE date END AS date) FROM ledger0),
+bank AS (SELECT * REPLACE (CASE WHEN row_id % 29 = 0 THEN NULL ELSE account_id END AS account_id, CASE WHEN row_id % 31 = 0 THEN NULL ELSE date END AS date) FROM bank0)"""
 MOV = """mov AS (
   SELECT o_orderkey AS row_id, o_custkey AS cust, 'stmt-' || (o_orderkey // 1000) AS file,
          CAST((o_orderkey % 1000) // 40 + 1 AS INTEGER) AS page_no, CAST((o_orderkey % 1000) % 40 AS INTEGER) AS slot,

@@ -1,6 +1,9 @@
 """Session defaults and the shared folder for cut lineage and exchange files."""
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,20 +35,48 @@ def local_session(cores: int | str = 8, app: str = "tallybook") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one is set here only where none is named (tests)."""
+    """The cluster's checkpoint folder (spark.checkpoint.dir, or what setCheckpointDir was given).
+
+    Where none is named, a local session gets a folder of its own; a cluster's executors could not share that, so there it is an error.
+    What is written below it belongs to the job: the cluster removes it with the folder, a local session's at its end.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tallybook-")
+        if current.isDefined():
+            folder = current.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            folder = tempfile.mkdtemp(prefix="tallybook-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        else:
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers of the session, which need not see the folder it lies in."""
+    if getattr(spark.sparkContext, "_tallybook_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="tallybook-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tallybook", "zip", os.path.dirname(here), "tallybook"))
+    spark.sparkContext._tallybook_shipped = True
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written once as Parquet and read back: later steps read only the columns they use, and survive lost executors."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors."""
     shared_dir(df.sparkSession)

@@ -10,17 +10,25 @@ from tallybook.operators.extract_lines import extract_cef
 from tallybook.schemas import ACTIVITY, LINES
 
 
-def stream_bank(spark: SparkSession, source: str, sink: str, checkpoint: str, rule=extract_cef, keep: str = "7 days") -> StreamingQuery:
-    """New LINES files -> bank rows; zero rows out, the same physical row once.
+PLACE = ["file", "page_no", "line_no"]
 
-    The id of a row is its place in the file. State is bounded: a file sent again later than ``keep`` after its
-    first arrival is not recognised.
+
+def stream_bank(spark: SparkSession, source: str, sink: str, checkpoint: str, rule=extract_cef) -> StreamingQuery:
+    """New LINES files -> bank rows; zero rows out, the same physical row once, however late it comes again.
+
+    Any rule of the batch side can run, as each batch is a table of its own; a page must arrive whole. The id of a row is its place in
+    the file: places that earlier batches wrote are left out. The sink is a folder for each batch (column ``batch``), which a
+    repeated batch replaces.
     """
+    def add(lines: DataFrame, batch: int) -> None:
+        rows = drop_zero(rule(lines.dropDuplicates(PLACE)))
+        if batch:
+            known = lines.sparkSession.read.option("basePath", sink).parquet(sink).filter(F.col("batch") < batch).select(*PLACE)
+            rows = rows.join(known, PLACE, "left_anti")
+        rows.withColumn("arrived", F.current_timestamp()).write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+
     lines = spark.readStream.schema(LINES).parquet(source)
-    rows = drop_zero(rule(lines)).withColumn("arrived", F.current_timestamp())
-    once = rows.withWatermark("arrived", keep).dropDuplicatesWithinWatermark(["file", "page_no", "line_no"])
-    return (once.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start(sink))
+    return (lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def activity_counts(events: DataFrame, late: str = "1 day") -> DataFrame:

@@ -109,21 +109,23 @@ def loop_combos(ledger, bank, tol, cap):
 @pytest.mark.parametrize("seed,n_ledger,n_bank,days,cap,slice_rows", [
     (1, 60, 40, 60, 20, 10**6), (2, 120, 60, 25, 5, 10**6), (3, 150, 80, 20, 6, 4), (4, 200, 90, 30, 20, 7), (5, 100, 60, 10, 4, 1), (6, 160, 60, 3, 20, 5),
     # days far longer than their bank rows can use up
-    (7, 400, 4, 4, 3, 10**6), (8, 500, 6, 12, 2, 2)])
+    (7, 400, 4, 4, 3, 10**6), (8, 500, 6, 12, 2, 2),
+    # no bound: pools of dozens of rows
+    (9, 120, 12, 8, None, 10**6), (10, 90, 10, 5, None, 3)])
 def test_combo_assign(spark, seed, n_ledger, n_bank, days, cap, slice_rows):
     """Small slices force the parallel runs of one hot account to settle on the sequential result."""
     rng = random.Random(seed)
     amounts = [rng.randrange(-400, 900) for _ in range(40)]
     ledger = side(rng, n_ledger, [1, 1, 1, 2], amounts, days, 1)
     bank = side(rng, n_bank, [1, 1, 1, 2], [rng.randrange(100, 1500) for _ in range(50)], days, 1)
-    got = combo_assign(frame(spark, bank), frame(spark, ledger), ["account_id"], 3, cap, 4, slice_rows).collect()
+    got = combo_assign(frame(spark, bank), frame(spark, ledger), ["account_id"], cap, 3, 4, slice_rows).collect()
     assert sorted((r.bank_id, r.ledger_id) for r in got) == loop_combos(ledger, bank, 3, cap)
 
 
 def test_combo_enumerate_nets_signed_rows(spark):
     """A payment and its discount: -6825.97 + 2242.68 = -4583.29."""
     ledger = frame(spark, [(1, 1, 0, -682597), (1, 2, 1, 224268), (1, 3, 1, 777)])
-    got = combo_enumerate(frame(spark, [(1, 9, 2, -458329)]), ledger, ["account_id"]).first()
+    got = combo_enumerate(frame(spark, [(1, 9, 2, -458329)]), ledger, ["account_id"], None).first()
     assert (got.size, got.members) == (2, [1, 2])
 
 
@@ -131,7 +133,7 @@ def test_reconcile_invariants(spark):
     rng = random.Random(9)
     ledger = side(rng, 300, [1, 2], [100, 200, 300, 450], 40, 1)
     bank = side(rng, 200, [1, 2], [100, 300, 500, 650], 60, 1)
-    done = reconcile(frame(spark, ledger), frame(spark, bank), ["account_id"])
+    done = reconcile(frame(spark, ledger), frame(spark, bank), ["account_id"], 20)
     view = done.view.toPandas()
     last = {a: max(r[2] for r in ledger if r[0] == a) for a in (1, 2)}
     first = {a: min(r[2] for r in ledger if r[0] == a) for a in (1, 2)}
@@ -154,3 +156,33 @@ def test_rows_without_date_stay_unmatched(spark):
     bank = spark.createDataFrame([(1, 1, DAY0, 5, "x"), (1, 2, DAY0, None, "x")], DDL)
     for side_ in M.match_one_to_one(ledger, bank, ["account_id"]):
         assert sorted((r.row_id, r.match_id) for r in side_.collect()) == [(1, "S-0"), (2, None)]
+
+
+def test_no_row_is_lost_on_the_way(spark):
+    """Rows without a date, an account or both go through the timeline, the sheets and the export like any other."""
+    from tallybook.operators import journal as J
+    from tallybook.operators import report as R
+    from tallybook.operators import view as V
+    rows = [(a, i, d, 100 * (i % 3 + 1), f"t{i}") for i, (a, d) in enumerate(
+        [(a, d) for a in (1, 2, None) for d in (DAY0, DAY0 + datetime.timedelta(2), None) for _ in range(3)])]
+    ledger, bank = spark.createDataFrame(rows, DDL), spark.createDataFrame(rows[::2], DDL)
+    tagged = M.match_one_to_one(ledger, bank, ["account_id"])
+    none = spark.createDataFrame([], "account_id long, bank_id long, ledger_id long, group_id string, cluster_date date")
+    view = V.build_view(*tagged, none, ["account_id"])
+    total = len(rows) + len(rows[::2])
+    placed = V.sort_view(view, ["account_id"])
+    edged = V.with_group_edges(placed, ["account_id"]).collect()
+    assert len(edged) == total
+    for account in (1, 2, None):
+        own = sorted((r for r in edged if r.account_id == account), key=lambda r: r.pos)
+        assert [r.pos for r in own] == list(range(1, len(own) + 1))
+        dates = [r.cluster_date for r in own]
+        assert dates == sorted(dates, key=lambda d: (d is None, d))
+    assert M.with_rank(ledger, ["account_id"]).count() == len(rows)
+    sheets = R.report_sheets(view, ["account_id"]).collect()
+    assert sum(r["Descrição"] != "TOTAL:" for r in sheets) == total
+    entries = ledger.selectExpr("account_id", "cast(row_id as string) id", "date", "cast(cents as decimal(18,2)) amount", "description", "'1' conta_debito", "'' participante_debito",
+                                "'2' conta_credito", "'' participante_credito", "'001' documento")
+    lines = J.to_journal_lines(entries, ["account_id"]).collect()
+    assert sorted((str(r.account_id), r.n) for r in lines) == sorted((str(a), n) for a in (1, 2, None) for n in range(1, 10))
+    assert all(len(r.line.split(",")) == 13 for r in lines)
