@@ -12,7 +12,7 @@ from tallybook.llm.fingerprints import op1_fingerprints
 from tallybook.llm.licences import op10_licences
 from tallybook.llm.mixing import op4_mixing
 from tallybook.llm.simhash import op7_simhash
-from tallybook.llm.substring_dedup import op3_substring_dedup
+from tallybook.llm.substring_dedup import OP3_SQL, op3_substring_dedup
 from tallybook.llm.suffix_dedup import op5_suffix_dedup
 from tallybook.llm.toxicity import op6_toxicity
 
@@ -28,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_licences": op10_licences,
 }
-SQL: dict[str, str] = {"op9_chat": OP9_SQL}
+SQL: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op9_chat": OP9_SQL}

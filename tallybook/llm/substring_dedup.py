@@ -144,7 +144,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: Sequence[str] = (),
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2(X.one_spaced(F.col("text")), 256).alias("kept_sha256"), "removed")
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(X.one_spaced(F.col("text")), 256).alias("kept_sha256"))
+
+
+#: Every window against every other by content.
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, r, i, array_to_string(ws[i:i + 49], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING count(*) > 1),
+lost AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + 50)) AS p FROM win JOIN least USING (k) WHERE m < doc_id) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda p: NOT list_contains(ps, p)), lambda p: ws[p]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN lost USING (r)"""
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
