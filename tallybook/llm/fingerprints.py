@@ -99,18 +99,19 @@ def with_edited(docs: DataFrame) -> DataFrame:
     Next is the document with the next smaller doc_id; after the last comes the first. If several rows have one doc_id, each is a row here,
     and as the next document the largest text stands for them. A row without doc_id has no next document: an empty text.
     """
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.char_length("text").cast("bigint"))
-    sizes = base.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_chars").alias("n"))
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))      # doc_id as it is: an alias would keep the exchanges apart
+    placed, loose = base.where("doc_id is not null"), base.where("doc_id is null")
+    sizes = placed.groupBy("doc_id").agg(F.max(F.char_length("text")).alias("n"))
     ring = neighbours(sizes.select("doc_id"))
     ring = ring.join(sizes.select(F.col("doc_id").alias("before"), F.col("n").alias("wanted")), "before")
-    own = with_sketch(base, "text", "sketch").select("doc_id", "text", "n_chars", "sketch")
-    sent = base.where("doc_id is not null").join(ring, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("before").alias("before"), F.first("wanted").alias("wanted"))
+    # texts are dealt by doc_id once: both sides below read that exchange, so it carries nothing but the text
+    sent = placed.join(ring, "doc_id").groupBy("doc_id", "before", "wanted").agg(F.max("text").alias("text"))
     sent = with_sketch(sent, "text", "next_sketch").select(F.col("before").alias("to"), F.expr("left(text, cast(wanted div 2 as int))").alias("head"), "next_sketch")
-    got = own.join(sent, own["doc_id"] == sent["to"], "left")
-    half = F.expr("cast(n_chars div 2 as int)")
-    edited = F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), F.coalesce(F.expr("left(head, cast(n_chars div 2 as int))"), F.lit("")))
-    return got.select("doc_id", "text", "n_chars", "sketch", F.when(half > 0, edited).otherwise(F.col("text")).alias("edited"),
-                      F.coalesce("next_sketch", F.array().cast("array<bigint>")).alias("next_sketch"))
+    got = placed.join(sent, placed["doc_id"] == sent["to"]).drop("to")
+    got = got.unionByName(loose.select("*", F.lit("").alias("head"), F.array().cast("array<bigint>").alias("next_sketch")))
+    got = with_sketch(got.withColumn("n_chars", F.char_length("text")), "text", "sketch")
+    edited = F.when(F.col("n_chars") > 1, F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), F.expr("left(head, cast(n_chars div 2 as int))"))).otherwise(F.col("text"))
+    return got.select("doc_id", "text", F.col("n_chars").cast("bigint").alias("n_chars"), "sketch", edited.alias("edited"), "next_sketch")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
