@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm import texts as X
+from tallybook.llm.bundles import with_bundle
 
 SHINGLE = 5
 SHARE_BITS = 3          # keep one hash in 2**3
@@ -78,14 +79,12 @@ def as_text(sketch: str | Column) -> Column:
 def neighbours(ids: DataFrame, rows: int = 1 << 16) -> DataFrame:
     """(doc_id, before, after): the next larger and the next smaller id, in a ring; ids must be distinct and not null.
 
-    Windows see the ids of one range of values only; the ends of ranges meet in one row for each range.
+    Windows see the ids of one range only, cut at quantiles; the ends of ranges meet in one row for each range.
     """
     span = ids.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n")).first()
     if not span["n"]:
         return ids.select("doc_id", F.col("doc_id").alias("before"), F.col("doc_id").alias("after"))
-    parts = -(-span["n"] // rows)
-    width = -(-(span["z"] - span["a"] + 1) // parts)
-    ids = ids.select("doc_id", F.expr(f"(doc_id - ({span['a']}L)) div {width}").alias("part"))
+    ids = with_bundle(ids, "doc_id", F.lit(1), rows)[0].withColumnRenamed("bundle", "part")
     inside, over = Window.partitionBy("part").orderBy("doc_id"), Window.orderBy("part")
     ends = ids.groupBy("part").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     ends = ends.select("part", F.coalesce(F.lag("high").over(over), F.lit(span["z"])).alias("under"), F.coalesce(F.lead("low").over(over), F.lit(span["a"])).alias("above"))
