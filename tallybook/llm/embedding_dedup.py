@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.llm.graph import components
+from tallybook.llm.sampling import at_most
 from tallybook.session import cut_lineage
 
 LINK = 0.93
@@ -88,9 +89,9 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return cut_lineage(cut_lineage(found).withColumn("node", F.monotonically_increasing_id()))
 
 
-def _radius(found: DataFrame, index: Index, dims: int, link: float, recall: float, queries: int) -> tuple[float, float]:
+def _radius(found: DataFrame, total: int, index: Index, dims: int, link: float, recall: float, queries: int) -> tuple[float, float]:
     """Radius that meets the recall among the links of the sampled queries, and the recall of the sample at it."""
-    chosen = found.orderBy(F.xxhash64("vec"), "label").limit(queries).select("label", "vec", "node").toArrow()
+    chosen = at_most(found, queries, total, "vec", "label").select("label", "vec", "node").toArrow()
     q, _ = _unit(_vectors(chosen, dims))
     labels, nodes = (np.asarray(chosen.column(c).to_pylist()) for c in ("label", "node"))
     a1, e1, a2, e2 = index.excess(q)
@@ -106,11 +107,11 @@ def _radius(found: DataFrame, index: Index, dims: int, link: float, recall: floa
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bin", "n"])
     rows = sorted((r.bin, r.n) for r in found.select("label", "vec", "node").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect())
-    total, met = sum(n for _, n in rows), 0
+    pairs, met = sum(n for _, n in rows), 0
     for at, n in rows:
         met += n
-        if met >= recall * total:
-            return (at + 1) * 4 / BINS, met / total
+        if met >= recall * pairs:
+            return (at + 1) * 4 / BINS, met / pairs
     return 1 - link, 1.0
 
 
@@ -161,9 +162,9 @@ def links(found: DataFrame, link: float = LINK, recall: float = RECALL, sample:
     for s in sizes:                                              # vectors of different lengths never link: an index for each length
         some = found.where(F.size("vec") == s["dims"])
         k = max(2, round(math.sqrt(s["n"] / s["labels"] / IN_CELL)))
-        fitted = some.orderBy(F.xxhash64("vec"), "label").limit(sample).select("vec").toArrow()
+        fitted = at_most(some, sample, s["n"], "vec", "label").select("vec").toArrow()
         index = Index(_vectors(fitted, s["dims"]), k)
-        radius, measured = _radius(some, index, s["dims"], link, recall, queries)
+        radius, measured = _radius(some, s["n"], index, s["dims"], link, recall, queries)
         told[s["dims"]] = {"codewords": k, "radius": radius, "recall": measured}
         made = _compared(some, index, s["dims"], link, radius)
         out = made if out is None else out.union(made)

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallybook.llm.licence_notices import NO_FAMILY, NOTICES
+from tallybook.llm.sampling import at_most
 from tallybook.llm.sparse import calibrated, fit, sigmoid
 
 #: Paragraphs of the corpus that stand for "no licence" in the fit come from at most so many documents, and are at most so many.
@@ -108,7 +109,7 @@ class Classifier:
 
 def sampled_paragraphs(docs: DataFrame) -> list[str]:
     """At most SAMPLE_PARAGRAPHS paragraphs of SAMPLE_DOCS documents, chosen by hash, none of which speaks of a licence."""
-    some = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    some = at_most(docs.where("text is not null").select("doc_id", "text"), SAMPLE_DOCS, docs.count(), "doc_id", "text")
     parts = some.select(F.explode(F.split("text", BREAK)).alias("p")).where("trim(p) != '' and not p rlike '(?i)licen[cs]e|copyright|rights reserved|public domain'")
     return [r.p for r in parts.select(F.substring("p", 1, 4000).alias("p")).distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS).collect()]
 

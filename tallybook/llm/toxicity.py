@@ -12,13 +12,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallybook.llm import deobfuscate as O
 from tallybook.llm import texts as X
+from tallybook.llm.sampling import at_most
 from tallybook.llm.sparse import fit, sigmoid
 
 #: The model learns from at most so many labelled rows of either class, chosen by a hash of their id.
 TOXIC_ROWS, CLEAN_ROWS = 2000, 3000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
-_CACHED = 400_000
+_CACHED = 100_000
 #: ASCII letters small, ASCII punctuation and control signs to spaces.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -51,32 +52,34 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def _restored(batch: pa.RecordBatch, restorer: O.Restorer) -> Iterator[tuple[bytes, int]]:
-    data, offsets = X.buffer(pa.Table.from_batches([batch]), "__text")
-    odd = O.suspicious(data, offsets)
-    raw = data.tobytes()
-    for i in range(batch.num_rows):
-        text = raw[offsets[i]:offsets[i + 1]]
-        if odd[i]:
-            plain, n = restorer.restore(text.decode("utf-8", "replace"))
-            yield plain.encode("utf-8", "replace"), n
-        else:
-            yield text, 0
+def _restored(batch: pa.RecordBatch, restorer: O.Restorer, rows: int = 128) -> Iterator[tuple[bytes, int]]:
+    """Text and number of decoded spans of each row; a few rows at a time, as the search for marks takes many times their room."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        data, offsets = X.buffer(pa.Table.from_batches([part]), "__text")
+        odd = O.suspicious(data, offsets)
+        raw = data.tobytes()
+        for i in range(part.num_rows):
+            text = raw[offsets[i]:offsets[i + 1]]
+            if odd[i]:
+                plain, n = restorer.restore(text.decode("utf-8", "replace"))
+                yield plain.encode("utf-8", "replace"), n
+            else:
+                yield text, 0
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, letters) -> tuple[list[tuple[set[bytes], int]], dict[int, float]]:
     marked = (labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
               .where(~held_out("doc_id")))
     total = {r["__toxic"]: r["count"] for r in marked.groupBy("__toxic").count().collect()}
-    by_hash = marked.orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = by_hash.where("__toxic = 1").limit(TOXIC_ROWS).union(by_hash.where("__toxic = 0").limit(CLEAN_ROWS))
+    chosen = [at_most(marked.where(F.col("__toxic") == t), n, total.get(t, 0), "doc_id") for t, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = O.Restorer(letters.value)
         for b in batches:
             words = [b" ".join(sorted(word_set(t))) for t, _ in _restored(b, own)]
             yield pa.RecordBatch.from_arrays([b.column("__toxic"), pa.array(words, pa.binary())], ["toxic", "words"])
-    found = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(chosen), "doc_id")     # at most TOXIC_ROWS + CLEAN_ROWS
+    found = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")     # at most TOXIC_ROWS + CLEAN_ROWS
              .select("__toxic", "__text").mapInArrow(run, "toxic int, words binary"))
     rows = [(set(bytes(r.words).split()), r.toxic) for r in found.collect()]
     rows.sort(key=lambda r: (r[1], sorted(r[0])))
