@@ -83,14 +83,14 @@ def requests(bundle: int, keys: np.ndarray, marked: np.ndarray, bits: int, width
                      pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=REQUEST_SCHEMA)
 
 
-def _gathered(table: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
+def gathered(table: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
     whose = table.column("bundle").to_pylist()
     sent = [unpack(x) for x in table.column("blob").to_pylist()]
     keys = np.concatenate(sent) if sent else np.zeros(0, np.uint64)
     return whose, sent, keys, np.repeat(np.arange(len(sent)), [len(x) for x in sent])
 
 
-def _replies(table: pa.Table, whose: list[int], answers: list[np.ndarray]) -> pa.Table:
+def replies(table: pa.Table, whose: list[int], answers: list[np.ndarray]) -> pa.Table:
     bucket = table.column("bucket")[0].as_py()
     rows = [(w, pack(a)) for w, a in zip(whose, answers, strict=True) if len(a)]
     return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int32()),
@@ -99,16 +99,16 @@ def _replies(table: pa.Table, whose: list[int], answers: list[np.ndarray]) -> pa
 
 def shared_keys(table: pa.Table) -> pa.Table:
     """One bucket: to each bundle, its keys that at least two bundles sent and at least one marked."""
-    whose, sent, keys, _ = _gathered(table)
+    whose, sent, keys, _ = gathered(table)
     found, times = np.unique(keys, return_counts=True)
     marks = [unpack(x) for x in table.column("marked").to_pylist()]
     good = found[(times > 1) & np.isin(found, np.concatenate(marks))] if marks else found[:0]
-    return _replies(table, whose, [x[np.isin(x, good, assume_unique=True)] for x in sent])
+    return replies(table, whose, [x[np.isin(x, good, assume_unique=True)] for x in sent])
 
 
 def earlier_keys(table: pa.Table) -> pa.Table:
     """One bucket: to each bundle, its keys that an earlier bundle sent as well."""
-    whose, sent, keys, owner = _gathered(table)
+    whose, sent, keys, owner = gathered(table)
     order = np.argsort(np.asarray(whose, np.int64), kind="stable")
     rank = np.empty(len(whose), np.int64)
     rank[order] = np.arange(len(whose))
@@ -117,7 +117,7 @@ def earlier_keys(table: pa.Table) -> pa.Table:
     np.minimum.at(first, inverse, rank[owner])
     late = first[inverse] < rank[owner]
     ends = np.cumsum([len(x) for x in sent])[:-1] if sent else []
-    return _replies(table, whose, [x[f] for x, f in zip(sent, np.split(late, ends), strict=True)])
+    return replies(table, whose, [x[f] for x, f in zip(sent, np.split(late, ends), strict=True)])
 
 
 def answered(table: pa.Table, bits: int, width: int) -> np.ndarray:

@@ -13,7 +13,7 @@ NO_ID = np.iinfo(np.int64).max
 
 _BASE = 0x9E3779B97F4A7C15                     # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LOW = 4096                                    # powers are looked up as high * _LOW + low: no table as long as the text
 
 
 def n_words(text: Column) -> Column:
@@ -52,32 +52,40 @@ def ids(table: pa.Table, name: str) -> np.ndarray:
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads every bit over all 64 (a bijection)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, _INVERSE)):
-            grown = np.full(n + n // 4, base, np.uint64)
-            grown[0] = 1
-            _powers[i] = np.cumprod(grown, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def _table(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers modulo 2**64, as products of two short tables."""
+    high = _table(pow(base, _LOW, 1 << 64), n // _LOW + 1)
+    return np.multiply.outer(high, _table(base, _LOW)).reshape(-1)[:n]
 
 
 def prefix(values: np.ndarray) -> np.ndarray:
     """Sums of value times base to the power of its place, modulo 2**64, before each place."""
-    power, _ = _power(len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values.astype(np.uint64) * power[: len(values)], out=sums[1:])
+    np.multiply(values, _power(_BASE, len(values)), out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return sums
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each span; equal contents have equal hashes wherever they stand."""
-    _, inverse = _power(len(sums))
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+    out = sums[ends] - sums[starts]
+    out *= _table(pow(_INVERSE, _LOW, 1 << 64), len(sums) // _LOW + 1)[starts // _LOW]
+    out *= _table(_INVERSE, _LOW)[starts % _LOW]
+    return mix(out)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,8 +106,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Which of n places lie in a window of that length that begins at one of the starts."""
-    edge = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + length, n), minlength=n + 1)
-    return np.cumsum(edge[:n]) > 0
+    return within(n, starts, np.minimum(starts + length, n))
+
+
+def within(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n places lie from one of the starts up to before its end."""
+    edge = np.zeros(n + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.subtract.at(edge, ends, 1)
+    return np.cumsum(edge[:n], dtype=np.int32) > 0
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
