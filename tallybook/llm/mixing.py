@@ -25,7 +25,7 @@ SHARD = 4096        # slots
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5         # of all words
 MOST = 2            # times that a word may be taken
-BUNDLE_ROWS = 50_000
+BUNDLE_ROWS = 4_096
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
