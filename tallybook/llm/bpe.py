@@ -11,6 +11,7 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,7 @@ class Vocabulary:
     """A byte-level BPE vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str):
-        self.slow = Tokenizer.from_file(path)
-        self.slow.no_padding()
-        self.slow.no_truncation()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.special = {t["content"]: t["id"] for t in made["added_tokens"]}
@@ -54,6 +53,14 @@ class Vocabulary:
             self.fast = tiktoken.Encoding("ranks", pat_str=SPLITS, mergeable_ranks=ranks, special_tokens={})
         self.made_of = {i: t.encode() for t, i in self.special.items()}
 
+    @cached_property
+    def slow(self) -> Tokenizer:
+        """The library's own encoder, loaded where a text needs it."""
+        made = Tokenizer.from_file(self.path)
+        made.no_padding()
+        made.no_truncation()
+        return made
+
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, as the library's encode(text, add_special_tokens=False)."""
         if self.fast and _COMMON.fullmatch(text) and not (self.cut and self.cut.search(text)):

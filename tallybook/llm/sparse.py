@@ -3,22 +3,30 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 import numpy as np
 
 
-def fit(rows: Sequence[Mapping[bytes, int]], labels: Sequence[int], share: Sequence[float], penalty: float = 1e-4, steps: int = 250, least: int = 4, most: float = 3.0, evidence: bool = False) -> tuple[dict[bytes, float], float]:
+_BUCKETS = 1 << 22      # of the first, rough count of features
+
+
+def fit(rows: Collection[Mapping[bytes, int]], labels: Sequence[int], share: Sequence[float], penalty: float = 1e-4, steps: int = 250, least: int = 4, most: float = 3.0, evidence: bool = False) -> tuple[dict[bytes, float], float]:
     """Weights (only those that are not 0) and intercept under an L1 penalty, by accelerated proximal gradient.
 
-    share: weight of each row in the loss. Features of fewer than ``least`` rows are left out, counts above ``most`` count as that.
+    rows: read three times, one by one, and never held. share: weight of each row in the loss. Features of fewer than ``least`` rows are left out, counts above ``most`` count as that.
     evidence: only features that speak for label 1, beyond what chance makes of so many features (likelihood ratio), and no negative weights.
     """
+    rough = np.zeros(_BUCKETS, np.uint16)               # features that are too rare for sure never get an entry of their own
+    for row in rows:
+        places = np.unique(np.fromiter((hash(f) % _BUCKETS for f in row), np.int64, len(row)))
+        rough[places] += rough[places] < least
     seen, own = Counter(), Counter()
     for row, label in zip(rows, labels, strict=True):
-        seen.update(row.keys())
+        common = [f for f in row if rough[hash(f) % _BUCKETS] >= least]
+        seen.update(common)
         if label:
-            own.update(row.keys())
+            own.update(common)
     names = sorted(f for f, n in seen.items() if n >= least)
     if evidence:
         bound = 2 * math.log(len(names) + 1)

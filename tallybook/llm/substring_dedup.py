@@ -119,7 +119,7 @@ def _rows(docs: pa.Table, w: _Words, gone: np.ndarray, schema: pa.Schema) -> pa.
     return pa.table([pa.array(made[f.name], f.type) if f.name in made else docs.column(f.name).cast(f.type) for f in schema], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, carry: Sequence[str] = (), target: int = 6 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, carry: Sequence[str] = (), target: int = 3 << 20) -> DataFrame:
     """Cut each word covered by a window of ``length`` words that also starts in a document with a smaller doc_id.
 
     Takes ``doc_id`` and ``text``; returns doc_id, text (what is left; its own white space where nothing was cut between two words, one

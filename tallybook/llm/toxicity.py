@@ -33,6 +33,19 @@ def features(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"-" for n in PREFIXES if len(word) > n)]
 
 
+class _Counts:
+    """Feature counts of rows of words, made anew whenever they are read."""
+
+    def __init__(self, rows: list[bytes]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self) -> Iterator[Counter]:
+        return (Counter(f for w in row.split() for f in features(w)) for row in self.rows)
+
+
 class _Weights(dict):
     """Word -> sum of its features' weights, worked out once."""
 
@@ -68,7 +81,7 @@ def _restored(batch: pa.RecordBatch, restorer: O.Restorer, rows: int = 128) -> I
                 yield text, 0
 
 
-def _training_rows(docs: DataFrame, labels: DataFrame, letters) -> tuple[list[tuple[set[bytes], int]], dict[int, float]]:
+def _training_rows(docs: DataFrame, labels: DataFrame, letters) -> tuple[list[tuple[int, bytes]], dict[int, float]]:
     marked = (labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
               .where(~held_out("doc_id")))
     total = {r["__toxic"]: r["count"] for r in marked.groupBy("__toxic").count().collect()}
@@ -81,9 +94,8 @@ def _training_rows(docs: DataFrame, labels: DataFrame, letters) -> tuple[list[tu
             yield pa.RecordBatch.from_arrays([b.column("__toxic"), pa.array(words, pa.binary())], ["toxic", "words"])
     found = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")     # at most TOXIC_ROWS + CLEAN_ROWS
              .select("__toxic", "__text").mapInArrow(run, "toxic int, words binary"))
-    rows = [(set(bytes(r.words).split()), r.toxic) for r in found.collect()]
-    rows.sort(key=lambda r: (r[1], sorted(r[0])))
-    have = Counter(t for _, t in rows)
+    rows = sorted((r.toxic, bytes(r.words)) for r in found.collect())
+    have = Counter(t for t, _ in rows)
     return rows, {t: total[t] / n for t, n in have.items()}
 
 
@@ -99,8 +111,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     context = docs.sparkSession.sparkContext
     letters = context.broadcast(O.language_model(O.letter_counts(docs)))                  # N**3 numbers
     rows, weight = _training_rows(docs, labels, letters)
-    counted = [Counter(f for w in words for f in features(w)) for words, _ in rows]
-    weights, bias = fit(counted, [t for _, t in rows], [weight[t] for _, t in rows], evidence=True) if len(weight) == 2 else ({}, 30.0 if 1 in weight else -30.0)
+    weights, bias = fit(_Counts([w for _, w in rows]), [t for t, _ in rows], [weight[t] for t, _ in rows], evidence=True) if len(weight) == 2 else ({}, 30.0 if 1 in weight else -30.0)
     model = context.broadcast((weights, bias))                                            # features of a bounded sample
     schema = T.StructType(list(rest.schema.fields)).add("toxic_score", "double").add("n_restored", "integer")
     arrow = to_arrow_schema(schema)
