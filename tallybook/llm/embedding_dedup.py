@@ -2,8 +2,9 @@
 
 Unit vectors are cut in two halves, each with a codebook of its own; pairs of codewords form the grid of cells. Every vector lies in one cell.
 From each vector the multi-sequence traversal visits cells in the order of summed distances, the nearest first, up to a radius. The
-radius is measured: on a sample of queries against all rows it is what the wanted recall takes. Whoever is met in a cell
-is compared exactly, in double precision.
+radius is measured on a sample of queries against all rows, in which a group of near copies counts about once, however large. Where the
+sample holds too few links to show the wanted recall, every cell is visited that a linked vector can lie in, and no link is missed.
+Whoever is met in a cell is compared exactly, in double precision.
 """
 from __future__ import annotations
 
@@ -24,14 +25,15 @@ SAMPLE = 20_000         # vectors that the codebooks are fitted to
 QUERIES = 1_000         # vectors whose links are sought among all rows to measure the radius
 RECALL = 0.995
 IN_CELL = 256           # vectors of a label that a cell holds on average
-PART = 2_048            # members, and queries, of a cell that one group compares
+PART = 2_048            # members, and queries, of a cell that one group compares; also what a cell of an exact index holds on average
 BINS = 4_000            # of the radius, over 0 to 4
 
 
 class Index:
-    """Codebooks of both halves."""
+    """Codebooks of both halves. An exact one tells, in place of the excess, how far (squared) a codeword's cell is at least."""
 
-    def __init__(self, sample: np.ndarray, k: int, seed: int = 1):
+    def __init__(self, sample: np.ndarray, k: int, seed: int = 1, exact: bool = False):
+        self.exact = exact
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         self.cut = (unit.shape[1] + 1) // 2
         self.books = [_kmeans(x, k, seed) for x in (unit[:, : self.cut], unit[:, self.cut:])]
@@ -41,7 +43,7 @@ class Index:
         out = []
         for x, book in zip((vectors[:, : self.cut], vectors[:, self.cut:]), self.books, strict=True):
             d = (x * x).sum(1)[:, None] - 2 * x @ book.T + (book * book).sum(1)[None]
-            out += [d.argmin(1), d - d.min(1, keepdims=True)]
+            out += [d.argmin(1), _apart(d, book) if self.exact else d - d.min(1, keepdims=True)]
         return out[0], out[1], out[2], out[3]
 
     def visits(self, vectors: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +61,16 @@ class Index:
         return np.concatenate(rows), np.concatenate(cells)
 
 
+def _apart(d: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """From squared distances to codewords, the least squared distances to their cells: those to the farthest of the planes that bound a cell."""
+    gap = np.sqrt(((book[:, None] - book[None]) ** 2).sum(2))
+    out = np.zeros_like(d)
+    for k in range(len(book)):
+        far = gap[k] > 1e-6
+        out[:, far] = np.maximum(out[:, far], (d[:, far] - d[:, k: k + 1]) / (2 * gap[k, far]))
+    return out * out
+
+
 def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarray:
     rng = np.random.default_rng(seed)
     books = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
@@ -89,8 +101,12 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return cut_lineage(cut_lineage(found).withColumn("node", F.monotonically_increasing_id()))
 
 
-def _radius(found: DataFrame, total: int, index: Index, dims: int, link: float, recall: float, queries: int) -> tuple[float, float]:
-    """Radius that meets the recall among the links of the sampled queries, and the recall of the sample at it."""
+def _radius(found: DataFrame, total: int, index: Index, dims: int, link: float, recall: float, queries: int) -> tuple[float | None, float]:
+    """Radius at which the sampled queries meet all their links, for as many of them as the recall says, and that share.
+
+    A query weighs 1 / (1 + its links): a group of near copies counts about once, and does not speak for rare pairs. None if the
+    linked queries are worth fewer than the 1 / (1 - recall) that could show such a recall. If all rows are queries, no link is missed.
+    """
     chosen = at_most(found, queries, total, "vec", "label").select("label", "vec", "node").toArrow()
     q, _ = _unit(_vectors(chosen, dims))
     labels, nodes = (np.asarray(chosen.column(c).to_pylist()) for c in ("label", "node"))
@@ -103,16 +119,20 @@ def _radius(found: DataFrame, total: int, index: Index, dims: int, link: float,
             i, j = np.nonzero((v @ q.T >= link) & (own[:, None] == labels[None]) & (node[:, None] != nodes[None]))
             b1, f1, b2, f2 = index.excess(v)
             need = np.minimum(f1[i, a1[j]] + f2[i, a2[j]], e1[j, b1[i]] + e2[j, b2[i]])
-            n = np.bincount(np.minimum(np.ceil(need / 4 * BINS).astype(np.int64), BINS), minlength=BINS + 1)
+            n, worst = np.bincount(j, minlength=len(q)), np.zeros(len(q), np.int64)
+            np.maximum.at(worst, j, np.minimum(np.ceil(need / 4 * BINS).astype(np.int64), BINS))
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bin", "n"])
-    rows = sorted((r.bin, r.n) for r in found.select("label", "vec", "node").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect())
-    pairs, met = sum(n for _, n in rows), 0
-    for at, n in rows:
-        met += n
-        if met >= recall * pairs:
-            return (at + 1) * 4 / BINS, met / pairs
-    return 1 - link, 1.0
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(worst[at]), pa.array(n[at])], ["query", "bin", "n"])
+    rows = found.select("label", "vec", "node").mapInArrow(run, "query long, bin long, n long").groupBy("query").agg(F.max("bin").alias("bin"), F.sum("n").alias("n")).collect()
+    at = np.array(sorted((r.bin, 1 / (1 + r.n)) for r in rows)).reshape(-1, 2)
+    bins, weight = at[:, 0], at[:, 1]
+    if chosen.num_rows >= total:
+        return (bins.max(initial=0) + 1) * 4 / BINS, 1.0
+    if recall >= 1 or weight.sum() ** 2 * (1 - recall) < (weight * weight).sum() or not len(bins):
+        return None, 1.0
+    met = np.cumsum(weight) / weight.sum()
+    last = min(np.searchsorted(met, recall), len(bins) - 1)
+    return (bins[last] + 1) * 4 / BINS, float(weight[bins <= bins[last]].sum() / weight.sum())
 
 
 def _meet(index: Index, dims: int, link: float, radius: float):
@@ -165,7 +185,10 @@ def links(found: DataFrame, link: float = LINK, recall: float = RECALL, sample:
         fitted = at_most(some, sample, s["n"], "vec", "label").select("vec").toArrow()
         index = Index(_vectors(fitted, s["dims"]), k)
         radius, measured = _radius(some, s["n"], index, s["dims"], link, recall, queries)
-        told[s["dims"]] = {"codewords": k, "radius": radius, "recall": measured}
+        if radius is None:                                       # |x - y|^2 of unit vectors that link; most cells are visited, so fewer and larger ones
+            k, radius = max(2, round(math.sqrt(s["n"] / s["labels"] / PART))), 2 - 2 * link + 1e-9
+            index = Index(_vectors(fitted, s["dims"]), k, exact=True)
+        told[s["dims"]] = {"codewords": k, "radius": radius, "recall": measured, "exact": index.exact}
         made = _compared(some, index, s["dims"], link, radius)
         out = made if out is None else out.union(made)
     if out is None:

@@ -97,6 +97,33 @@ def test_recall_on_the_table_with_near_copies(spark, sf, table):
     assert all(a[0] == b[0] and a[1] <= b[1] for a, b in zip(have, want))
 
 
+def test_rare_pairs_beside_a_hot_cluster(table):
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    hot = unit(rng.normal(size=64)) + 0.1 / 8 * rng.normal(size=(1500, 64))
+    first = unit(rng.normal(size=(150, 64)))
+    vs = np.concatenate((hot, first, first + 0.34 / 8 * rng.normal(size=(150, 64)), rng.normal(size=(1500, 64))))
+    rows = [(i, [float(np.float32(x)) for x in v], 1) for i, v in enumerate(vs)]
+    want = brute(rows)
+    assert sum(r[1] == 1 for r in want) > 200
+    assert got(E.groups(table(rows))) == want
+
+
+def test_exact_cells_hold_every_link():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x + 0.08 * rng.normal(size=x.shape)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    index = E.Index(x, 6, exact=True)
+    radius = 2 - 2 * 0.93 + 1e-9
+    own = dict(enumerate(zip(*[index.excess(y)[i].tolist() for i in (0, 2)])))
+    met = set(zip(*[a.tolist() for a in index.visits(x, radius)]))
+    linked = np.flatnonzero((x * y).sum(1) >= 0.93)
+    assert len(linked) > 100 and all((k, own[k][0] * 6 + own[k][1]) in met for k in linked.tolist())
+    assert len(met) < 400 * 36
+
+
 def test_whole_table(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert got(E.op8_embedding_dedup(spark, sf)) == brute(rows)
