@@ -2,7 +2,8 @@
 
 The language model gives P(letter | two letters before), counted over all documents. The channel turns a letter into itself, into a
 look-alike sign, repeats it, or puts a separator behind it. A suspicious span becomes a lattice of what each sign may stand
-for, and Viterbi decoding finds the best path. Plain text is left as it is: only spans that show such marks are decoded.
+for, itself among it, and Viterbi decoding finds the best path. Plain text is left as it is: only spans that show such marks are
+decoded, and those whose signs are likeliest to stand for themselves stay.
 """
 from __future__ import annotations
 
@@ -23,12 +24,16 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
          "€": "e", "£": "e", "(": "c", "<": "c", "¡": "i", "¥": "y", "§": "s", "ƒ": "f", "µ": "u", "¢": "c", "*": "aeiou", "#": "h", "?": "?"}
 APART = " .-_*~'/,"
 _LETTER, _SIGN = r"[^\W\d_]", r"0-9@$!|+€£(<¡¥§ƒµ¢*#"
-#: Spans to decode: single letters set apart; a word with look-alikes among its letters; a word with a letter three times in a row.
+#: Spans to decode: single letters set apart; a word of letters and look-alikes, wherever these are; a word with a letter three times in a row.
 SPAN = re.compile(
-    rf"(?<!\w)(?:{_LETTER}|[0-9@$!])(?:[ .\-_*~'/,](?:{_LETTER}|[0-9@$!])){{3,30}}(?!\w)"
-    rf"|(?<![\w@$])(?=(?:{_LETTER}+[{_SIGN}]+|[0-9@$]+){_LETTER})(?:{_LETTER}|[{_SIGN}]){{3,24}}(?![\w@$])"
+    rf"(?<!\w)(?:{_LETTER}|[0-9@$!])(?:[ .\-_*~'/,](?:{_LETTER}|[0-9@$!])){{2,}}(?!\w)"
+    rf"|(?<![\w{_SIGN}])(?={_LETTER}+[{_SIGN}]|[{_SIGN}]+{_LETTER})(?:{_LETTER}|[{_SIGN}])+(?![\w{_SIGN}])"
     rf"|(?<![^\W_]){_LETTER}*?({_LETTER})\1\1{_LETTER}*")
+_THRICE = re.compile(rf"({_LETTER})\1\1")
 REPEATED, MARKED, PLAIN = -0.3, -1.5, -0.01
+#: A run of signs that stand for themselves: before and behind a word where such a sign is usual, and where it is not; each sign inside a word.
+BEFORE, BEHIND = "(<*#¡", "!*"
+USUAL, ODD, INSIDE = -1.5, -6.0, -10.0
 
 
 def _classes() -> np.ndarray:
@@ -87,36 +92,60 @@ class Restorer:
         self.word = lru_cache(1 << 16)(self._word)
 
     def _word(self, span: str) -> str:
-        """Viterbi over states (letter before last, last letter)."""
+        """Viterbi over states (letter before last, last letter); the span itself if all its signs stand for themselves.
+
+        Two equal look-alikes are two letters ("a$$"), three may be one drawn out.
+        """
         signs = span.lower()
-        apart = {c for c in signs[1::2]} if len(signs) > 6 and all(c in APART for c in signs[1::2]) else set()
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        apart = {c for c in signs[1::2]} if len(signs) > 4 and all(c in APART for c in signs[1::2]) else set()
+        letters = [i for i, c in enumerate(signs) if c.isalpha()]
+        first, last = (letters[0], letters[-1]) if letters else (len(signs), -1)
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}       # cost, and what was read: (before, last)
         for i, sign in enumerate(signs):
             place = LETTERS.find(sign, 1, N - 1)
-            if sign in apart and i % 2:
-                stands = [(None, PLAIN)]
-            elif place > 0:
-                stands = [(place, PLAIN)]
+            between = sign in apart and i % 2 == 1
+            if place > 0:
+                stands, itself = [(place, PLAIN)], None
             elif sign.isalpha():
-                stands = [(N - 1, PLAIN)]
+                stands, itself = [(N - 1, PLAIN)], None
             else:
-                stands = [(LETTERS.index(x), MARKED) for x in LOOKS.get(sign, "")] + [(0, MARKED)]
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+                stands = [(LETTERS.index(x), MARKED) for x in LOOKS.get(sign, "")]
+                usual = apart or (i < first and sign in BEFORE) or (i > last and sign in BEHIND)
+                itself = PLAIN if between else USUAL if usual else INSIDE if first < i < last else ODD
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             twice = i > 0 and signs[i - 1] == sign
+            drawn = REPEATED if itself is None or sign * 3 in signs[max(0, i - 2): i + 3] else ODD
             for (a, b), (cost, out) in best.items():
-                for to, weight in stands:
-                    steps = [((a, b), weight, out)] if to is None else [((b, to), weight + self.model[a, b, to], out + (LETTERS[to] if to < N - 1 else sign))]
-                    if twice and to == b:
-                        steps.append(((a, b), REPEATED, out))
-                    for state, gain, text in steps:
-                        if state not in new or new[state][0] < cost + gain:
-                            new[state] = (cost + gain, text)
+                steps = [((b, to), weight + self.model[a, b, to], (out, LETTERS[to] if to < N - 1 else sign)) for to, weight in stands]
+                steps += [((a, b), drawn, out) for to, _ in stands if twice and to == b]
+                if between and b:
+                    steps.append(((a, b), PLAIN, out))
+                if itself is not None:                           # a run of edges counts as one
+                    steps.append(((b, 0), itself + self.model[a, b, 0], (out, sign)) if b else ((a, 0), itself if i == 0 or itself == INSIDE else REPEATED, (out, sign)))
+                for state, gain, text in steps:
+                    if state not in new or new[state][0] < cost + gain:
+                        new[state] = (cost + gain, text)
             best = new
-        return max((cost + self.model[a, b, 0], out) for (a, b), (cost, out) in best.items())[1]
+        _, out = max(((cost + (self.model[a, b, 0] if b else 0.0), out) for (a, b), (cost, out) in best.items()), key=lambda x: x[0])
+        read = []
+        while out is not None:
+            out, sign = out
+            read.append(sign)
+        plain = "".join(reversed(read))
+        if not _THRICE.search(signs) and [c for c in plain if not c.isalpha()] == [c for c in signs if not c.isalpha()]:
+            return span                                          # double letters alone are no mark
+        return span if plain == signs else plain
 
     def restore(self, text: str) -> tuple[str, int]:
         """The text with decoded spans, and how many were decoded."""
-        return SPAN.subn(lambda m: self.word(m[0]) if len(m[0]) <= 64 else self.word(_squeezed(m[0])), text)
+        n = 0
+
+        def put(m: re.Match) -> str:
+            nonlocal n
+            out = self.word(m[0]) if len(m[0]) <= 64 else self._word(m[0]) if m[1] is None else self.word(_squeezed(m[0]))
+            n += out != m[0]
+            return out
+        return SPAN.sub(put, text), n
 
 
 _CLASS = np.zeros(256, np.uint8)       # of bytes: 1 letter, 2 digit or look-alike sign
@@ -137,9 +166,10 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     mark = np.zeros(len(kind) + 1, np.int64)
     wide = np.isin(data[first], (194, 198, 206, 226))                            # lead bytes of the signs beyond ASCII
     if len(kind) > 1:
-        mark[1:-1] += ((kind[:-1] == 2) | wide[:-1]) & (kind[1:] == 1)
-    if len(kind) > 6:
-        mark[1: len(kind) - 5] += np.logical_and.reduce([kind[i: len(kind) - 6 + i] > 0 if i % 2 == 0 else (kind[i: len(kind) - 6 + i] != 1) for i in range(7)])
+        sign = (kind == 2) | wide
+        mark[1:-1] += (sign[:-1] & (kind[1:] == 1)) | ((kind[:-1] == 1) & sign[1:])
+    if len(kind) > 4:
+        mark[1: len(kind) - 3] += np.logical_and.reduce([kind[i: len(kind) - 4 + i] > 0 if i % 2 == 0 else (kind[i: len(kind) - 4 + i] != 1) for i in range(5)])
     a, b = np.cumsum(thrice), np.cumsum(mark)
     return (a[offsets[1:]] > a[offsets[:-1]]) | (b[bounds[1:]] > b[bounds[:-1]])
 

@@ -10,11 +10,10 @@ from tallybook.llm import toxicity as T
 WORDS = "idiot stupid moron you are the worst person and a loser with pathetic ideas good morning little street tell letter".split()
 
 
-@pytest.fixture(scope="module")
-def restorer():
+def trained(vocabulary):
     counts = np.zeros((O.N, O.N, O.N))
     rng = random.Random(1)
-    x = O.classes("  " + " ".join(rng.choice(WORDS) for _ in range(4000)) + " ")
+    x = O.classes("  " + " ".join(rng.choice(vocabulary) for _ in range(4000)) + " ")
     np.add.at(counts, (x[:-2], x[1:-1], x[2:]), 1)
 
     class Rows:
@@ -25,6 +24,16 @@ def restorer():
     return O.Restorer(O.language_model(Rows))
 
 
+@pytest.fixture(scope="module")
+def restorer():
+    return trained(WORDS)
+
+
+@pytest.fixture(scope="module")
+def wider():
+    return trained(WORDS + "ass dumbass trash that incomprehensibilities".split())
+
+
 @pytest.mark.parametrize("seen, meant", [("1d10t", "idiot"), ("id!ot", "idiot"), ("st00pid", "stopid"), ("$tup1d", "stupid"), ("m0r0n", "moron"), ("l0$er", "loser"), ("stuuuuupid", "stupid"),
                                          ("i d i o t", "idiot"), ("i.d.i.o.t", "idiot"), ("m-o-r-o-n", "moron"), ("p@th3tic", "pathetic"), ("iiidiooot", "idiot"), ("s t u p 1 d", "stupid")])
 def test_restores(restorer, seen, meant):
@@ -34,6 +43,18 @@ def test_restores(restorer, seen, meant):
         assert out.split()[2] == meant
 
 
+@pytest.mark.parametrize("seen, meant", [("idi07", "idiot"), ("idi0+", "idiot"), ("a$$", "ass"), ("dumba$$", "dumbass"), ("tras#", "trash"), ("!diot", "idiot"), ("+rash", "trash"), ("|diot", "idiot"),
+                                         ("a s s", "ass"), ("(1d10t", "(idiot"), ("inc0mpr3hen$ib1l1tie$stup1d", "incomprehensibilitiesstupid")])
+def test_restores_signs_at_the_ends(wider, seen, meant):
+    assert wider.restore(f"you are {seen} and good") == (f"you are {meant} and good", 1)
+
+
+@pytest.mark.parametrize("seen", ["that***", "that!", "(that", "*that*", "idiot19", "#that", "!!!", "1 2 3"])
+def test_signs_that_stand_for_themselves(wider, seen):
+    t = f"you are {seen} and good"
+    assert wider.restore(t) == (t, 0)
+
+
 def test_plain_text_stays(restorer):
     t = "Good morning, a little letter! Tell 2024 people at 10:30. I am 25% ok (see 3)."
     assert restorer.restore(t) == (t, 0)
