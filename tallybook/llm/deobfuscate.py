@@ -142,7 +142,7 @@ class Restorer:
 
         def put(m: re.Match) -> str:
             nonlocal n
-            out = self.word(m[0]) if len(m[0]) <= 64 else self._word(m[0]) if m[1] is None else self.word(_squeezed(m[0]))
+            out = self.word(m[0]) if len(m[0]) <= 64 else self._word(m[0])
             n += out != m[0]
             return out
         return SPAN.sub(put, text), n
@@ -172,8 +172,3 @@ def suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         mark[1: len(kind) - 3] += np.logical_and.reduce([kind[i: len(kind) - 4 + i] > 0 if i % 2 == 0 else (kind[i: len(kind) - 4 + i] != 1) for i in range(5)])
     a, b = np.cumsum(thrice), np.cumsum(mark)
     return (a[offsets[1:]] > a[offsets[:-1]]) | (b[bounds[1:]] > b[bounds[:-1]])
-
-
-def _squeezed(span: str) -> str:
-    """A letter repeated endlessly is read three times."""
-    return re.sub(r"(.)\1{2,}", r"\1\1\1", span)[:256]

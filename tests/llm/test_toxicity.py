@@ -55,6 +55,12 @@ def test_signs_that_stand_for_themselves(wider, seen):
     assert wider.restore(t) == (t, 0)
 
 
+def test_long_runs_stay_whole(wider):
+    run = "idiot" * 80 + "stuuupid" + "漢字" * 500
+    assert wider.restore(f"so {run} and") == ("so " + run.replace("uuu", "u") + " and", 1)
+    assert wider.restore("so " + "a" * 100_000)[1] == 1
+
+
 def test_plain_text_stays(restorer):
     t = "Good morning, a little letter! Tell 2024 people at 10:30. I am 25% ok (see 3)."
     assert restorer.restore(t) == (t, 0)
