@@ -244,5 +244,6 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the documents with their token ids."""
-    return encode(docs.select("doc_id", "text", "lang", "source", "n_chars"), default_vocabulary())
+    """Last pipeline stage: the documents with their token ids, and whether these decode to the text again (``round_trip``)."""
+    done = encode(docs.select("doc_id", "text", "lang", "source", "n_chars"), default_vocabulary(), decoded_col="decoded")
+    return done.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")

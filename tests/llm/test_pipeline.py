@@ -71,6 +71,18 @@ def test_mix_and_tokens(steps, spark):
     assert all(r.ids == encoder.encode(r.text, add_special_tokens=False).ids for r in tokens)
 
 
+def test_tokens_are_decoded_and_compared(steps):
+    tokens = steps[4][1]
+    assert tokens.count() > 0 and tokens.where("round_trip").count() == tokens.count()
+
+
+def test_a_text_that_does_not_come_back_is_told(spark, docs, sf, monkeypatch):
+    df = docs([(1, "one text"), (2, None), (3, "another text")])
+    encode = bpe.encode
+    monkeypatch.setattr(bpe, "encode", lambda *a, **k: encode(*a, **k).withColumn("decoded", F.expr("if(doc_id = 3, 'other', decoded)")))
+    assert {r.doc_id: r.round_trip for r in bpe.stage(spark, df, sf).collect()} == {1: True, 2: True, 3: False}
+
+
 def test_run(steps, spark, sf):
     key = lambda r: (r.doc_id, r.text)
     assert sorted(corpus_pipeline.run(spark, sf).collect(), key=key) == sorted(steps[-1][1].collect(), key=key)
