@@ -111,7 +111,7 @@ def sampled_paragraphs(docs: DataFrame) -> list[str]:
     """At most SAMPLE_PARAGRAPHS paragraphs of SAMPLE_DOCS documents, chosen by hash, none of which speaks of a licence."""
     some = at_most(docs.where("text is not null").select("doc_id", "text"), SAMPLE_DOCS, docs.count(), "doc_id", "text")
     parts = some.select(F.explode(F.split("text", BREAK)).alias("p")).where("trim(p) != '' and not p rlike '(?i)licen[cs]e|copyright|rights reserved|public domain'")
-    return [r.p for r in parts.select(F.substring("p", 1, 4000).alias("p")).distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS).collect()]
+    return [r.p for r in parts.distinct().orderBy(F.xxhash64("p"), "p").limit(SAMPLE_PARAGRAPHS).collect()]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -141,4 +141,4 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = F.filter("licences", lambda x: x["confirmed"])
     return found.select("doc_id", "n_paragraphs", F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
                         F.size(sure).cast("bigint").alias("n_confirmed"), (F.size("licences") - F.size(sure)).cast("bigint").alias("n_unconfirmed"),
-                        F.coalesce(F.array_max(F.transform("licences", lambda x: x["probability"])), F.lit(0.0)).alias("probability"))
+                        F.coalesce(F.array_max(F.transform("licences", lambda x: x["probability"])), F.lit(0.0)).alias("probability"), "licences")

@@ -72,6 +72,18 @@ def test_rows(spark, docs, odd):
     assert L.scan(df.limit(0)).count() == 0
 
 
+def test_sampled_paragraphs_are_whole(docs):
+    long = "plain words of prose " * 400 + "end"
+    assert sorted(L.sampled_paragraphs(docs([(1, f"short\n{long}\n \nThe licence")]))) == sorted([long, "short"])
+
+
+def test_query_returns_its_finds(spark, docs, tmp_path):
+    docs([(1, "a\nb\nReleased under the MIT License."), (2, "none")]).write.parquet(f"{tmp_path}/documents.parquet")
+    have = {r.doc_id: r for r in L.op10_licences(spark, str(tmp_path)).collect()}
+    assert [(x.paragraph, x.family, x.likeness >= L.ALIKE, x.confirmed) for x in have[1].licences] == [(2, "MIT", True, True)]
+    assert have[1].n_confirmed == 1 and have[2].licences == []
+
+
 def test_whole_table(spark, sf):
     sf = sf.replace("0.001", "0.01")
     known = {"Licensed under the Apache License, Version 2.0.": "Apache", "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
