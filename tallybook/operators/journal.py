@@ -42,7 +42,7 @@ def to_journal_lines(entries: DataFrame, keys: list[str], seq: str = "id") -> Da
     """K1: numbered export lines in date order per key. ``date`` may be a date or text.
 
     The number is a prefix over days, so one large company is not numbered in one task. Entries without a date come last,
-    with an empty date.
+    with an empty date; an entry without an amount counts as 0.00, so that every line has the same fields.
     """
     iso = dict(entries.dtypes)["date"] == "string"
     day = F.col("date") if iso else F.date_format("date", "yyyy-MM-dd")
@@ -50,7 +50,7 @@ def to_journal_lines(entries: DataFrame, keys: list[str], seq: str = "id") -> Da
     rows = entries.withColumn("__day", day).withColumn("__head", F.left(F.col(seq), F.lit(8)))
     rows = ordinal(rows, keys, ["__day", "__head"], [seq], "n")
     text = [F.coalesce(F.col(c), F.lit("")) for c in ("conta_debito", "participante_debito", "conta_credito", "participante_credito")]
-    line = F.concat_ws(",", F.col("n").cast("string"), F.coalesce(iso_text_to_br("__day"), F.lit("")), *text, F.col("amount").cast(MONEY).cast("string"), F.lit(""),
+    line = F.concat_ws(",", F.col("n").cast("string"), F.coalesce(iso_text_to_br("__day"), F.lit("")), *text, F.coalesce(F.col("amount").cast(MONEY), F.lit(0).cast(MONEY)).cast("string"), F.lit(""),
                        F.coalesce("description", F.lit("")), F.lit("DCTO"), F.lit(""), F.coalesce("documento", F.lit("")))
     return rows.select(*keys, "n", line.alias("line"))
 

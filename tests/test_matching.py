@@ -185,4 +185,12 @@ def test_no_row_is_lost_on_the_way(spark):
                                 "'2' conta_credito", "'' participante_credito", "'001' documento")
     lines = J.to_journal_lines(entries, ["account_id"]).collect()
     assert sorted((str(r.account_id), r.n) for r in lines) == sorted((str(a), n) for a in (1, 2, None) for n in range(1, 10))
-    assert all(len(r.line.split(",")) == 13 for r in lines)
+    assert all(len(r.line.split(",")) == 12 for r in lines)
+
+
+def test_a_null_amount_keeps_its_field(spark):
+    from tallybook.operators import journal as J
+    entries = spark.createDataFrame([(1, "a", "2025-01-01", None, "x"), (1, "b", "2025-01-02", 5, None)], "account_id long, id string, date string, amount long, description string")
+    entries = entries.selectExpr("*", "'1' conta_debito", "null participante_debito", "'2' conta_credito", "'' participante_credito", "'001' documento")
+    lines = [r.line for r in J.to_journal_lines(entries, ["account_id"]).orderBy("n").collect()]
+    assert lines == ["1,01/01/2025,1,,2,,0.00,,x,DCTO,,001", "2,02/01/2025,1,,2,,5.00,,,DCTO,,001"]
