@@ -14,10 +14,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallybook.llm import bundles as B
 from tallybook.llm import texts as X
+from tallybook.operators.ordering import exclusive_prefix
 from tallybook.session import cut_lineage
 
 BLOCK = 64          # words
@@ -55,9 +55,19 @@ def permuted(at: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-@F.pandas_udf(T.LongType())
-def _index(k: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series(permuted(k.to_numpy(), n.to_numpy(), key.to_numpy()))
+def _filled(seed: int):
+    """Slots of each run of a source's numbers, some thousand at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, no, blocks, first, end in zip(*(b.column(c).to_pylist() for c in ("shard", "no", "blocks", "first", "end")), strict=True):
+                for at in range(first, end, 1 << 16):
+                    k = np.arange(at, min(end, at + (1 << 16)))
+                    epoch = k // blocks
+                    key = X.mix(X.mix(np.full(1, seed, np.uint64) + np.uint64(no)) + epoch.astype(np.uint64))
+                    block = permuted(k % blocks, np.full(len(k), blocks), key.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard)), pa.array(np.full(len(k), no)), pa.array(k), pa.array(epoch), pa.array(block)],
+                                                     ["shard", "no", "k", "epoch", "block"])
+    return run
 
 
 def _draws(sources: pd.DataFrame, shards: int, total: int, seed: int):
@@ -106,8 +116,8 @@ class Mix:
         docs, _ = B.with_bundle(docs, "doc_id", F.lit(1), BUNDLE_ROWS)
         before = (Window.unboundedPreceding, -1)
         inside = Window.partitionBy("no", "bundle").orderBy(F.col("doc_id").asc_nulls_last(), "tie").rowsBetween(*before)
-        over = Window.partitionBy("no").orderBy("bundle").rowsBetween(*before)
-        sums = docs.groupBy("no", "bundle").agg(F.sum("size").alias("n")).select("no", "bundle", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("off"))
+        sums = docs.groupBy("no", "bundle").agg(F.sum("size").alias("n")).withColumn("range", F.shiftright("bundle", 12))
+        sums = exclusive_prefix(sums, ["no"], ["range", "bundle"], "n", "off").select("no", "bundle", "off")
         return (docs.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["no", "bundle"])
                 .withColumn("begin", F.col("off") + F.col("within")).drop("off", "within", "bundle"))
 
@@ -115,14 +125,12 @@ class Mix:
         spark = self.sources.sparkSession
         shards = -(-total // SHARD)
         drawn = spark.range(0, shards, 1, min(max(1, shards), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(_draws(table, shards, total, seed), "shard long, no long, n long")
-        ahead = Window.partitionBy("no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(self.sources.select("no", "blocks", "slots"), "no")
+        drawn = exclusive_prefix(drawn.withColumn("range", F.shiftright("shard", 12)), ["no"], ["range", "shard"], "n", "first").join(self.sources.select("no", "blocks", "slots"), "no")
         filled = drawn.select("shard", "no", "blocks", "first", F.least(F.col("first") + F.col("n"), "slots").alias("end"))
         sums = drawn.groupBy("no").agg(F.sum("n").alias("n"))
         missed = self.sources.join(sums, "no").where("n < slots").select(F.lit(shards).cast("bigint").alias("shard"), "no", "blocks", F.col("n").alias("first"), F.col("slots").alias("end"))
-        k = F.explode(F.sequence("first", F.col("end") - 1)).alias("k")
-        slots = filled.where("first < end").union(missed).select("shard", "no", "blocks", k).withColumn("epoch", F.expr("k div blocks"))
-        return slots.select("shard", "no", "k", "epoch", _index(F.expr("k % blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "no", "epoch")).alias("block"))
+        # drawn above lies behind an exchange, so no task needs two workers
+        return filled.union(missed).where("first < end").mapInArrow(_filled(seed), "shard long, no long, k long, epoch long, block long")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,17 +145,18 @@ def mixed(rows: DataFrame, **settings) -> DataFrame:
 
     The first time it is whole wherever all its blocks are taken (its text as it is), later or else it holds the words of the blocks
     taken, joined by one space. Documents without words are never taken. Equal rows are taken like different ones. A null source is a source of its own, a
-    null text has no words, rows without doc_id come last in their source. Empty in, empty out.
+    null text has no words, rows without doc_id come last in their source. Other columns stay, whatever they are called. A very long text is cut like any other, and must
+    fit in a task. Empty in, empty out.
     """
     mix = Mix(rows, **settings)
-    tie = F.xxhash64(*[c for c, t in rows.dtypes if t != "map"])
-    taken = mix.pieces.groupBy("doc_id", "tie", "begin", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("__took"), F.sum("n_words").alias("__n"))
-    texts = rows.where(X.n_words(F.col("text")) > 0).withColumn("__tie", tie).withColumn("__id", F.col("doc_id")).dropDuplicates(["__id", "__tie"])
-    both = texts.join(taken.select(F.col("doc_id").alias("__d"), F.col("tie").alias("__t"), "__took", "__n"), F.col("__tie").eqNullSafe(F.col("__t")) & F.col("__id").eqNullSafe(F.col("__d")))
-    words = F.split(X.one_spaced(F.col("text")), " ")
-    cut = F.array_join(F.flatten(F.transform("__took", lambda p: F.slice(F.col("__words"), (p["start"] + 1).cast("int"), p["n_words"].cast("int")))), " ")
-    both = both.withColumn("__words", words).withColumn("text", F.when(F.col("__n") == F.size("__words"), F.col("text")).otherwise(cut))
-    return both.select(*rows.columns)
+    taken = mix.pieces.groupBy("doc_id", "tie", "begin", "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("took"), F.sum("n_words").alias("n"))
+    given = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("given")
+    texts = rows.where(X.n_words(F.col("text")) > 0).select(F.col("doc_id").alias("own_id"), F.xxhash64(*[c for c, t in rows.dtypes if t != "map"]).alias("own_tie"), given)
+    both = texts.dropDuplicates(["own_id", "own_tie"]).join(taken, F.col("own_tie").eqNullSafe(F.col("tie")) & F.col("own_id").eqNullSafe(F.col("doc_id")))
+    both = both.withColumn("words", F.split(X.one_spaced(F.col("given.text")), " "))
+    cut = F.array_join(F.flatten(F.transform("took", lambda p: F.slice(F.col("words"), (p["start"] + 1).cast("int"), p["n_words"].cast("int")))), " ")
+    text = F.when(F.col("n") == F.size("words"), F.col("given.text")).otherwise(cut)
+    return both.select(*[text.alias("text") if c == "text" else F.col(f"given.`{c}`").alias(c) for c in rows.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
