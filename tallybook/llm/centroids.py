@@ -76,14 +76,16 @@ def bounds(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def nearest(v: np.ndarray, apex: np.ndarray, centroids: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each vector: the number of its nearest centroid (the smaller one of equals), the squared distance, how many were compared exactly."""
     low, high = bounds(apex, corners)
-    open_ = low <= high.min(1, keepdims=True)
-    best, who = np.full(len(v), np.iinfo(np.int64).max), np.zeros(len(v), np.int32)
+    who = low.argmin(1).astype(np.int32)                         # likely the nearest: its true distance is a bound, too
+    best = squared(v, centroids[who])
+    open_ = low <= np.minimum(high.min(1), best * (1 + _SLACK))[:, None]
+    open_[np.arange(len(v)), who] = False
     for j, centroid in enumerate(centroids):
         rows = np.flatnonzero(open_[:, j])
         d = squared(v[rows], centroid)
-        closer = d < best[rows]
+        closer = (d < best[rows]) | (d == best[rows]) & (j < who[rows])
         best[rows[closer]], who[rows[closer]] = d[closer], j
-    return who, best, open_.sum(1).astype(np.int32)
+    return who, best, open_.sum(1).astype(np.int32) + 1
 
 
 def _matrix(batch: pa.RecordBatch, name: str, kind) -> np.ndarray:

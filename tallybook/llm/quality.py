@@ -156,7 +156,8 @@ def cascade(df: DataFrame, rules: list[Rule], order: list[str], out: str, failed
     for name in order:
         rule, left = by_name[name], F.col(out).isNull()
         df = with_features(df, rule.uses, left).withColumn(out, F.when(left & F.expr(rule.rejects), F.lit(name)).otherwise(F.col(out)))
-    return df
+    # a filter on the verdict stays behind the generator; pushed through the rules it would hold each of them many times over
+    return df.select(*[c for c in df.columns if c != out], F.inline(F.array(F.struct(F.col(out).alias(out)))))
 
 
 def _own(docs: DataFrame) -> DataFrame:
