@@ -8,6 +8,7 @@ from tallybook.functions import words as W
 from tallybook.functions.scalars import strip
 from tallybook.operators.ordering import ordinal
 from tallybook.schemas import MONEY
+from tallybook.sinks.commits import add_batch
 
 
 def to_recon_rows(txn: DataFrame) -> DataFrame:
@@ -135,9 +136,9 @@ def consolidate(dfs: list[DataFrame], key: str = "id") -> DataFrame:
     return (whole.unionByName(out.filter("internal_id is null")) if key == "id" else whole).drop("__input")
 
 
-def append_batch(df: DataFrame, path: str, batch_id: str) -> None:
-    """D3: add a batch to the accumulated table; no deduplication between batches."""
-    df.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(path)
+def append_batch(df: DataFrame, path: str, batch_id: str) -> bool:
+    """D3: add a batch to the accumulated table; no deduplication between batches. A batch that the table has already is left out (false)."""
+    return add_batch(df, path, batch_id)
 
 
 def duplicates(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -16,11 +16,12 @@ from tallybook.plans.registry import MOVES, RAWS, SIDES, query
 from tallybook.session import scratch_path
 from tallybook.sinks import files as K
 from tallybook.sinks import ofx_writer as O
+from tallybook.sinks.commits import read_batches
 from tallybook.sources import catalog as C
 from tallybook.sources import ledger_files as G
 from tallybook.sources import ofx_files as X
 from tallybook.sources.texts import read_statement_lines, with_source_file
-from tallybook.streaming.ingest import stream_activity, stream_bank
+from tallybook.streaming.ingest import read_activity_counts, read_bank, stream_activity, stream_bank
 
 
 def write_texts(df: DataFrame, path: str) -> str:
@@ -283,7 +284,16 @@ def k7(spark, sf):
     events = event_log(spark, sf)
     K.append_activity(events, path)
     K.append_activity(events, path)
-    return spark.read.json(path).groupBy(c("day").cast("date").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("action").alias("files"))
+    return C.read_activity(spark, path).groupBy(F.to_date("timestamp").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("action").alias("files"))
+
+
+@query("k7_retried_batch", """SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1""")
+def k7c(spark, sf):
+    """One batch, written twice; the second call finds it there."""
+    path = scratch_path(spark, "activity")
+    for _ in range(2):
+        K.append_activity(event_log(spark, sf), path, "all")
+    return C.read_activity(spark, path).groupBy(F.to_date("timestamp").alias("day")).agg(F.count("*").alias("n"))
 
 
 @query("k7_process_event", """SELECT event_id, 'Processamento: ' || event_id || '.csv → ' || event_type AS action, 'process' AS category FROM events""")
@@ -307,7 +317,19 @@ def d3(spark, sf):
     path = scratch_path(spark, "batches")
     append_batch(ledger_of(spark, sf).select("row_id", "cents"), path, "b1")
     append_batch(orders_bank(spark, sf).select("row_id", "cents"), path, "b2")
-    return spark.read.parquet(path).select("batch", "row_id", "cents")
+    return read_batches(spark, path).select("batch", "row_id", "cents")
+
+
+@query("d3_retried_batch", f"{SIDES} SELECT batch, row_id, cents FROM (SELECT 'b1' AS batch, row_id, cents FROM ledger UNION ALL SELECT 'b2', row_id, cents FROM bank)")
+def d3b(spark, sf):
+    """The first batch comes twice, and an attempt of the second ended before its commit."""
+    path = scratch_path(spark, "batches")
+    first, second = ledger_of(spark, sf).select("row_id", "cents"), orders_bank(spark, sf).select("row_id", "cents")
+    append_batch(first, path, "b1")
+    second.write.parquet(f"{path}/data/attempt=a-lost")
+    append_batch(first, path, "b1")
+    append_batch(second, path, "b2")
+    return read_batches(spark, path).select("batch", "row_id", "cents")
 
 
 # ---- streams -------------------------------------------------------------------------------------
@@ -321,25 +343,27 @@ def t1(spark, sf):
         stream_bank(spark, source, sink, sink + "-state").awaitTermination()
         # the same statements arrive a second time
         lines.write.mode("append").parquet(source)
-    return rows_out(spark.read.parquet(sink))
+    return rows_out(read_bank(spark, sink))
 
 
 @query("t1_stream_bank_pages", f"{MOVES} SELECT file, page_no, date, cents, {REST_SQL} AS memo FROM mov")
 def t1b(spark, sf):
-    """A rule with page windows; the statements arrive in two parts, and the first part once more."""
+    """A rule with page windows; every page arrives in three parts, and the first part once more."""
     source, sink = scratch_path(spark, "lines"), scratch_path(spark, "bank")
     lines = bb_dot_lines(spark, sf)
-    first = c("page_no") % 2 == 0
-    for part in (lines.filter(first), lines, lines.filter(first)):
-        part.write.mode("append").parquet(source)
+    part = lambda i: lines.filter(F.col("line_no") % 3 == i)
+    for some in (part(2), part(0), part(1), part(2)):
+        some.write.mode("append").parquet(source)
         stream_bank(spark, source, sink, sink + "-state", extract_bb_dot).awaitTermination()
-    return rows_out(spark.read.parquet(sink))
+    return rows_out(read_bank(spark, sink))
 
 
-@query("t2_stream_activity", """SELECT CAST(ts AS DATE) AS day, 'upload' AS category, CAST(user_id AS VARCHAR) AS "user", count(*) AS n FROM events
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 3""")
+@query("t2_stream_activity", """SELECT CAST(ts AS DATE) AS day, 'upload' AS category, CAST(user_id AS VARCHAR) AS "user", count(*) AS n FROM events GROUP BY 1, 3""")
 def t2(spark, sf):
+    """The log arrives in three batches that share all days; one is written twice."""
     source, sink = scratch_path(spark, "activity"), scratch_path(spark, "counts")
-    K.append_activity(event_log(spark, sf), source)
-    stream_activity(spark, source, sink, sink + "-state").awaitTermination()
-    return spark.read.parquet(sink).select("day", "category", "user", "n")
+    log = event_log(spark, sf)
+    for i in (2, 0, 1, 0):
+        K.append_activity(log.filter(F.pmod(F.xxhash64("action"), F.lit(3)) == i), source, f"part {i}")
+        stream_activity(spark, source, sink, sink + "-state").awaitTermination()
+    return read_activity_counts(spark, sink)

@@ -1,10 +1,13 @@
 """Writers. Sorted output is range-partitioned, so a large account becomes several ordered parts."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.operators.match import split
+from tallybook.sinks.commits import add_batch
 
 
 def write_ordered_text(df: DataFrame, keys: list[str], path: str, order: str = "ord", text: str = "text") -> None:
@@ -36,6 +39,6 @@ def process_event(filename: Column, summary: Column, details: Column, user: Colu
             F.lit("process").alias("category"), details.alias("details")]
 
 
-def append_activity(events: DataFrame, path: str) -> None:
-    """K7: one folder per day."""
-    events.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").json(path)
+def append_activity(events: DataFrame, path: str, batch_id: str | None = None) -> bool:
+    """K7: one folder per day, as JSON. A batch named by ``batch_id`` counts once, however often it is written; without a name each call is a batch."""
+    return add_batch(events.withColumn("day", F.to_date("timestamp")), path, batch_id or uuid.uuid4().hex, "json", ["day"])

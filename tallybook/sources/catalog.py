@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallybook.functions import words as W
 from tallybook.functions.scalars import col, contains_ci_ai, fmt_date_br, strip
 from tallybook.schemas import ACTIVITY, LAYOUT
+from tallybook.sinks.commits import is_table, read_batches
 
 MAX_LAYOUTS = 2000
 
@@ -139,7 +140,10 @@ def file_catalog(spark: SparkSession, root: str, meta: DataFrame | None = None,
 
 
 def read_activity(spark: SparkSession, path: str) -> DataFrame:
-    """Both generations of the log; ``user`` or ``username``."""
+    """Both generations of the log; ``user`` or ``username``. Where the log was written in batches, those that are whole."""
+    if is_table(spark, path):
+        raw = read_batches(spark, path, "json", f"{ACTIVITY}, day date").drop("day", "batch")
+        return raw.withColumn("user", F.coalesce("user", "username")).drop("username")
     raw = spark.read.schema(ACTIVITY).option("recursiveFileLookup", "true").json(path)
     return raw.withColumn("user", F.coalesce("user", "username")).drop("username")
 
