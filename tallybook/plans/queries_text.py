@@ -421,6 +421,30 @@ def l2(spark, sf):
     return identify(pages_text(spark, sf), shipped_layouts())
 
 
+LAYOUT_TABLE = f"""{PAGES}, lays AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS priority, 'L' || c_custkey AS name, CAST(c_custkey % 7 AS VARCHAR) AS bank_id, [upper(c_name), c_mktsegment, 'sem'] AS ks FROM customer
+  UNION ALL SELECT 'x' || lpad(CAST(doc_id AS VARCHAR), 9, '0'), 'D' || doc_id, 'd', [substr(text, 3, 40), substr(text, 1, 6)] FROM documents WHERE length(text) > 60)"""
+
+
+def layout_table(spark, sf) -> DataFrame:
+    """A layout for each customer and document: names, a segment that many share, beginnings of texts."""
+    cust, docs = table(spark, sf, "customer"), table(spark, sf, "documents").where("length(text) > 60")
+    return cust.select(F.lpad(c("c_custkey").cast("string"), 9, "0").alias("priority"), F.concat(F.lit("L"), "c_custkey").alias("name"), (c("c_custkey") % 7).cast("string").alias("bank_id"),
+                       F.array(F.upper("c_name"), "c_mktsegment", F.lit("sem")).alias("keywords")).unionByName(
+        docs.select(F.concat(F.lit("x"), F.lpad(c("doc_id").cast("string"), 9, "0")).alias("priority"), F.concat(F.lit("D"), "doc_id").alias("name"), F.lit("d").alias("bank_id"),
+                    F.array(F.substring("text", 3, 40), F.substring("text", 1, 6)).alias("keywords")))
+
+
+@query("l1_layout_table", f"""{LAYOUT_TABLE} SELECT file, min_by(name, priority) AS layout, min_by(bank_id, priority) AS bank_id
+FROM n LEFT JOIN (SELECT priority, name, bank_id, list_transform(ks, lambda k: strip_accents(upper(k))) AS ks FROM lays) ON contains(u, ks[1]) AND contains(u, ks[2]) AND (len(ks) < 3 OR contains(u, ks[3])) GROUP BY file""")
+def l1b(spark, sf):
+    return detect_layout(pages_text(spark, sf), layout_table(spark, sf)).select("file", "layout", "bank_id")
+
+
+@query("l2_layout_table", f"""{LAYOUT_TABLE} SELECT DISTINCT file, name AS layout FROM n JOIN lays ON contains(text, ks[1]) AND contains(text, ks[2]) AND (len(ks) < 3 OR contains(text, ks[3]))""")
+def l2b(spark, sf):
+    return identify(pages_text(spark, sf), layout_table(spark, sf))
+
+
 @query("l3_detection_status", f"""{DETECTED} SELECT file, CASE WHEN layout IS NULL THEN 'Layout not detected in Text mode.' END AS error,
   layout IS NULL AND length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 50 AS low_text FROM det""")
 def l3(spark, sf):

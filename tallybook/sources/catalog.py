@@ -1,15 +1,21 @@
 """Layout table, bank names, activity log, file catalogue."""
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions import words as W
 from tallybook.functions.scalars import col, contains_ci_ai, fmt_date_br, strip
+from tallybook.operators.ordering import join_whole
 from tallybook.schemas import ACTIVITY, LAYOUT
+from tallybook.session import cut_lineage
 from tallybook.sinks.commits import is_table, read_batches
 
 MAX_LAYOUTS = 2000
+ANCHOR = 8             # letters of a keyword that pages look up
+MOST_ANCHORED = 256     # letters of a keyword among which the rarest piece is chosen; the whole keyword is compared
 
 
 def read_layouts(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
@@ -65,23 +71,82 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
-def detect_layout(pages: DataFrame, layouts: list[dict]) -> DataFrame:
-    """L1 + L3: first layout all of whose keywords occur on the first page, ignoring case and accents."""
-    found = _first_layout(layouts, lambda ks: _all([contains_ci_ai("text", F.lit(k)) for k in ks]))
-    found = F.when(F.length("text") > 0, found)
-    return first_pages(pages).withColumn("__l", found).select(
+def detect_layout(pages: DataFrame, layouts: list[dict] | DataFrame) -> DataFrame:
+    """L1 + L3: first layout all of whose keywords occur on the first page, ignoring case and accents.
+
+    A list is configuration and becomes one expression; a table of any size goes through an index of its keywords.
+    """
+    if isinstance(layouts, DataFrame):
+        first = indexed_layouts(pages, layouts, fold).groupBy("file", "page_no").agg(F.min(F.struct("priority", "layout", "bank_id")).alias("__l"))
+        marked = join_whole(first_pages(pages), first, ["file", "page_no"], "left")
+    else:
+        found = _first_layout(layouts, lambda ks: _all([contains_ci_ai("text", F.lit(k)) for k in ks]))
+        marked = first_pages(pages).withColumn("__l", F.when(F.length("text") > 0, found))
+    return marked.select(
         "file", F.col("__l.layout").alias("layout"), F.col("__l.bank_id").alias("bank_id"),
         F.when(F.col("__l").isNull(), W.MSG_NO_LAYOUT).alias("error"),
         (F.col("__l").isNull() & (F.length(strip("text")) < 50)).alias("low_text"))
 
 
-def identify(pages: DataFrame, layouts: list[dict]) -> DataFrame:
+def identify(pages: DataFrame, layouts: list[dict] | DataFrame) -> DataFrame:
     """L2: (file, layout) for every layout whose keywords all occur exactly as written."""
+    if isinstance(layouts, DataFrame):
+        return indexed_layouts(pages, layouts, col).select("file", "layout").distinct()
     names = F.array_compact(F.array(*[F.when(_all([F.col("text").contains(k) for k in x["keywords"]]), F.lit(x["name"]))
                                       for x in layouts]))
     return first_pages(pages).select("file", F.explode(F.array_distinct(names)).alias("layout"))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Letters with marks in upper case, and the letters without, by the rule: decompose, drop the marks."""
+    pairs = {}
+    for code in range(0xC0, 0x2000):
+        plain = "".join(x for x in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(x) != "Mn")
+        if len(plain) == 1 and plain != chr(code):
+            pairs[chr(code)] = plain
+    return "".join(pairs), "".join(pairs.values())
+
+
+def fold(c: Column | str) -> Column:
+    """Upper case, without accents."""
+    return F.regexp_replace(F.translate(F.upper(col(c)), *_plain_letters()), r"\p{Mn}+", "")
+
+
+def _grams(text: Column, lengths: list[int]) -> Column:
+    """Distinct pieces of the text of these lengths, from every place on: a look-ahead finds them in one run over the text."""
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)) for q in lengths]))
+
+
+def indexed_layouts(pages: DataFrame, layouts: DataFrame, form=fold) -> DataFrame:
+    """(file, page_no, priority, layout, bank_id): the layouts all of whose keywords occur on a first page, both in ``form``; a page without text has none.
+
+    A page looks up its pieces of ANCHOR letters. Each keyword is entered under the piece that the fewest keywords have, and each layout under the keyword that the
+    fewest layouts have, so that common words bring no candidates; a candidate's other keywords are compared with those found on
+    the page. A layout without keywords fits every page, one with a null keyword none.
+    """
+    kinds = layouts.where("not exists(keywords, k -> k is null)").select(
+        F.array_sort(F.array_distinct(F.filter(F.transform("keywords", form), lambda k: k != ""))).alias("needs"), F.struct("priority", F.col("name").alias("layout"), "bank_id").alias("of"))
+    kinds = cut_lineage(kinds.groupBy("needs").agg(F.collect_list("of").alias("whose")).withColumn("kind", F.monotonically_increasing_id()))
+    words = kinds.select("kind", F.explode("needs").alias("word"))
+    rare = words.groupBy("word").agg(F.count("*").alias("n"))
+    entry = words.join(rare, "word").groupBy("kind").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    pieces = rare.select("word", F.explode(_grams(F.left("word", F.lit(MOST_ANCHORED)), [ANCHOR])).alias("piece")).unionByName(
+        rare.where(F.length("word") < ANCHOR).select("word", F.col("word").alias("piece")))
+    held = pieces.groupBy("piece").agg(F.count("*").alias("n"))
+    anchors = cut_lineage(pieces.join(held, "piece").groupBy("word").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece")))
+    lengths = sorted(r["q"] for r in anchors.select(F.length("piece").alias("q")).distinct().collect())            # ANCHOR at most
+    texts = cut_lineage(first_pages(pages).where(F.length("text") > 0).select("file", "page_no", form("text").alias("text")).withColumn("page", F.monotonically_increasing_id()))
+    if not lengths:
+        found = texts.select("page", F.array().cast("array<string>").alias("found")).limit(0)
+    else:
+        near = texts.select("page", F.explode(_grams(F.col("text"), lengths)).alias("piece")).join(anchors, "piece").select("page", "word")
+        found = near.join(texts.select("page", "text"), "page").where(F.contains("text", "word")).groupBy("page").agg(F.collect_set("word").alias("found"))
+    fits = found.select("page", "found", F.explode("found").alias("word")).join(entry, "word").join(kinds, "kind").where(F.size(F.array_except("needs", "found")) == 0).select("page", "whose")
+    always = kinds.where(F.size("needs") == 0).select("whose").withColumn("one", F.lit(1))                         # one row at most, as kinds are distinct
+    fits = fits.unionByName(texts.select("page").withColumn("one", F.lit(1)).join(always, "one").select("page", "whose"))
+    return fits.select("page", F.inline("whose")).join(texts.select("page", "file", "page_no"), "page").drop("page")
+
+
 def route(detected: DataFrame) -> DataFrame:
     """L4: rule set by bank code, else by the layout's name; 'generic' when there is none."""
     rules = F.create_map(*[F.lit(x) for kv in W.RULE_SETS.items() for x in kv])
