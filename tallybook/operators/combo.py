@@ -14,8 +14,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallybook.operators.ordering import id_block, ordinal
 from tallybook.session import cut_lineage
@@ -24,6 +27,7 @@ from tallybook.session import cut_lineage
 MAX_SIZE, SLACK = 4, 1
 SLICE_ROWS = 20_000
 WIDE = 24          # pools above this size are searched row by row
+BLOCK = 256        # bank rows of a day that meet an unbounded window in one task
 PAIRS = 1_000      # windows up to this size are tested by their pair sums when pruning
 
 
@@ -42,17 +46,54 @@ def _subset_sums(values: np.ndarray, size: int) -> np.ndarray:
     return np.abs(total)
 
 
-def _first_hit(values: np.ndarray, want: int, size: int, base: int = 0) -> list[int] | None:
-    """Places of the lexicographically first subset of that size that, with ``base``, meets the amount; the last two places at once."""
-    n = len(values)
-    if size == 2:
-        hit = np.triu(np.abs(np.abs(base + values[:, None] + values[None]) - want) <= SLACK, 1)
-        return [int(x) for x in np.unravel_index(hit.argmax(), hit.shape)] if hit.any() else None
-    for i in range(n - size + 1):
-        rest = _first_hit(values[i + 1:], want, size - 1, base + int(values[i]))
-        if rest:
-            return [i, *(i + 1 + x for x in rest)]
-    return None
+class _Places:
+    """A pool's values in its order, and the places of each value: a pair is found by looking up what is missing, in memory of the pool's size."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.order = np.argsort(values, kind="stable")
+        self.sorted = values[self.order]
+
+    def pair(self, targets: np.ndarray, after: int = -1) -> list[int] | None:
+        """First places i < j behind ``after`` whose values sum to a target."""
+        own = self.values[after + 1:]
+        places = np.arange(after + 1, len(self.values))
+        first = len(self.values)
+        for t in targets:
+            missing = t - own[: first - after - 1]
+            last = np.searchsorted(self.sorted, missing, "right") - 1
+            hit = (self.sorted[last] == missing) & (self.order[last] > places[: len(missing)]) & (last >= 0)
+            if hit.any():
+                first = min(first, after + 1 + int(hit.argmax()))
+        if first == len(self.values):
+            return None
+        second = len(self.values)
+        for t in targets:
+            left, right = np.searchsorted(self.sorted, t - self.values[first], "left"), np.searchsorted(self.sorted, t - self.values[first], "right")
+            at = left + np.searchsorted(self.order[left:right], first, "right")
+            if at < right:
+                second = min(second, int(self.order[at]))
+        return [first, second]
+
+    def first(self, targets: np.ndarray, size: int, after: int = -1) -> list[int] | None:
+        """Places of the lexicographically first subset of that size whose sum is a target."""
+        if size == 2:
+            return self.pair(targets, after) if len(self.values) - after > 2 else None
+        for i in range(after + 1, len(self.values) - size + 1):
+            rest = self.first(targets - self.values[i], size - 1, i)
+            if rest:
+                return [i, *rest]
+        return None
+
+
+def _search(values: np.ndarray, want: int, max_size: int) -> list[int] | None:
+    """First subset of a wide pool: smallest size, then the pool's order."""
+    if len(values) <= PAIRS and not _may_fit(values, want, max_size):
+        return None
+    places = _Places(values)
+    targets = np.unique([s * want + d for s in (1, -1) for d in range(-SLACK, SLACK + 1) if want + s * d >= 0])
+    hits = (places.first(targets, size) for size in range(2, min(max_size, len(values)) + 1))
+    return next((h for h in hits if h), None)
 
 
 def _may_fit(values: np.ndarray, want: int, max_size: int) -> bool:
@@ -107,8 +148,7 @@ def _first_subset(max_size: int):
             if n > WIDE:            # too many subsets to hold for several rows at once
                 for i in at:
                     values = np.asarray(pools.iloc[i], dtype=np.int64)
-                    hits = (_first_hit(values, want[i], size) for size in range(2, max_size + 1))
-                    result[i] = next((h for h in hits if h), None) if _may_fit(values, want[i], max_size) else None
+                    result[i] = _search(values, int(want[i]), max_size)
                 continue
             for chunk in np.array_split(at, max(1, len(at) // 512)):
                 values = np.stack([np.asarray(pools.iloc[i], dtype=np.int64) for i in chunk])
@@ -128,7 +168,13 @@ def _first_subset(max_size: int):
 
 def combo_enumerate(bank: DataFrame, ledger: DataFrame, keys: list[str], cap: int | None, tol: int = 3,
                     max_size: int = MAX_SIZE) -> DataFrame:
-    """Per bank row the first subset of its static pool that meets it: smallest size, then pool order."""
+    """Per bank row the first subset of its static pool that meets it: smallest size, then pool order.
+
+    With a ``cap`` pools are short and go along with the bank rows. Without one, a window's ledger rows and a block of the bank rows of its day meet in a task,
+    which looks sums up in memory of the window's size.
+    """
+    if cap is None:
+        return _enumerate_windows(bank, ledger, keys, tol, max_size)
     pools = day_pools(bank, ledger, keys, tol, cap)
     cents = F.transform("pool", lambda c: c["cents"])
     found = (bank.join(pools, [*keys, "date"]).filter(F.size("pool") >= 2)
@@ -137,6 +183,34 @@ def combo_enumerate(bank: DataFrame, ledger: DataFrame, keys: list[str], cap: in
                         F.transform("__at", lambda i: F.get("pool", i)["row_id"]).alias("members"), "pool_cut")
 
 
+def _enumerate_windows(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: int, max_size: int) -> DataFrame:
+    day = [*keys, "date"]
+    blocks = bank.groupBy(*day).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    asks = bank.join(blocks, day).select(*day, F.pmod(F.xxhash64("row_id"), F.col("blocks")).alias("block"), "cents", "row_id")
+    reach = F.explode(F.sequence(F.date_sub("date", tol), F.date_add("date", tol)))
+    near = ledger.select(*keys, reach.alias("target"), "date", "cents", "row_id").withColumnRenamed("date", "on").withColumnRenamed("target", "date")
+    near = near.join(blocks, day).select(*day, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "on", "cents", "row_id")
+    out = T.StructType([bank.schema[k] for k in keys]).add("bank_id", "long").add("size", "integer").add("members", T.ArrayType(T.LongType()))
+    schema = to_arrow_schema(out)
+
+    def solve(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        rows = []
+        if asked.num_rows and held.num_rows >= 2:
+            held = held.sort_by([("on", "ascending"), ("cents", "ascending"), ("row_id", "ascending")])
+            values, ids = held.column("cents").to_numpy(), held.column("row_id").to_numpy()
+            known: dict[int, list[int] | None] = {}
+            for cents, row_id in zip(asked.column("cents").to_pylist(), asked.column("row_id").to_pylist(), strict=True):
+                want = abs(cents)
+                if want not in known:
+                    known[want] = _search(values, want, max_size)
+                if known[want]:
+                    rows.append((row_id, ids[known[want]].tolist()))
+        own = [pa.array([k.as_py()] * len(rows), f.type) for k, f in zip(key[: len(keys)], schema, strict=False)]
+        return pa.table([*own, pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[1]) for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=out.names).cast(schema)
+    group = [*day, "block"]
+    return asks.groupBy(*group).cogroup(near.groupBy(*group)).applyInArrow(solve, out).withColumn("pool_cut", F.lit(False))
+
+
 # ---- greedy assignment ---------------------------------------------------------------------------
 
 def _possible(bank: DataFrame, ledger: DataFrame, keys: list[str], tol: int, max_size: int) -> DataFrame:
@@ -190,22 +264,19 @@ def _assign(n_keys: int, tol: int, cap: int | None, max_size: int):
                     pool.append(queue.popleft())
                     sums = {}
                 values = np.array([p[1] for p in pool], dtype=np.int64)
-                if len(values) > WIDE and not _may_fit(values, abs(cents), max_size):
-                    continue
-                for size in range(2, min(max_size, len(values)) + 1):
-                    if len(values) > WIDE:
-                        members = _first_hit(values, abs(cents), size)
-                    else:
-                        if size not in sums:
-                            sums[size] = _subset_sums(values, size)
-                        hit = np.abs(sums[size] - abs(cents)) <= SLACK
-                        members = _subsets(len(values), size)[:, hit.argmax()].tolist() if hit.any() else None
-                    if members:
-                        for m in members:
-                            out.append((*key, row_id, day, size, pool[m][2], pool[m][0], bool(queue)))
-                        pool = [p for i, p in enumerate(pool) if i not in members]
-                        sums = {}
+                members = _search(values, abs(cents), max_size) if len(values) > WIDE else None
+                for size in range(2, min(max_size, len(values)) + 1 if len(values) <= WIDE else 0):
+                    if size not in sums:
+                        sums[size] = _subset_sums(values, size)
+                    hit = np.abs(sums[size] - abs(cents)) <= SLACK
+                    if hit.any():
+                        members = _subsets(len(values), size)[:, hit.argmax()].tolist()
                         break
+                if members:
+                    for m in members:
+                        out.append((*key, row_id, day, len(members), pool[m][2], pool[m][0], bool(queue)))
+                    pool = [p for i, p in enumerate(pool) if i not in members]
+                    sums = {}
             if out:
                 yield pd.DataFrame(out, columns=[*names, "bank_id", "bank_day", "size", "ledger_id", "ledger_day", "pool_cut"])
     return run

@@ -194,3 +194,31 @@ def test_a_null_amount_keeps_its_field(spark):
     entries = entries.selectExpr("*", "'1' conta_debito", "null participante_debito", "'2' conta_credito", "'' participante_credito", "'001' documento")
     lines = [r.line for r in J.to_journal_lines(entries, ["account_id"]).orderBy("n").collect()]
     assert lines == ["1,01/01/2025,1,,2,,0.00,,x,DCTO,,001", "2,02/01/2025,1,,2,,5.00,,,DCTO,,001"]
+
+
+def test_search_equals_every_subset():
+    import itertools
+    import random
+
+    import numpy as np
+
+    from tallybook.operators import combo as C
+    rng = random.Random(3)
+    for i in range(300):
+        values = [rng.randint(-40, 40) if i % 2 else rng.randint(-3000, 3000) for _ in range(rng.randint(2, 12))]
+        want = rng.randint(0, 120 if i % 2 else 4000)
+        hits = (list(at) for size in (2, 3, 4) for at in itertools.combinations(range(len(values)), size) if abs(abs(sum(values[x] for x in at)) - want) <= 1)
+        assert C._search(np.array(values), want, 4) == next(hits, None)
+
+
+def test_unbounded_combos_of_a_hot_day(spark):
+    """Many rows of one account in one window: no array of it goes along with the bank rows, and blocks of them are searched apart."""
+    import random
+    rng = random.Random(5)
+    ledger = [(1, i, 1 + i % 7, rng.randint(-900_000, 900_000)) for i in range(30_000)] + [(2, 50_000, 2, 70), (2, 50_001, 3, 30)]
+    bank = [(1, i, 4, rng.randint(1, 900_000)) for i in range(600)] + [(2, 900, 3, 100), (2, 901, 3, 5), (None, 902, 3, 100)]
+    got = combo_enumerate(frame(spark, bank), frame(spark, ledger), ["account_id"], None).collect()
+    cents = {i: c for _, i, _, c in ledger}
+    wanted = {i: c for _, i, _, c in bank}
+    assert sorted(r.bank_id for r in got) == [*range(600), 900]
+    assert all(r.size == 2 and abs(abs(sum(cents[m] for m in r.members)) - wanted[r.bank_id]) <= 1 and not r.pool_cut for r in got)
