@@ -117,7 +117,7 @@ four AS (SELECT t.account_id, t.bank_id, t.b_cents, t.p, t.q, t.r, c.place AS u,
   FROM three t JOIN cand c ON t.bank_id = c.bank_id AND t.account_id = c.account_id AND t.r < c.place),
 fits AS (SELECT account_id, bank_id, b_cents, 2 AS size, p, q, 0 AS r, 0 AS u, s, m FROM two UNION ALL SELECT account_id, bank_id, b_cents, 3, p, q, r, 0, s, m FROM three
   UNION ALL SELECT account_id, bank_id, b_cents, 4, p, q, r, u, s, m FROM four),
-best AS (SELECT account_id, bank_id, size, m FROM fits WHERE abs(abs(s) - abs(b_cents)) <= 1
+best AS (SELECT account_id, bank_id, size, m, (SELECT max(total) > 20 FROM cand c WHERE c.bank_id = fits.bank_id AND c.account_id = fits.account_id) AS pool_cut FROM fits WHERE abs(abs(s) - abs(b_cents)) <= 1
   QUALIFY row_number() OVER (PARTITION BY account_id, bank_id ORDER BY size, p, q, r, u) = 1)"""
 
 
@@ -131,15 +131,15 @@ def j5b(spark, sf):
     return C.combo_candidates(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS, 3)
 
 
-@query("j6_combo_enumerate", f"""{COMBOS}, {SUBSETS} SELECT account_id, bank_id, size, array_to_string(list_transform(m, lambda x: CAST(x AS VARCHAR)), ',') AS members FROM best""")
+@query("j6_combo_enumerate", f"""{COMBOS}, {SUBSETS} SELECT account_id, bank_id, size, array_to_string(list_transform(m, lambda x: CAST(x AS VARCHAR)), ',') AS members, pool_cut FROM best""")
 def j6(spark, sf):
-    out = C.combo_enumerate(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS, POOL).drop("pool_cut")
+    out = C.combo_enumerate(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS, POOL)
     return out.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
-@query("j6_combo_unbounded", f"""{COMBOS}, {SUBSETS.replace(" QUALIFY place <= 20", "")} SELECT account_id, bank_id, size, array_to_string(list_transform(m, lambda x: CAST(x AS VARCHAR)), ',') AS members FROM best""")
+@query("j6_combo_unbounded", f"""{COMBOS}, {SUBSETS.replace(" QUALIFY place <= 20", "")} SELECT account_id, bank_id, size, array_to_string(list_transform(m, lambda x: CAST(x AS VARCHAR)), ',') AS members, FALSE AS pool_cut FROM best""")
 def j6b(spark, sf):
-    out = C.combo_enumerate(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS, None).drop("pool_cut")
+    out = C.combo_enumerate(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS, None)
     return out.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
 
 
@@ -148,14 +148,15 @@ J7 = f"""acc AS (SELECT account_id, B, L FROM
   (SELECT account_id, list({{'d': date, 'c': cents, 'r': row_id}} ORDER BY date, cents, row_id) AS B FROM cb GROUP BY 1)
   JOIN (SELECT account_id, list({{'d': date, 'c': cents, 'r': row_id}} ORDER BY date, cents, row_id) AS L FROM cl GROUP BY 1) USING (account_id)),
 steps AS (
-  SELECT account_id, B, L, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS bank_id, CAST([] AS BIGINT[]) AS pick FROM acc
+  SELECT account_id, B, L, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS bank_id, CAST([] AS BIGINT[]) AS pick, FALSE AS cut FROM acc
   UNION ALL
-  SELECT account_id, B, L, i + 1, CASE WHEN pick IS NULL THEN used ELSE list_concat(used, pick) END, B[i + 1].r, pick FROM (
-    SELECT account_id, B, L, i, used, coalesce(
+  SELECT account_id, B, L, i + 1, CASE WHEN pick IS NULL THEN used ELSE list_concat(used, pick) END, B[i + 1].r, pick, cut FROM (
+    SELECT account_id, B, L, i, used, cut, coalesce(
       list_filter(list_transform(pairs, lambda k: {{'s': P[k[1]].c + P[k[2]].c, 'm': [P[k[1]].r, P[k[2]].r]}}), lambda x: abs(abs(x.s) - abs(B[i + 1].c)) <= 1)[1].m,
       list_filter(list_transform(triples, lambda k: {{'s': P[k[1]].c + P[k[2]].c + P[k[3]].c, 'm': [P[k[1]].r, P[k[2]].r, P[k[3]].r]}}), lambda x: abs(abs(x.s) - abs(B[i + 1].c)) <= 1)[1].m,
       list_filter(list_transform(quads, lambda k: {{'s': P[k[1]].c + P[k[2]].c + P[k[3]].c + P[k[4]].c, 'm': [P[k[1]].r, P[k[2]].r, P[k[3]].r, P[k[4]].r]}}), lambda x: abs(abs(x.s) - abs(B[i + 1].c)) <= 1)[1].m) AS pick
-    FROM (SELECT *, list_filter(L, lambda x: abs(date_diff('day', x.d, B[i + 1].d)) <= 3 AND NOT list_contains(used, x.r))[1:20] AS P FROM steps WHERE i < len(B)) w
+    FROM (SELECT account_id, B, L, i, used, free[1:20] AS P, len(free) > 20 AS cut FROM
+      (SELECT *, list_filter(L, lambda x: abs(date_diff('day', x.d, B[i + 1].d)) <= 3 AND NOT list_contains(used, x.r)) AS free FROM steps WHERE i < len(B))) w
     JOIN combos q ON q.n = len(w.P)))"""
 PLACES = """nums AS (SELECT unnest(range(1, 21)) AS x),
 combos AS (SELECT n, coalesce((SELECT list([a.x, b.x] ORDER BY a.x, b.x) FROM nums a, nums b WHERE a.x < b.x AND b.x <= n), []) AS pairs,
@@ -165,10 +166,10 @@ combos AS (SELECT n, coalesce((SELECT list([a.x, b.x] ORDER BY a.x, b.x) FROM nu
 
 
 @query("j7_combo_assign", f"""WITH RECURSIVE {COMBO}, {PLACES}, {J7}
-SELECT account_id, bank_id, CAST(len(pick) AS INTEGER) AS size, unnest(pick) AS ledger_id FROM steps WHERE bank_id IS NOT NULL AND pick IS NOT NULL""")
+SELECT account_id, bank_id, CAST(len(pick) AS INTEGER) AS size, unnest(pick) AS ledger_id, cut AS pool_cut FROM steps WHERE bank_id IS NOT NULL AND pick IS NOT NULL""")
 def j7(spark, sf):
     out = C.combo_assign(combo_bank(spark, sf), combo_ledger(spark, sf), KEYS, POOL)
-    return out.select("account_id", "bank_id", "size", "ledger_id")
+    return out.select("account_id", "bank_id", "size", "ledger_id", "pool_cut")
 
 
 # the whole flow: bank rows inside the ledger's period, both one-to-one steps, then combos of what is left
