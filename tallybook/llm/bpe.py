@@ -191,7 +191,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
     ``path`` is a vocabulary file of the tokenizers library (byte-level BPE); it must be readable by every executor. Null is encoded as
     an empty text, an empty text has no ids. Rows stay as they are, repeated ones too; a column that has one of the new names is replaced.
-    Texts of more than ``long`` code points go through pieces, each distinct one once.
+    Texts of more than ``long`` code points go through pieces, each distinct one once; a document and its tokens must fit in a task. Empty in, empty out.
     """
     made = [c for c in (ids_col, decoded_col) if c]
     rest = docs.drop(*made)
@@ -244,6 +244,9 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: the documents with their token ids, and whether these decode to the text again (``round_trip``)."""
+    """Last pipeline stage: the documents with their token ids, and whether these decode to the text again (``round_trip``).
+
+    Null and empty texts have no ids; repeated rows stay. Columns that documents do not have are dropped. Empty in, empty out.
+    """
     done = encode(docs.select("doc_id", "text", "lang", "source", "n_chars"), default_vocabulary(), decoded_col="decoded")
     return done.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")

@@ -53,7 +53,8 @@ def formatted(turns: DataFrame) -> DataFrame:
 
     Turns are in the order of turn, then role, then text, nulls first; equal rows are turns of their own. Null roles and texts are empty ones. Rows
     without conv_id are one conversation. ``turns`` is read back from ``formatted``. ``loss`` is the loss mask: for each assistant turn
-    (its place among the turns, the code point in its rendered form where its body starts, the body's length). No rows, no conversations.
+    (its place among the turns, the code point in its rendered form where its body starts, the body's length). Texts are whole, however long; a conversation must fit in a task. Other
+    columns are dropped. No rows, no conversations.
     """
     own = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     df = own.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))

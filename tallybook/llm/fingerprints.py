@@ -96,7 +96,8 @@ def with_edited(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_chars, sketch, edited, next_sketch): the last half of each text replaced by the beginning of the next document's.
 
     Next is the document with the next smaller doc_id; after the last comes the first. If several rows have one doc_id, each is a row here,
-    and as the next document the largest text stands for them. A row without doc_id has no next document: an empty text.
+    and as the next document the largest text stands for them. A row without doc_id has no next document: an empty text. A null text is an empty one. Texts of
+    any length are taken whole; one must fit in a task. Other columns are dropped. Empty in, empty out.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))      # doc_id as it is: an alias would keep the exchanges apart
     placed, loose = base.where("doc_id is not null"), base.where("doc_id is null")

@@ -118,7 +118,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """Adds ``n_paragraphs`` and ``licences`` (paragraph, family, probability, likeness, confirmed) to the rows of docs.
 
     All rows and other columns stay; columns that have these names are replaced. Null and empty texts have no paragraphs. A paragraph names one family,
-    the first by name where probabilities tie. Empty in, empty out.
+    the first by name where probabilities tie. Texts of any length are scanned whole; one must fit in a task. Equal texts have equal finds. Empty in, empty out.
     """
     rest = docs.drop("n_paragraphs", "licences")
     model = docs.sparkSession.sparkContext.broadcast(Classifier(sampled_paragraphs(docs)))        # bounded by the notices and the sample

@@ -160,5 +160,8 @@ def mixed(rows: DataFrame, **settings) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents of the mix, as often as it takes them."""
+    """Pipeline stage: the documents of the mix, as often as it takes them.
+
+    All columns stay. Documents without words, null texts among them, are in no mix. Repeated rows are taken like different ones. Empty in, empty out.
+    """
     return mixed(docs).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)

@@ -195,7 +195,7 @@ def groups(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Equal fingerprints are one node, however many documents share one; a component is named by its smallest doc_id. Null and
     empty texts have fingerprint 0 and link like any other. Rows without doc_id take part, but do not name a component (null if it
-    has no other). Repeated rows stay. Other columns are dropped.
+    has no other). Repeated rows stay. Texts of any length are taken whole; one must fit in a task. Other columns are dropped. Empty in, empty out.
     """
     marked = cut_lineage(with_fingerprint(docs, text_col))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -216,7 +216,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the document with the smallest doc_id stays, once. Rows without doc_id pass."""
+    """Pipeline stage: of each group the document with the smallest doc_id stays, once. Rows without doc_id pass.
+
+    Of several rows with that doc_id the shortest stays, ties broken by the text's hash, source and lang. Null and empty texts are one group. The columns of documents stay. Empty in, empty out.
+    """
     keep = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
     ranked = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").withColumn(
         "__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("n_chars", F.xxhash64("text"), "source", "lang")))

@@ -159,7 +159,10 @@ FROM w LEFT JOIN lost USING (r)"""
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without their repeated passages; documents of which nothing is left go."""
+    """Pipeline stage: texts without their repeated passages; documents of which nothing is left go.
+
+    Returns the columns of documents, others are dropped. A null text becomes an empty one, empty texts stay; rows of one doc_id keep each other's words. Empty in, empty out.
+    """
     kept = remove_repeats(docs, carry=["lang", "source"])
     kept = kept.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return kept.select("doc_id", "text", "lang", "source", F.char_length("text").cast("bigint").alias("n_chars"))

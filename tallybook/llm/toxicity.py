@@ -104,7 +104,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The letter model is counted over all texts; the word model is trained on at most TOXIC_ROWS + CLEAN_ROWS labelled rows outside the
     held-out fold. Only the text decides a score. Null and empty texts get the score of a text without words. If several labels
-    name a document, the toxic one counts; without labels of both kinds, every score is the share of toxic ones (0 for none).
+    name a document, the toxic one counts; without labels of both kinds, every score is the share of toxic ones (0 for none). Equal texts have equal scores. Texts of any length are
+    scored whole; one must fit in a task. Empty in, empty out.
     """
     names = ("toxic_score", "n_restored")
     rest = docs.drop(*names)
@@ -138,5 +139,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: toxic documents go."""
+    """Pipeline stage: toxic documents go.
+
+    All columns and the other rows stay, repeated ones and those without doc_id too; null and empty texts are scored like texts without words. Empty in, empty out.
+    """
     return score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where(F.col("toxic_score") < THRESHOLD).select(*docs.columns)
