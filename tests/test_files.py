@@ -121,8 +121,10 @@ def test_activity_both_generations(spark, tmp_path):
     (tmp_path / "new.jsonl").write_text(json.dumps({"timestamp": "2025-12-22T09:38:42", "user": "u2", "action": "Upload: a", "category": "upload", "details": {"filename": "a", "type": "ledger"}}) + "\n")
     rows = {r.user: r.details for r in read_activity(spark, str(tmp_path)).collect()}
     assert rows == {"u1": {}, "u2": {"filename": "a", "type": "ledger"}}
-    append_activity(read_activity(spark, str(tmp_path)), str(tmp_path / "log"))
-    assert sorted(p.name for p in (tmp_path / "log").glob("day=*")) == ["day=2025-12-10", "day=2025-12-22"]
+    log = str(tmp_path / "log")
+    append_activity(read_activity(spark, str(tmp_path)), log, "both")
+    assert sorted(p.name for p in (tmp_path / "log" / "data").glob("*/day=*")) == ["day=2025-12-10", "day=2025-12-22"]
+    assert {r.user: r.details for r in read_activity(spark, log).collect()} == rows
 
 
 def test_layout_files_in_name_order(spark, tmp_path):
