@@ -1,15 +1,17 @@
 """Byte-level BPE of whole texts: long unsplit texts by tree concatenation, then back.
 
 A long text is cut into pieces that are encoded in parallel, on any executor. Pieces are joined like the leaves of a tree: around
-each join a window is encoded anew, and it grows until it agrees with both sides. It begins at the last certain
-split of the left side, and it ends at a split that it shares with the right side; from a shared split on, the rest is the same.
-Splits are where the vocabulary's pattern divides a text before merging; one is certain if the pattern has seen AHEAD code points behind it.
+each join a window is encoded anew, and it grows on both sides until it agrees with both. Splits are where the vocabulary's pattern divides
+a text before merging; one is certain if the pattern has seen AHEAD code points behind it. A window begins at the last certain split of the
+left side, or where that is far, at a token's border inside the unsplit run; then its first token must be the left side's token there. It ends at
+a split that it shares with the right side, or at a token's border inside a run, and then its last token must be the right side's. One common
+token is enough: ids are the encoding of a run if and only if each two neighbours are (Berglund and others, tokenization automata, 2024).
 """
 from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from functools import cached_property
 
@@ -32,7 +34,24 @@ SPLITS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Code points for which both encoders surely split alike: scripts that were there long before either library.
 _COMMON = re.compile("[\x00-ɏΑ-ΡΣ-ωЀ-џ‐-‧‰-›€ぁ-ゖァ-ヺ一-龥가-힣]*")
 
-Encoded = tuple[list[int], list[int], list[int]]        # ids; for each split: its first token, its first code point
+#: ids; for each split: its first token, its first code point; for each token: twice its first code point, plus 1 if it begins inside that one.
+Encoded = tuple[list[int], list[int], list[int], list[int]]
+
+
+def _border_before(border: list[int], at: int) -> tuple[int, int]:
+    """The last token that begins with a code point, at ``at`` or before; the first token if there is none."""
+    k = max(0, bisect_right(border, 2 * at) - 1)
+    while k and border[k] % 2:
+        k -= 1
+    return k, border[k] // 2
+
+
+def _border_behind(border: list[int], at: int) -> tuple[int, int]:
+    """The first token that begins with a code point, at ``at`` or behind; the number of tokens if there is none."""
+    k = bisect_left(border, 2 * at)
+    while k < len(border) and border[k] % 2:
+        k += 1
+    return k, border[k] // 2 if k < len(border) else -1
 
 
 class Vocabulary:
@@ -73,13 +92,14 @@ class Vocabulary:
         return self.slow.decode(ids.tolist(), skip_special_tokens=False)
 
     def encode_section(self, text: str) -> Encoded:
-        """Ids and splits of a text that holds no special token."""
+        """Ids, splits and token borders of a text that holds no special token."""
         if not text:
-            return [], [], []
+            return [], [], [], []
         e = self.slow.encode(text, add_special_tokens=False)
         word, offsets = e.word_ids, e.offsets            # each a new list
         first = [i for i, w in enumerate(word) if i == 0 or w != word[i - 1]]
-        return e.ids, first, [offsets[i][0] for i in first]
+        border = [2 * o[0] + (i > 0 and o[0] < offsets[i - 1][1]) for i, o in enumerate(offsets)]
+        return e.ids, first, [offsets[i][0] for i in first], border
 
     def sections(self, text: str) -> list[tuple[str, int | None]]:
         """(text, id): what stands between special tokens, and the special tokens themselves."""
@@ -93,23 +113,45 @@ class Vocabulary:
         """Encoding of a section from those of text[:middle] and text[middle:]."""
         if not left[0] or not right[0]:
             return left if left[0] else right
-        last = max(0, bisect_right(left[2], middle - AHEAD) - 1)
-        n, start = left[1][last], left[2][last]
-        theirs = {middle + at: k for k, at in enumerate(right[2])}
+        window = max(window, 2 * (AHEAD + 1))
+        split = max(0, bisect_right(left[2], middle - AHEAD) - 1)
         while True:
-            end = min(len(text), middle + window)
-            ids, first, at = self.encode_section(text[start:end])
-            k = next((k for k, a in enumerate(at) if start + a in theirs and start + a <= end - AHEAD), None)
-            if k is not None or end == len(text):
-                j = len(right[2]) if k is None else theirs[start + at[k]]
-                k = len(at) if k is None else k
-                m = first[k] if k < len(at) else len(ids)
-                rest = right[1][j] if j < len(right[1]) else len(right[0])
-                return ([*left[0][:n], *ids[:m], *right[0][rest:]],
-                        [*left[1][:last], *(n + f for f in first[:k]), *(n + m - rest + f for f in right[1][j:])],
-                        [*left[2][:last], *(start + x for x in at[:k]), *(middle + x for x in right[2][j:])])
+            n, start = _border_before(left[3], middle - window)
+            inside = start > left[2][split] + 1          # within an unsplit run, behind its first code point
+            if not inside:
+                n, start = left[1][split], left[2][split]
+            j, end = _border_behind(right[3], window)
+            end = len(text) if j == len(right[0]) else middle + end
+            made = self.encode_section(text[start:end])
+            if not inside or made[0][0] == left[0][n]:
+                if (ends := self._meets(made, right, start - middle, j, end - middle)) is not None:
+                    m, keep, j, rest = ends              # tokens and splits of the window, then where the right side goes on
+                    own = slice(1 if inside else 0, keep)
+                    kept = split + 1 if inside else split
+                    return ([*left[0][:n], *made[0][:m], *right[0][j:]],
+                            [*left[1][:kept], *(n + f for f in made[1][own]), *(n + m - j + f for f in right[1][rest:])],
+                            [*left[2][:kept], *(start + x for x in made[2][own]), *(middle + x for x in right[2][rest:])],
+                            [*left[3][:n], *(2 * start + x for x in made[3][:m]), *(2 * middle + x for x in right[3][j:])])
             window *= 2
 
+    @staticmethod
+    def _meets(made: Encoded, right: Encoded, start: int, j: int, end: int) -> tuple[int, int, int, int] | None:
+        """Where a window (from ``start`` to ``end``, counted from the right side's begin; ``j`` its token there) goes over into the right side."""
+        if j == len(right[0]):
+            return len(made[0]), len(made[1]), j, len(right[1])
+        for k, at in enumerate(made[2]):                 # a split that both have
+            place = start + at
+            if 0 <= place <= end - AHEAD:
+                rest = bisect_left(right[2], place)
+                if rest < len(right[2]) and right[2][rest] == place:
+                    return made[1][k], k, right[1][rest], rest
+        run = bisect_right(right[1], j - 1) - 1 if j else -1     # the right side's run that holds the token before ``end``
+        far = end - AHEAD - 1
+        if run < 0 or right[2][run] > far or start + made[2][-1] > far or run + 1 < len(right[1]) and right[1][run + 1] <= j:
+            return None
+        same = made[0][-1] == right[0][j - 1] and made[3][-1] + 2 * start == right[3][j - 1]
+        return (len(made[0]), len(made[1]), j, run + 1) if same else None
+
     def tree(self, pieces: Sequence[Encoded], texts: Sequence[str]) -> Encoded:
         """Joins neighbours, then neighbours of neighbours, until one is left."""
         pieces, texts = list(pieces), list(texts)
@@ -169,9 +211,9 @@ def _encode_pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for b in batches:
-            made = [vocab.encode_section(t) if s is None else ([s], [0], [0]) for t, s in zip(b.column("__text").to_pylist(), b.column("special").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("__key", "section", "piece", "__text")] + [_ids([m[i] for m in made]) for i in range(3)],
-                                             ["__key", "section", "piece", "__text", "ids", "first", "at"])
+            made = [vocab.encode_section(t) if s is None else ([s], [0], [0], [0]) for t, s in zip(b.column("__text").to_pylist(), b.column("special").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("__key", "section", "piece", "__text")] + [_ids([m[i] for m in made]) for i in range(4)],
+                                             ["__key", "section", "piece", "__text", "ids", "first", "at", "border"])
     return run
 
 
@@ -181,7 +223,7 @@ def _join_pieces(path: str):
         ids: list[int] = []
         for s in sorted({r["section"] for r in rows}):
             own = [r for r in rows if r["section"] == s]
-            ids += vocab.tree([(r["ids"], r["first"], r["at"]) for r in own], [r["__text"] for r in own])[0]
+            ids += vocab.tree([(r["ids"], r["first"], r["at"], r["border"]) for r in own], [r["__text"] for r in own])[0]
         return pa.table([pa.array([rows[0]["__key"]], pa.string()), _ids([ids]), pa.array([vocab.decode(np.array(ids, np.uint32))], pa.string())], ["__key", "__ids", "__decoded"])
     return run
 
@@ -207,7 +249,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     spread = (tall.select("__key", F.col(text_col).alias("__text")).dropDuplicates(["__key"])
               .mapInArrow(lambda b: pieces(b, cut), "__key string, section int, piece int, __text string, special int")
               .repartition("__key", "section", "piece"))
-    done = spread.mapInArrow(_encode_pieces(path), "__key string, section int, piece int, __text string, ids array<int>, first array<int>, at array<int>")
+    done = spread.mapInArrow(_encode_pieces(path), "__key string, section int, piece int, __text string, ids array<int>, first array<int>, at array<int>, border array<int>")
     joined = done.groupBy("__key").applyInArrow(_join_pieces(path), "__key string, __ids array<int>, __decoded string")
     out = tall.join(joined, "__key").withColumn(ids_col, F.col("__ids"))
     out = out.withColumn(decoded_col, F.col("__decoded")) if decoded_col else out

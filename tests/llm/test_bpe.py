@@ -59,6 +59,47 @@ def test_join_anywhere(path, library, window):
     assert library.encode("ok").ids
 
 
+RUNS = {"letters": "etaoinshrdlu", "cjk": "漢字東京大学生日本語中国", "emoji": "🙂🚀😀👍é", "digits": "0123456789", "signs": "'!?.-", "space": " \t\n"}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_joins_in_a_text_without_a_split(path, library, monkeypatch, name):
+    """200,000 code points in one run: what is encoded anew is at most a few windows a join."""
+    rng = random.Random(11)
+    text = "".join(rng.choice(RUNS[name]) for _ in range(200_000))
+    parts = [text[i: i + 5_000] for i in range(0, len(text), 5_000)]
+    vocab, again = bpe.vocabulary(path), [0]
+    made = [vocab.encode_section(p) for p in parts]
+    encode_section = vocab.encode_section
+
+    def counted(t):
+        again[0] += len(t)
+        return encode_section(t)
+    monkeypatch.setattr(vocab, "encode_section", counted)
+    ids = vocab.tree(made, parts)[0]
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert again[0] <= 4 * 2 * bpe.WINDOW * (len(parts) - 1)
+
+
+def test_join_anywhere_between_runs(path):
+    """Long runs of one kind beside others, joined at every border between them and near it, by the smallest window."""
+    vocab, rng = bpe.vocabulary(path), random.Random(12)
+    for _ in range(150):
+        runs = ["".join(rng.choices(RUNS[rng.choice(list(RUNS))], k=rng.choice((1, 2, 3, 12, 60)))) for _ in range(6)]
+        text = "".join(runs)
+        borders = [len("".join(runs[:i])) for i in range(1, 6)]
+        whole = tuple(vocab.encode_section(text))
+        for middle in {m for b in borders for m in (b - 1, b, b + 1, b + 5) if 0 < m < len(text)}:
+            assert vocab.join(vocab.encode_section(text[:middle]), vocab.encode_section(text[middle:]), text, middle, 1) == whole
+
+
+def test_runs_of_one_letter(path, library):
+    """Equal letters keep no common border with a piece that begins elsewhere: the window grows to the end, and the ids are right."""
+    vocab, text = bpe.vocabulary(path), "a" * 9_001
+    parts = [text[i: i + 1_001] for i in range(0, len(text), 1_001)]
+    assert vocab.tree([vocab.encode_section(p) for p in parts], parts)[0] == library.encode(text, add_special_tokens=False).ids
+
+
 def test_encode(spark, docs, odd, path, library):
     rows = odd + list(enumerate(texts(), 100))
     for long in (bpe.LONG, 50):
