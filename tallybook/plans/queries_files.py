@@ -1,7 +1,7 @@
 """Files and streams: Spark writes them from the given tables into the shared folder, then reads them back."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.functions import words as W
@@ -17,6 +17,7 @@ from tallybook.session import scratch_path
 from tallybook.sinks import files as K
 from tallybook.sinks import ofx_writer as O
 from tallybook.sinks.commits import read_batches
+from tallybook.sinks.ofx_files import write_ofx
 from tallybook.sources import catalog as C
 from tallybook.sources import ledger_files as G
 from tallybook.sources import ofx_files as X
@@ -185,6 +186,17 @@ def k3(spark, sf):
     return O.to_ofx(ofx_source(spark, sf), ["file"], "20250101000000")
 
 
+@query("k3_ofx_files", f"""{MOVES} SELECT file || '.ofx' AS name, date, cents, memo AS description, {IDENT} AS fitid, CASE WHEN row_id % 5 = 0 THEN CAST(cust AS VARCHAR) END AS doc_id,
+  row_number() OVER (PARTITION BY file ORDER BY row_id) AS place FROM mov""")
+def k3c(spark, sf):
+    path = scratch_path(spark, "ofx")
+    write_ofx(ofx_source(spark, sf), ["file"], path, "20250101000000")
+    back = X.read_ofx(spark, path).withColumn("name", F.element_at(F.split("file", "/"), -1))
+    # internal_id grows with the place in the file; a statement has at most a thousand rows
+    place = F.row_number().over(Window.partitionBy("name").orderBy("internal_id")).cast("bigint")
+    return back.select("name", "date", to_cents("amount").alias("cents"), "description", "fitid", "doc_id", place.alias("place"))
+
+
 @query("k3_ofx_span", f"{MOVES} SELECT file, strftime(min(date), '%Y%m%d000000') AS dtstart, strftime(max(date), '%Y%m%d235959') AS dtend FROM mov GROUP BY 1")
 def k3b(spark, sf):
     head = O.to_ofx(ofx_source(spark, sf), ["file"], "20250101000000").filter("ord = 0")
