@@ -24,7 +24,7 @@ REQUEST_SCHEMA = pa.schema([("bucket", pa.int32()), ("bundle", pa.int64()), ("bl
 
 
 def with_bundle(docs: DataFrame, id_col: str, weight: Column, target: int) -> tuple[DataFrame, int]:
-    """Adds ``bundle``: growing with the id, with a sum of weights of about ``target`` each. Rows without an id go to the last one."""
+    """Adds ``bundle``: growing with the id, with about the same number of rows each, as many as the weights hold ``target``. Rows without an id go to the last one."""
     size = docs.agg(F.sum(weight).alias("n")).first()["n"] or 0
     wanted = max(1, math.ceil(size / target))
     cuts, fine = min(wanted, QUANTILES), math.ceil(wanted / QUANTILES)
@@ -49,6 +49,43 @@ def with_bundle(docs: DataFrame, id_col: str, weight: Column, target: int) -> tu
     return coarse.withColumn("bundle", (F.col("__range") * fine + part).cast("bigint")).drop("__at", "__range"), len(edges) * fine
 
 
+def with_weighted_bundle(docs: DataFrame, id_col: str, weight: Column, target: int) -> tuple[DataFrame, int]:
+    """Adds ``bundle``: growing with the id, with a sum of weights of about ``target`` each, however the weights lie along the ids. Rows without an id are the last one.
+
+    Ranges of equally many rows, eight to a bundle (QUANTILES at most), are weighed and dealt to bundles by the weight before them. A range heavier than a bundle is
+    cut into equal widths of the id. One id is never cut.
+    """
+    id_ = F.col(id_col).cast("double")
+    whole = docs.agg(F.sum(weight).alias("n"), F.min(id_).alias("lo"), F.max(id_).alias("hi")).first()
+    wanted = math.ceil((whole["n"] or 0) / target)
+    if wanted <= 1 or whole["lo"] is None:
+        return docs.withColumn("bundle", F.lit(0).cast("bigint")), 1
+    ranges = min(8 * wanted, QUANTILES)
+    found = docs.agg(F.percentile_approx(F.col(id_col).cast("bigint"), [i / ranges for i in range(1, ranges)], 10 * ranges).alias("q")).first()["q"]
+    cuts = sorted({float(x) for x in found})
+    ranged = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__at", outputCol="__range").transform(docs.withColumn("__at", F.coalesce(id_, F.lit(math.inf))))
+    weighed = {int(r["__range"]): r["n"] for r in ranged.where(F.col(id_col).isNotNull()).groupBy("__range").agg(F.sum(weight).alias("n")).collect()}     # QUANTILES rows at most
+    at, held, base, parts = 0, 0, [], []
+    for i in range(len(cuts) + 1):
+        n = weighed.get(i) or 0
+        if held and (n > target or held + n / 2 > target):
+            at, held = at + 1, 0
+        base.append(at)
+        parts.append(max(1, math.ceil(n / target)))
+        at, held = (at + parts[-1], 0) if n > target else (at, held + n)
+    bundles = at + 2
+    i = F.col("__range").cast("int") + 1
+
+    def of_range(values: list) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), i)
+    part = F.lit(0.0)
+    if max(parts) > 1:
+        low, high = of_range([whole["lo"], *cuts]), of_range([*cuts, whole["hi"] + 1])
+        part = F.least(of_range([p - 1.0 for p in parts]), F.floor((F.col("__at") - low) / F.greatest(high - low, F.lit(1.0)) * of_range([float(p) for p in parts])))
+    bundle = F.when(F.col(id_col).isNull(), bundles - 1).otherwise(of_range(base) + part)
+    return ranged.withColumn("bundle", bundle.cast("bigint")).drop("__at", "__range"), bundles
+
+
 def bucket_bits(bundles: int) -> int:
     """So many buckets that each gets about as many keys as a bundle sends."""
     return max(3, math.ceil(math.log2(max(bundles, 1))))
@@ -76,9 +113,10 @@ def unpack(blob: bytes | None) -> np.ndarray:
 def requests(bundle: int, keys: np.ndarray, marked: np.ndarray, bits: int, width: int) -> pa.Table:
     """Rows for the buckets. keys: sorted, distinct, of ``width`` bits; the upper ``bits`` name the bucket. marked: which of them count as index."""
     rest = width - bits
-    bounds = np.searchsorted(keys >> np.uint64(rest), np.arange((1 << bits) + 1, dtype=np.uint64))
+    bucket = (keys >> np.uint64(rest)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))             # buckets without a key are not walked through
     low = keys & np.uint64((1 << rest) - 1)
-    rows = [(b, pack(low[s:e]), pack(low[s:e][marked[s:e]])) for b, (s, e) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if e > s]
+    rows = [(int(bucket[s]), pack(low[s:e]), pack(low[s:e][marked[s:e]])) for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)][:len(starts)], strict=True)]
     return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([bundle] * len(rows), pa.int64()),
                      pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=REQUEST_SCHEMA)
 

@@ -129,7 +129,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, carry: Sequence[str] = (),
     """
     block = length // 2
     slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
-    slim, n = B.with_bundle(slim, "doc_id", F.octet_length("text"), target)
+    slim, n = B.with_weighted_bundle(slim, "doc_id", F.octet_length("text"), target)
     bits = B.bucket_bits(n)
     probes = slim.groupBy("bundle").applyInArrow(_probe(bits, block), B.REQUEST)
     hits = probes.groupBy("bucket").applyInArrow(B.shared_keys, B.REPLY)
