@@ -222,3 +222,21 @@ def test_unbounded_combos_of_a_hot_day(spark):
     wanted = {i: c for _, i, _, c in bank}
     assert sorted(r.bank_id for r in got) == [*range(600), 900]
     assert all(r.size == 2 and abs(abs(sum(cents[m] for m in r.members)) - wanted[r.bank_id]) <= 1 and not r.pool_cut for r in got)
+
+
+def test_unbounded_combos_send_long_windows_only_to_tasks_of_their_own(spark, monkeypatch):
+    from itertools import islice
+
+    from tallybook.operators import combo as C
+    rng = random.Random(5)
+    ledger = [(a, 100 * a + i, 5, rng.randint(-300, 900)) for a in (1, 2) for i in range(24 if a == 1 else 25)]
+    bank = [(a, 10 * a + i, 5, rng.randint(1, 2_000)) for a in (1, 2, 3) for i in range(8)]
+    alone = []
+    windows = C._enumerate_windows
+    monkeypatch.setattr(C, "_enumerate_windows", lambda asks, *rest: alone.append(asks) or windows(asks, *rest))
+    got = combo_enumerate(frame(spark, bank), frame(spark, ledger), ["account_id"], None).collect()
+    assert {r.account_id for r in alone[0].collect()} == {2}
+    for account, row_id, _, cents in bank:
+        pool = sorted((x[3], x[1]) for x in ledger if x[0] == account)
+        hits = (c for size in (2, 3, 4) for c in combinations(pool, size) if abs(abs(sum(x[0] for x in c)) - cents) <= 1)
+        assert [r.members for r in got if (r.account_id, r.bank_id) == (account, row_id)] == [[x[1] for x in h] for h in islice(hits, 1)]
