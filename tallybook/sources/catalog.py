@@ -2,19 +2,24 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions import words as W
-from tallybook.functions.scalars import col, contains_ci_ai, fmt_date_br, strip
+from tallybook.functions.scalars import col, fmt_date_br, once, strip
 from tallybook.operators.ordering import join_whole
 from tallybook.schemas import ACTIVITY, LAYOUT
-from tallybook.session import cut_lineage
+from tallybook.session import cut_lineage, stored
 from tallybook.sinks.commits import is_table, read_batches
 
 MAX_LAYOUTS = 2000
 ANCHOR = 8             # letters of a keyword that pages look up
+STRETCH = 1_000_000     # letters whose pieces are hashed at once
+MARK_BITS = 28         # marks of anchors' hashes: 32 MB at most
 MOST_ANCHORED = 256     # letters of a keyword among which the rarest piece is chosen; the whole keyword is compared
 
 
@@ -77,11 +82,12 @@ def detect_layout(pages: DataFrame, layouts: list[dict] | DataFrame) -> DataFram
     A list is configuration and becomes one expression; a table of any size goes through an index of its keywords.
     """
     if isinstance(layouts, DataFrame):
-        first = indexed_layouts(pages, layouts, fold).groupBy("file", "page_no").agg(F.min(F.struct("priority", "layout", "bank_id")).alias("__l"))
+        first = indexed_layouts(pages, layouts, fold, first=True).groupBy("file", "page_no").agg(F.min(F.struct("priority", "layout", "bank_id")).alias("__l"))
         marked = join_whole(first_pages(pages), first, ["file", "page_no"], "left")
     else:
-        found = _first_layout(layouts, lambda ks: _all([contains_ci_ai("text", F.lit(k)) for k in ks]))
-        marked = first_pages(pages).withColumn("__l", F.when(F.length("text") > 0, found))
+        first = once(first_pages(pages), ["file", "text"], fold("text").alias("__folded"))
+        found = _first_layout(layouts, lambda ks: _all([F.contains("__folded", fold(F.lit(k))) for k in ks]))
+        marked = once(first, ["file", "text"], F.when(F.length("text") > 0, found).alias("__l"))
     return marked.select(
         "file", F.col("__l.layout").alias("layout"), F.col("__l.bank_id").alias("bank_id"),
         F.when(F.col("__l").isNull(), W.MSG_NO_LAYOUT).alias("error"),
@@ -109,7 +115,9 @@ def _plain_letters() -> tuple[str, str]:
 
 def fold(c: Column | str) -> Column:
     """Upper case, without accents."""
-    return F.regexp_replace(F.translate(F.upper(col(c)), *_plain_letters()), r"\p{Mn}+", "")
+    upper = F.upper(col(c))
+    plain = F.regexp_replace(F.translate(upper, *_plain_letters()), r"\p{Mn}+", "")
+    return F.when(upper.rlike(r"[^\x00-\x7F]"), plain).otherwise(upper)
 
 
 def _grams(text: Column, lengths: list[int]) -> Column:
@@ -117,16 +125,62 @@ def _grams(text: Column, lengths: list[int]) -> Column:
     return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)) for q in lengths]))
 
 
-def indexed_layouts(pages: DataFrame, layouts: DataFrame, form=fold) -> DataFrame:
+def _slots(text: str, q: int, bits: int) -> np.ndarray:
+    """Hash of ``bits`` bits of each piece of q letters, from every place of the text on."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.full(max(len(codes) - q + 1, 0), q, dtype=np.uint64)
+    for j in range(q):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j: len(h) + j]
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _marked_pieces(lengths: list[int], bits: int, marked: np.ndarray):
+    """(page, text) -> (page, piece): the distinct pieces of these lengths whose hash is marked. Texts are joined to stretches, whose pieces are hashed at once."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, lo = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
+            ends = np.cumsum([len(t) for t in texts])
+            while lo < len(texts):
+                base = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, base + STRETCH, "right")))
+                whole, last, some = "".join(texts[lo:hi]), ends[lo:hi] - base, set()
+                for q in lengths:
+                    slots = _slots(whole, q, bits)
+                    at = np.flatnonzero((marked[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1)
+                    of = np.searchsorted(last, at, "right")
+                    some.update((ids[lo + f], whole[i: i + q]) for i, f, end in zip(at.tolist(), of.tolist(), last[of].tolist(), strict=True) if i + q <= end)
+                lo = hi
+                if some:
+                    yield pa.record_batch([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.string())], names=["page", "piece"])
+    return find
+
+
+def _marked(anchors: DataFrame) -> tuple[int, np.ndarray]:
+    """One bit for each hash of an anchor: 32 bits an anchor, at most 2**MARK_BITS, so that what is collected is bounded. Marks bring candidates only."""
+    bits = min(MARK_BITS, max(16, (anchors.count() * 32).bit_length()))
+
+    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([int(_slots(t, len(t), bits)[0]) for t in batch.column(0).to_pylist()], pa.int64())], names=["slot"])
+    slots = anchors.select("piece").distinct().mapInArrow(slots_of, "slot long")
+    rows = slots.groupBy(F.shiftright("slot", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")).collect()
+    marked = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    for r in rows:
+        marked[r["part"] << 12: (r["part"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return bits, marked
+
+
+def indexed_layouts(pages: DataFrame, layouts: DataFrame, form=fold, first: bool = False) -> DataFrame:
     """(file, page_no, priority, layout, bank_id): the layouts all of whose keywords occur on a first page, both in ``form``; a page without text has none.
 
-    A page looks up its pieces of ANCHOR letters. Each keyword is entered under the piece that the fewest keywords have, and each layout under the keyword that the
-    fewest layouts have, so that common words bring no candidates; a candidate's other keywords are compared with those found on
-    the page. A layout without keywords fits every page, one with a null keyword none.
+    A page looks up its pieces of ANCHOR letters, of which only those leave it whose hash some anchor has. Each keyword is entered under the piece that the fewest keywords have, and
+    each layout under the keyword that the fewest layouts have, so that common words bring no candidates; a candidate's other keywords are compared with those found on
+    the page. A layout without keywords fits every page, one with a null keyword none. ``first``: of layouts with the same keywords the first only.
     """
     kinds = layouts.where("not exists(keywords, k -> k is null)").select(
         F.array_sort(F.array_distinct(F.filter(F.transform("keywords", form), lambda k: k != ""))).alias("needs"), F.struct("priority", F.col("name").alias("layout"), "bank_id").alias("of"))
-    kinds = cut_lineage(kinds.groupBy("needs").agg(F.collect_list("of").alias("whose")).withColumn("kind", F.monotonically_increasing_id()))
+    whose = F.array(F.min("of")) if first else F.collect_list("of")
+    kinds = cut_lineage(kinds.groupBy("needs").agg(whose.alias("whose")).withColumn("kind", F.monotonically_increasing_id()))
     words = kinds.select("kind", F.explode("needs").alias("word"))
     rare = words.groupBy("word").agg(F.count("*").alias("n"))
     entry = words.join(rare, "word").groupBy("kind").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
@@ -135,11 +189,11 @@ def indexed_layouts(pages: DataFrame, layouts: DataFrame, form=fold) -> DataFram
     held = pieces.groupBy("piece").agg(F.count("*").alias("n"))
     anchors = cut_lineage(pieces.join(held, "piece").groupBy("word").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece")))
     lengths = sorted(r["q"] for r in anchors.select(F.length("piece").alias("q")).distinct().collect())            # ANCHOR at most
-    texts = cut_lineage(first_pages(pages).where(F.length("text") > 0).select("file", "page_no", form("text").alias("text")).withColumn("page", F.monotonically_increasing_id()))
+    texts = stored(first_pages(pages).where(F.length("text") > 0).select("file", "page_no", form("text").alias("text")).withColumn("page", F.monotonically_increasing_id()))
     if not lengths:
         found = texts.select("page", F.array().cast("array<string>").alias("found")).limit(0)
     else:
-        near = texts.select("page", F.explode(_grams(F.col("text"), lengths)).alias("piece")).join(anchors, "piece").select("page", "word")
+        near = texts.select("page", "text").mapInArrow(_marked_pieces(lengths, *_marked(anchors)), "page long, piece string").join(anchors, "piece").select("page", "word")
         found = near.join(texts.select("page", "text"), "page").where(F.contains("text", "word")).groupBy("page").agg(F.collect_set("word").alias("found"))
     fits = found.select("page", "found", F.explode("found").alias("word")).join(entry, "word").join(kinds, "kind").where(F.size(F.array_except("needs", "found")) == 0).select("page", "whose")
     always = kinds.where(F.size("needs") == 0).select("whose").withColumn("one", F.lit(1))                         # one row at most, as kinds are distinct

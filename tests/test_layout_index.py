@@ -37,3 +37,16 @@ def test_many_layouts_with_common_words(spark, pages):
     many = [(f"{i:06}", f"L{i}", ["lote", f"banco numero {i}"]) for i in range(30_000)] + [("1", "last", ["lote", "agencia 1"])]
     got = {r.file: r.layout for r in detect_layout(pages, table_of(spark, many)).collect()}
     assert got["f0"] == "last" and sum(v is not None for v in got.values()) == 1
+
+
+def test_only_pieces_that_an_anchor_may_have_leave_a_page(spark):
+    from tallybook.sources.catalog import _marked, _marked_pieces
+    words = ["abcdefgh", "🙂漢字 sem 1", "xyz", "12345678"]
+    anchors = spark.createDataFrame([(w, w) for w in words], "word string, piece string")
+    texts = ["".join(chr(97 + (i * i + p) % 23) for i in range(3_000)) for p in range(20)] + ["xyabcdefgh", "z", "🙂漢字 sem 1🙂漢字 sem 1", "abcdefg", "h12345678xyz", "xy"]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page long, text string").coalesce(1)
+    got = {(r.page, r.piece) for r in pages.mapInArrow(_marked_pieces([3, 8, 9], *_marked(anchors)), "page long, piece string").collect()}
+    assert {(p, w) for p, t in enumerate(texts) for w in words if w in t and len(w) in (3, 8, 9)} <= got
+    assert all(piece in texts[page] for page, piece in got)
+    pieces = {(p, t[i:i + q]) for p, t in enumerate(texts) for q in (3, 8, 9) for i in range(len(t) - q + 1)}
+    assert len(got) < len(pieces) / 100
