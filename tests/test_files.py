@@ -166,3 +166,19 @@ def test_stone_statement_is_turned_round(spark):
 
 def test_shared_folder_is_read_from_the_session(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_extraction_reads_its_pages_once(spark):
+    from pyspark.sql import functions as F
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+    rows = [(f"f{i}", p, f"EXTRATO POR PERIODO\n01/02/2025 000123 PIX {p}0,00 C 20,00 C") for i in range(5) for p in (1, 2)]
+    pages = spark.createDataFrame(rows, "file string, page_no int, text string").withColumn("text", seen.asNondeterministic()("text"))
+    words = spark.createDataFrame([], "file string, page_no int, x0 double, top double, text string")
+    done = extract_statements(pages, words, shipped_layouts(), 2025)
+    assert done.txn.count() == 10 and [r.tx_count for r in done.status.collect()] == [2] * 5
+    assert read.value == len(rows)
