@@ -399,20 +399,17 @@ def extract_stone(lines: DataFrame, default_year: int) -> DataFrame:
                 signed(br_amount_abs(value), F.upper(kind).isin(W.STONE_OUT)).alias("amount"), br_amount_abs(bal).alias("balance"),
                 F.when(strip(desc) != "", strip(desc)).otherwise(strip(kind)).alias("core"), F.col("money").cast("int").alias("money"),
                 (F.col("money") | F.col("header")).cast("int").alias("stop"))
-    page, up = Window.partitionBy(*PAGE).orderBy("line_no"), Window.partitionBy(*PAGE).orderBy(F.desc("line_no"))
-    to_here = (Window.unboundedPreceding, 0)
-    takes = F.when(F.col("is_anchor"), F.col("takes"))
-    rows = rows.select("*", _page_group(F.col("is_anchor")).alias("gap"), F.last(takes, ignorenulls=True).over(page.rowsBetween(*to_here)).alias("upper"),
-                       F.last(takes, ignorenulls=True).over(up.rowsBetween(*to_here)).alias("lower"))
-    # inside a gap: lines since the upper anchor, lines to the lower one, and what stands in the way
-    gap, gap_up = Window.partitionBy(*PAGE, "gap").orderBy("line_no"), Window.partitionBy(*PAGE, "gap").orderBy(F.desc("line_no"))
-    line = (~F.col("is_anchor")).cast("int")
-    rows = rows.select("*", F.sum(line).over(gap.rowsBetween(*to_here)).alias("i"), F.sum(line).over(gap_up.rowsBetween(*to_here)).alias("j"),
-                       F.sum(F.col("money") * line).over(gap.rowsBetween(*to_here)).alias("money_to"),
-                       F.sum(F.col("stop") * line).over(gap_up.rowsBetween(*to_here)).alias("stop_from"))
+    # what a line needs to know stands at most two lines above and three below: one sort of a page is enough
+    cell = F.struct("is_anchor", "takes", "money", "stop")
+    rows = rows.select("*", _page_group(F.col("is_anchor")).alias("gap"), *[F.lag(cell, k).over(_page_order()).alias(f"up{k}") for k in (1, 2)],
+                       *[F.lead(cell, k).over(_page_order()).alias(f"down{k}") for k in (1, 2, 3)])
+    up1, up2, down1, down2, down3 = map(F.col, ("up1", "up2", "down1", "down2", "down3"))
     free = ~F.col("is_anchor")
-    goes_up = free & F.coalesce("upper", F.lit(False)) & (F.col("i") <= 2) & (F.col("money_to") == 0)
-    goes_down = free & F.coalesce("lower", F.lit(False)) & (F.col("j") <= 3) & (F.col("stop_from") == 0)
+    upper = F.when(up1["is_anchor"], up1["takes"]).otherwise((up1["money"] == 0) & up2["is_anchor"] & up2["takes"])
+    lower = F.when(down2["is_anchor"], down2["takes"]).otherwise((down2["stop"] == 0) & down3["is_anchor"] & down3["takes"])
+    lower = F.when(down1["is_anchor"], down1["takes"]).otherwise((down1["stop"] == 0) & lower)
+    goes_up = free & (F.col("money") == 0) & F.coalesce(upper, F.lit(False))
+    goes_down = free & (F.col("stop") == 0) & F.coalesce(lower, F.lit(False))
     core = F.col("is_txn") & F.col("date").isNotNull()
     rows = rows.withColumn("gap", F.when(core | goes_up, F.col("gap")).when(goes_down, F.col("gap") + 1)).filter("gap is not null")
     rows = rows.withColumn("is_core", core).withColumn("at", F.col("line_no"))

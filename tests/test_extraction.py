@@ -218,3 +218,42 @@ def test_routes(spark, bank, layout, want):
     from tallybook.sources.catalog import route
     df = spark.createDataFrame([(bank, layout)], "bank_id string, layout string")
     assert route(df).first().rule_set == want
+
+
+def test_stone_sorts_a_page_once(spark):
+    """A task holds one sorted copy of its lines; pages with anchors and lines of every kind are in the plain form below."""
+    import random
+
+    from tallybook.operators.extract_lines import extract_stone
+    rng = random.Random(7)
+    kinds = ["01/03/2025 Entrada Loja 10,00 20,00", "02/03/2025 Saída Tarifa 1,00 19,00", "03/03/2025 sem valores", "texto {}", "nota {}", "R$ 120,00 a parte", "SALDO do dia", "  "]
+    rows = [(f"f{f}", 1, i, rng.choice(kinds).format(i)) for f in range(60) for i in range(25)]
+    out = extract_stone(spark.createDataFrame(rows, "file string, page_no int, line_no int, text string"), 2025)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") <= 1
+    want = []
+    for f in range(60):
+        lines = [(r[2], r[3].strip()) for r in rows if r[0] == f"f{f}" and r[3].strip()]
+        anchors = [i for i, (_, t) in enumerate(lines) if t[:2].isdigit()]
+        takes = {i: "Entrada" in lines[i][1] for i in anchors}
+        memo = {i: [(i, "Loja" if takes[i] else "Tarifa")] for i in anchors if "sem valores" not in lines[i][1]}
+        for i, (_, t) in enumerate(lines):
+            if i in anchors:
+                continue
+            up, down = max((a for a in anchors if a < i), default=None), min((a for a in anchors if a > i), default=None)
+            if up is not None and takes[up] and i - up <= 2 and not any("," in lines[x][1] for x in range(up + 1, i + 1)):
+                memo[up].append((i, t))
+            elif down is not None and takes[down] and down - i <= 3 and not any("," in lines[x][1] or "SALDO" in lines[x][1] for x in range(i, down)):
+                memo[down].append((i, t))
+        want += [(f"f{f}", lines[i][0], " ".join(t for _, t in sorted(m))) for i, m in memo.items()]
+    assert sorted((r.file, r.line_no, r.memo) for r in out.collect()) == sorted(want)
+
+
+def test_strip_takes_off_what_unicode_calls_white_space(spark):
+    from pyspark.sql import functions as F
+
+    from tallybook.functions.scalars import strip
+    texts = [f"{chr(c)}a{chr(c)}b{chr(c)}" for c in [*range(0x2000), *range(0x2000, 0x3100), 0xFEFF]] + ["", " \n\r\n", "x \r\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(~strip("t").eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).collect() == []
+    assert "regexp" not in df.select(strip("t"))._jdf.queryExecution().optimizedPlan().toString()
