@@ -99,3 +99,24 @@ def test_batches_count_once_and_whole(spark, tmp_path):
     [t.start() for t in threads], [t.join() for t in threads]
     assert sorted(b for b, ok in done if ok) == ["b", "c", "d"]
     assert {(r.batch, r.n) for r in C.read_batches(spark, path).groupBy("batch").count().withColumnRenamed("count", "n").collect()} == {(b, 10) for b in "abcd"}
+
+
+def test_state_of_a_unit_needs_no_data_frames(monkeypatch):
+    """A unit with nulls, repeats and two texts for one line; state goes in and comes out as plain values."""
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+    state, run = State(), I._gather(I.PAGE, None)
+    monkeypatch.setattr(pd, "concat", None)
+
+    def feed(*rows):
+        frame = pd.DataFrame(rows, columns=["page_no", "line_no", "text"])
+        return [list(out.itertuples(index=False, name=None)) for out in run(("f", 1), iter([frame[:1], frame[1:]]), state)]
+    assert feed((1, 3, "c"), (1, 1, "b"), (1, 1, "a"), (1, 2, None)) == [[("f", 1, 1, "a"), ("f", 1, 2, None), ("f", 1, 3, "c")]]
+    assert feed((1, 3, "c"), (1, 1, "other")) == []
+    assert [len(out) for out in feed((1, None, "x"), (1, 0, "z"), (1, None, "x"))] == [5]
+    assert state.get == ([1] * 5, [1, 2, 3, 0, None], ["a", None, "c", "z", "x"])
