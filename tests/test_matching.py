@@ -240,3 +240,19 @@ def test_unbounded_combos_send_long_windows_only_to_tasks_of_their_own(spark, mo
         pool = sorted((x[3], x[1]) for x in ledger if x[0] == account)
         hits = (c for size in (2, 3, 4) for c in combinations(pool, size) if abs(abs(sum(x[0] for x in c)) - cents) <= 1)
         assert [r.members for r in got if (r.account_id, r.bank_id) == (account, row_id)] == [[x[1] for x in h] for h in islice(hits, 1)]
+
+
+def test_narrow_pools_are_pruned_by_their_subsets():
+    """Only what a subset without repeats can meet stays: 2 * 50 does not meet 100."""
+    import numpy as np
+    import pandas as pd
+
+    from tallybook.operators import combo as C
+    rng = random.Random(11)
+    pools = [[rng.randint(-60, 90) for _ in range(rng.randint(2, 14))] for _ in range(400)] + [[50, 7], [50, 50], [1]]
+    want = [rng.randint(0, 300) * rng.choice((1, -1)) for _ in range(400)] + [100, 100, 2]
+    got = C._may_fit_each(pd.Series([np.array(p) for p in pools]), pd.Series(want), 4)
+    exact = [any(abs(abs(sum(c)) - abs(w)) <= 1 for size in (2, 3, 4) for c in combinations(p, size)) for p, w in zip(pools, want)]
+    assert got.tolist() == [e if len(p) <= C.NARROW else C._may_fit(np.array(p), abs(w), 4) for e, p, w in zip(exact, pools, want)]
+    assert got[-3:].tolist() == [False, True, False]
+    assert all(g or not e for g, e in zip(got, exact))
