@@ -49,7 +49,8 @@ def to_ofx(txn: DataFrame, keys: list[str], now: str, seq: str = "row_id", bank_
 
     A document is never put together in one task: a large account stays many rows.
     """
-    body = ordinal(ofx_block(txn).withColumn("__blk", id_block(seq)), keys, ["__blk"], [seq], "ord").select(*keys, "ord", "text")
+    # numbered first: what is stored and sorted for the numbers are rows, not their texts
+    body = ofx_block(ordinal(txn.withColumn("__blk", id_block(seq)), keys, ["__blk"], [seq], "ord")).select(*keys, "ord", "text")
     span = txn.groupBy(*keys).agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.count("*").alias("n"))
     status = lambda d: _lines(d, "<STATUS>") + _lines(d + 1, _tag("CODE", "0"), _tag("SEVERITY", "INFO")) + _lines(d, "</STATUS>")
     head = [*map(F.lit, HEADER), F.lit("<OFX>"), *_lines(1, "<SIGNONMSGSRSV1>"), *_lines(2, "<SONRS>"), *status(3),

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.functions.scalars import or_null, parse_date, rx, strip
+from tallybook.functions.scalars import once, or_null, parse_date, rx, strip
 from tallybook.schemas import MONEY
 from tallybook.sources.texts import cp1252, read_records
 
@@ -16,18 +16,19 @@ def _tag(name: str) -> Column:
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
     """One record per transaction block; the text before the first block comes as its own record."""
-    return read_records(spark, path, "<STMTTRN>").withColumn("value", cp1252(F.col("value")))
+    return once(read_records(spark, path, "<STMTTRN>"), ["file", "pos"], cp1252(F.col("value")).alias("value"))
 
 
 def read_ofx(spark: SparkSession, path: str) -> DataFrame:
     """Posted transactions; blocks without a readable date or amount are left out."""
     rows = _records(spark, path).filter(F.col("value").contains("<DTPOSTED>"))
     rows = rows.withColumn("value", F.substring_index("value", "</STMTTRN>", 1))
+    rows = once(rows, ["file", "pos", "value"], parse_date(F.left(_tag("DTPOSTED"), F.lit(8)), "yyyyMMdd").alias("date"),
+                F.replace(_tag("TRNAMT"), F.lit(","), F.lit(".")).try_cast(MONEY).alias("amount")).filter("date is not null and amount is not null")
     return rows.select(
-        "file", F.col("pos").alias("internal_id"), parse_date(F.left(_tag("DTPOSTED"), F.lit(8)), "yyyyMMdd").alias("date"),
-        F.replace(_tag("TRNAMT"), F.lit(","), F.lit(".")).try_cast(MONEY).alias("amount"),
+        "file", F.col("pos").alias("internal_id"), "date", "amount",
         F.coalesce(_tag("MEMO"), F.lit("")).alias("description"), _tag("FITID").alias("fitid"), _tag("CHECKNUM").alias("doc_id"),
-        F.lit("Bank").alias("source")).filter("date is not null and amount is not null")
+        F.lit("Bank").alias("source"))
 
 
 def ofx_accounts(spark: SparkSession, path: str) -> DataFrame:

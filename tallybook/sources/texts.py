@@ -17,10 +17,11 @@ def latin1(raw: Column) -> Column:
 
 
 def cp1252(raw: Column) -> Column:
-    """Bytes as code page 1252; undefined bytes are dropped."""
+    """Bytes as code page 1252; undefined bytes are dropped. Only texts with a letter that differs go through the letter-by-letter translation."""
     undefined = [c for c in range(0x80, 0xA0) if c not in CP1252]
     source = "".join(map(chr, [*CP1252, *undefined]))
-    return F.translate(latin1(raw), source, "".join(CP1252.values()))
+    plain = latin1(raw)
+    return F.when(plain.rlike(r"[\x80-\x9f]"), F.translate(plain, source, "".join(CP1252.values()))).otherwise(plain)
 
 
 def read_records(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
