@@ -256,3 +256,29 @@ def test_narrow_pools_are_pruned_by_their_subsets():
     assert got.tolist() == [e if len(p) <= C.NARROW else C._may_fit(np.array(p), abs(w), 4) for e, p, w in zip(exact, pools, want)]
     assert got[-3:].tolist() == [False, True, False]
     assert all(g or not e for g, e in zip(got, exact))
+
+
+def test_timeline_is_gone_through_once(spark):
+    """First dates of groups, and the sheets with their totals, each take the timeline's rows one time."""
+    from pyspark.sql import functions as F
+
+    from tallybook.functions import words as W
+    from tallybook.operators import report as R
+    from tallybook.operators import view as V
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(cents):
+        read.add(1)
+        return cents
+    day = datetime.date(2024, 1, 5)
+    rows = [(1, i, day - datetime.timedelta(i % 3), 100 + i, f"d{i}", W.BANK_SRC if i % 2 else W.LEDGER_SRC, W.MATCHED if i < 4 else W.BANK_ONLY if i % 2 else W.LEDGER_ONLY,
+             f"S-{i // 2}" if i < 4 else "-1") for i in range(9)]
+    view = spark.createDataFrame(rows, "account_id long, row_id long, date date, cents long, description string, source string, status string, group_id string")
+    view = view.withColumn("cents", seen.asNondeterministic()("cents"))
+    dated = {r.row_id: r.cluster_date for r in V.with_cluster_date(view, ["account_id"]).collect()}
+    assert dated == {r[1]: min(x[2] for x in rows if x[7] == r[7]) if r[7] != "-1" else r[2] for r in rows}
+    assert read.value == len(rows)
+    sheets = R.report_sheets(view, ["account_id"]).collect()
+    assert sum(r.Valor for r in sheets if r["Descrição"] == "TOTAL:") == sum(r[3] for r in rows) and len(sheets) == len(rows) + 3
+    assert read.value == 2 * len(rows)
