@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.scalars import flex_date
 from tallybook.operators import extract_words as V
+from tallybook.operators import match as M
+from tallybook.operators.ordering import id_block
 
 
 def plan(df) -> str:
@@ -36,3 +38,22 @@ def test_smart_balances_judge_no_amounts(spark, words):
 def test_smart_balances_of_one_line_with_both(spark, words):
     data = words((30, 100, "05/03/2024"), (40, 100, "SALDO"), (400, 100, "7,00"), (500, 100, "12,50"), (510, 100, "D"))
     assert [(float(r.bal_start), float(r.bal_end)) for r in V.smart_balances(data, 2020).collect()] == [(-12.5, 12.5)]
+
+
+def test_any_sign_rows_of_a_class_far_apart(spark):
+    """A class whose rows come from many stretches of ids: some blocks, not one block a row, and one join for place and run."""
+    day, step = datetime.date(2024, 1, 1), 150_000
+    ledger = [(1, day + datetime.timedelta(i % 4), 500 if i % 3 else -500, i * step) for i in range(40)] + [(None, day, 500, 7), (1, None, 500, 8)]
+    bank = [(1, day + datetime.timedelta(i % 5), -500 if i % 4 else 500, i * step + 1) for i in range(36)] + [(None, day, 500, 9), (1, None, 500, 10)]
+    schema = "account_id int, date date, cents bigint, row_id bigint"
+    out = M.match_any_sign(spark.createDataFrame(bank, schema), spark.createDataFrame(ledger, schema), ["account_id"])
+    free, want = sorted(x for x in ledger if x[0] and x[1]), set()
+    for b in sorted((x for x in bank if x[0] and x[1]), key=lambda x: x[1:]):
+        near = sorted((x for x in free if abs((x[1] - b[1]).days) <= 3), key=lambda x: (x[2] != b[2], x[1], x[3]))
+        if near:
+            free.remove(near[0])
+            want.add((b[3], near[0][3], b[2] != near[0][2]))
+    assert {(r.bank_id, r.ledger_id, r.opposite_sign) for r in out.collect()} == want
+    blocks = spark.range(0, 60 * step, step).select(id_block("id").alias("b")).distinct().count()
+    assert blocks <= 9
+    assert plan(out).count("Join Inner") <= 5
