@@ -3,9 +3,10 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from tallybook.functions.scalars import flex_date
+from tallybook.functions.scalars import flex_date, has_word
 from tallybook.operators import extract_words as V
 from tallybook.operators import match as M
+from tallybook.operators import ordering
 from tallybook.operators.ordering import id_block
 
 
@@ -57,3 +58,21 @@ def test_any_sign_rows_of_a_class_far_apart(spark):
     blocks = spark.range(0, 60 * step, step).select(id_block("id").alias("b")).distinct().count()
     assert blocks <= 9
     assert plan(out).count("Join Inner") <= 5
+
+
+def test_sicoob_writes_no_words(spark, words, monkeypatch):
+    """What the carry writes and shuffles is one plain row a line."""
+    seen = []
+    monkeypatch.setattr(ordering, "stored", lambda df: (seen.append(df.dtypes), df)[1])
+    data = words((30, 100, "05/03/2024"), (100, 100, "PIX"), (450, 100, "1.234,56D"), (530, 100, "7,00D"), (100, 112, "REF"), (100, 124, "TED"), (450, 124, "-5,00C"),
+                 (100, 136, "SALDO"), (110, 136, "DO"), (120, 136, "DIA"), (530, 136, "9,00*"))
+    got = sorted((r.line_no, str(r.date), float(r.amount), r.memo, r.balance and float(r.balance)) for r in V.extract_sicoob(data).collect())
+    assert got == [(100, "2024-03-05", -1234.56, "PIX REF", -7.0), (124, "2024-03-05", 5.0, "TED", None)]
+    assert seen and not [t for t in seen[0] if t[1].startswith("array") or t[0] in ("words", "text")]
+
+
+def test_has_word_finds_what_contains_finds(spark):
+    texts = ["", "x", "saldo.", "mod. 1", "modx1", "S A L D O", "a-b", "péri: [x] ^", "PÁGINA", "página", "]", "\nSAC:"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for words_ in (["SALDO", "MOD.", "S A L D O"], ["-", "]", "^", "PÁGINA"], ["SAC:"], ["A-B", "PIX +"]):
+        assert [r.h for r in df.select(has_word("t", words_).alias("h")).collect()] == [any(w in t.upper() for w in words_) for t in texts]
