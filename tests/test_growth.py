@@ -8,6 +8,7 @@ from tallybook.operators import extract_words as V
 from tallybook.operators import match as M
 from tallybook.operators import ordering
 from tallybook.operators.ordering import id_block
+from tallybook.sources.catalog import detect_layout, route, shipped_layouts
 
 
 def plan(df) -> str:
@@ -76,3 +77,11 @@ def test_has_word_finds_what_contains_finds(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for words_ in (["SALDO", "MOD.", "S A L D O"], ["-", "]", "^", "PÁGINA"], ["SAC:"], ["A-B", "PIX +"]):
         assert [r.h for r in df.select(has_word("t", words_).alias("h")).collect()] == [any(w in t.upper() for w in words_) for t in texts]
+
+
+def test_detection_compares_folded_texts(spark):
+    """A page is folded once; a comparison by collation walked each text again for each keyword."""
+    pages = spark.createDataFrame([("a", 1, "Agencia 1\nLOTE 2"), ("b", 1, "extrato por periodo"), ("c", 1, "x")], "file string, page_no int, text string")
+    out = route(detect_layout(pages, shipped_layouts()))
+    assert {r.file: r.rule_set for r in out.collect()} == {"a": "bb", "b": "cef", "c": None}
+    assert "collat" not in plan(out).lower()
