@@ -10,7 +10,7 @@ from tallybook.operators import extract_lines as X
 from tallybook.operators import extract_words as V
 from tallybook.operators.balance import file_balances
 from tallybook.operators.clean import grep_context
-from tallybook.plans.fixtures import date_br, movements, table, to_lines, to_words
+from tallybook.plans.fixtures import date_br, dealt, movements, table, to_lines, to_words
 from tallybook.plans.extract import extract_statements
 from tallybook.plans.registry import MOVES, query
 from tallybook.sources.catalog import bank_label, bank_name, detect_layout, identify, route, shipped_layouts, with_sublayout
@@ -382,7 +382,7 @@ def pages_text(spark, sf) -> DataFrame:
     known = cust.select(F.concat(F.lit("c"), c("c_custkey").cast("string")).alias("file"), F.lit(1).alias("page_no"),
                         F.concat_ws("\n", head, c("c_name"), c("c_mktsegment")).alias("text"))
     docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("file"), F.lit(1).alias("page_no"), "text")
-    return known.unionByName(docs)
+    return dealt(known.unionByName(docs), cust.count() + docs.count(), "file")
 
 
 PAGES = """WITH pages_t AS (SELECT 'c' || c_custkey AS file, ['Relatório SICOOB','coop cred central','Total Disponivel em conta','INTERNET BANKING','EXTRATO POR PERIODO','conta stone',

@@ -1,6 +1,8 @@
 """What a step must not do for each row, read off its plan, and that its results stay."""
 import datetime
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tallybook.functions.scalars import flex_date, has_word
@@ -8,6 +10,7 @@ from tallybook.operators import extract_words as V
 from tallybook.operators import match as M
 from tallybook.operators import ordering
 from tallybook.operators.ordering import id_block
+from tallybook.plans import fixtures, queries_text
 from tallybook.sources.catalog import detect_layout, route, shipped_layouts
 
 
@@ -85,3 +88,17 @@ def test_detection_compares_folded_texts(spark):
     out = route(detect_layout(pages, shipped_layouts()))
     assert {r.file: r.rule_set for r in out.collect()} == {"a": "bb", "b": "cef", "c": None}
     assert "collat" not in plan(out).lower()
+
+
+def test_pages_of_tables_in_one_piece_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """Each table is one row group, which one task reads: the work on its texts is not that task's alone."""
+    n = 4_000
+    customers = pa.table({"c_custkey": range(n), "c_name": ["Customer"] * n, "c_mktsegment": ["BUILDING"] * n})
+    pq.write_table(customers, tmp_path / "customer.parquet")
+    pq.write_table(pa.table({"doc_id": range(n), "text": [None, "", "Agência 1, lote 2", "x"] * (n // 4)}), tmp_path / "documents.parquet")
+    monkeypatch.setattr(fixtures, "ROWS_PER_TASK", n // 10)
+    pages = queries_text.pages_text(spark, str(tmp_path))
+    held = [r["count"] for r in pages.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == 2 * n and max(held) < n / 5
+    rules = {r.rule_set: r["count"] for r in queries_text.l4(spark, str(tmp_path)).where("file like 'd%'").groupBy("rule_set").count().collect()}
+    assert rules == {"bb": n // 4, None: n * 3 // 4}
