@@ -1,8 +1,10 @@
 """Layout table, bank names, activity log, file catalogue."""
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,21 +105,22 @@ def identify(pages: DataFrame, layouts: list[dict] | DataFrame) -> DataFrame:
     return first_pages(pages).select("file", F.explode(F.array_distinct(names)).alias("layout"))
 
 
+@cache
 def _plain_letters() -> tuple[str, str]:
-    """Letters with marks in upper case, and the letters without, by the rule: decompose, drop the marks."""
+    """Letters with marks in upper case, then the marks; the letters without, by the rule: decompose, drop the marks. A mark has no counterpart: ``translate`` drops it."""
     pairs = {}
     for code in range(0xC0, 0x2000):
         plain = "".join(x for x in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(x) != "Mn")
         if len(plain) == 1 and plain != chr(code):
             pairs[chr(code)] = plain
-    return "".join(pairs), "".join(pairs.values())
+    marks = "".join(chr(x) for x in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(x)) == "Mn")
+    return "".join(pairs) + marks, "".join(pairs.values())
 
 
 def fold(c: Column | str) -> Column:
-    """Upper case, without accents."""
+    """Upper case, without accents. A text is put in upper case once; letters and marks of those that are not ASCII change in one walk."""
     upper = F.upper(col(c))
-    plain = F.regexp_replace(F.translate(upper, *_plain_letters()), r"\p{Mn}+", "")
-    return F.when(upper.rlike(r"[^\x00-\x7F]"), plain).otherwise(upper)
+    return F.when(F.octet_length(col(c)) > F.length(col(c)), F.translate(upper, *_plain_letters())).otherwise(upper)
 
 
 def _grams(text: Column, lengths: list[int]) -> Column:

@@ -1,5 +1,6 @@
 """What a step must not do for each row, read off its plan, and that its results stay."""
 import datetime
+import unicodedata
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -11,7 +12,7 @@ from tallybook.operators import match as M
 from tallybook.operators import ordering
 from tallybook.operators.ordering import id_block
 from tallybook.plans import fixtures, queries_text
-from tallybook.sources.catalog import detect_layout, route, shipped_layouts
+from tallybook.sources.catalog import bank_label, detect_layout, fold, route, shipped_layouts
 
 
 def plan(df) -> str:
@@ -102,3 +103,18 @@ def test_pages_of_tables_in_one_piece_are_dealt_over_tasks(spark, tmp_path, monk
     assert sum(held) == 2 * n and max(held) < n / 5
     rules = {r.rule_set: r["count"] for r in queries_text.l4(spark, str(tmp_path)).where("file like 'd%'").groupBy("rule_set").count().collect()}
     assert rules == {"bb": n // 4, None: n * 3 // 4}
+
+
+def test_fold_walks_a_text_once(spark):
+    """No regular expression: each decoded the text again, and one of them had it put in upper case twice."""
+    texts = ["Lançamentos do PERÍODO", "lanc\u0327amentos peri\u0301odo", "Straße, ﬁm, ſaldo, ı", "\u0345x\u0344", "漢字🙂 A\U0001e000\U000e0100b", "e\u0301\u0302\u20d0", "Ὰ ᾼ Ώ", "plain 1\n", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fold("t").alias("f"))
+    want = [t and "".join(x for x in unicodedata.normalize("NFD", t.upper()) if unicodedata.category(x) != "Mn") for t in texts]
+    assert [r.f for r in df.orderBy("i").collect()] == want
+    assert "rlike" not in plan(df).lower() and "regexp" not in plan(df).lower()
+
+
+def test_bank_label_of_marked_texts(spark):
+    pages = spark.createDataFrame([("a", 1, "AGE\u0302NCIA 1\nlo\u0301te"), ("b", 1, "Extrato por perı\u0301odo"), ("c", 1, "\u0301")], "file string, page_no int, text string")
+    out = detect_layout(pages, shipped_layouts()).select("file", bank_label("bank_id").alias("label"))
+    assert [r.label[-5:] for r in out.orderBy("file").collect()] == ["(001)", "(104)", "ctado"]
