@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tallybook.sources.catalog import detect_layout, identify
@@ -50,3 +52,23 @@ def test_only_pieces_that_an_anchor_may_have_leave_a_page(spark):
     assert all(piece in texts[page] for page, piece in got)
     pieces = {(p, t[i:i + q]) for p, t in enumerate(texts) for q in (3, 8, 9) for i in range(len(t) - q + 1)}
     assert len(got) < len(pieces) / 100
+
+
+def test_a_large_table_marks_few_pieces_by_chance(spark):
+    from tallybook.sources.catalog import _marked, _marked_pieces
+    words = [f"{i * 7_654_321 % 10**8:08}" for i in range(20_000)]
+    anchors = spark.createDataFrame([(w, w) for w in words], "word string, piece string")
+    any_of = random.Random(1)
+    texts = ["".join(any_of.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)) for _ in range(4)]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page long, text string").coalesce(1)
+    # no text has a digit, so what leaves is marked by chance
+    assert pages.mapInArrow(_marked_pieces([8], *_marked(anchors)), "page long, piece string").count() < 10
+
+
+def test_rows_of_one_file_and_null_files(spark):
+    rows = [("f", 1, "conta um"), ("f", 1, "conta dois"), (None, 1, "conta um"), (None, 1, "conta um"), ("g", 1, "nada"), ("g", 2, "conta um")]
+    pages = spark.createDataFrame(rows, "file string, page_no int, text string")
+    layouts = table_of(spark, [("1", "one", ["conta", "um"]), ("2", "two", ["dois"]), ("3", "both", ["um", "dois"])])
+    assert sorted(map(tuple, identify(pages, layouts).collect()), key=str) == sorted([("f", "one"), ("f", "two"), (None, "one")], key=str)
+    got = sorted(((r.file, r.layout) for r in detect_layout(pages, layouts).collect()), key=str)
+    assert got == sorted([("f", "one"), ("f", "one"), (None, "one"), (None, "one"), ("g", None)], key=str)
