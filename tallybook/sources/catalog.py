@@ -27,6 +27,7 @@ MARK_BITS = 28         # marks of anchors' hashes: 32 MB at most
 PART_BITS = 15         # of a hash's marks; as many as a bitmap of Spark has
 MARKS = (0, 12, 24, 36)    # bits of a hash that say where in a part its marks are
 MOST_HELD = 1 << 17     # keywords, and pieces of them, whose counts are known to the driver
+NAMES = 128            # of a kind of layouts that are written by one task
 
 
 def read_layouts(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
@@ -104,13 +105,27 @@ def detect_layout(pages: DataFrame, layouts: list[dict] | DataFrame) -> DataFram
 def identify(pages: DataFrame, layouts: list[dict] | DataFrame) -> DataFrame:
     """L2: (file, layout) for every layout whose keywords all occur exactly as written."""
     if isinstance(layouts, DataFrame):
-        kinds = stored(_kinds(layouts, col, F.collect_set(F.struct(F.col("name").alias("layout"))).alias("names")))
-        return fitting(pages, kinds, col).select("file", F.inline("names")).distinct()
+        return _named(pages, layouts)
     names = F.array_compact(F.array(*[F.when(_all([F.col("text").contains(k) for k in x["keywords"]]), F.lit(x["name"]))
                                       for x in layouts]))
     return first_pages(pages).select("file", F.explode(F.array_distinct(names)).alias("layout"))
 
 
+def _named(pages: DataFrame, layouts: DataFrame) -> DataFrame:
+    """L2 over a table. The result has a row for each file and name, many more than files and kinds: names of one kind only, which cannot repeat, are written as they are found, by stretches of a kind's names."""
+    kinds = _kinds(layouts, col, F.collect_set(F.struct("name")).alias("names")).withColumn("kind", F.monotonically_increasing_id())
+    kinds = stored(kinds.withColumn("parts", F.ceil(F.size("names") / NAMES)))
+    fits = stored(fitting(pages, kinds.drop("names"), col).distinct())
+    names = kinds.select("kind", "parts", F.inline("names"))
+    held = stored(names.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("kind", "parts")).alias("of")))
+    alone = (held.where("n = 1").select("of.kind", F.pmod(F.crc32(F.coalesce("name", F.lit("")).cast("binary")), F.col("of.parts")).alias("part"), "name")
+             .groupBy("kind", "part").agg(F.collect_list(F.struct("name")).alias("names")))
+    once_each = fits.select("file", "kind", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")).join(alone, ["kind", "part"]).select("file", F.inline("names"))
+    shared = join_whole(names.select("kind", "name"), held.where("n > 1").select("name"), ["name"])
+    repeated = fits.select("file", "kind").join(shared, "kind").select("file", "name").distinct()
+    return once_each.unionByName(repeated).withColumnRenamed("name", "layout")
+
+
 @cache
 def _plain_letters() -> tuple[str, str]:
     """Letters with marks in upper case, then the marks; the letters without, by the rule: decompose, drop the marks. A mark has no counterpart: ``translate`` drops it."""

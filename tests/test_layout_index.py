@@ -65,6 +65,28 @@ def test_a_large_table_marks_few_pieces_by_chance(spark):
     assert pages.mapInArrow(_marked_pieces([8], *_marked(anchors)), "page long, piece string").count() < 10
 
 
+def records_shuffled(df):
+    """Rows that all exchanges of the query wrote."""
+    def of(node):
+        kind, metrics = node.getClass().getSimpleName(), node.metrics()
+        own = metrics.apply("shuffleRecordsWritten").value() if metrics.contains("shuffleRecordsWritten") and kind == "ShuffleExchangeExec" else 0
+        below = [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+        return own + sum(map(of, below))
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_rows_of_files_and_names_are_not_shuffled(spark):
+    k = 300
+    pages = spark.createDataFrame([(f"f{i}", 1, "conta corrente\nbanco das linhas") for i in range(k)], "file string, page_no int, text string")
+    layouts = [(f"{i:06}", f"L{i}", ["banco das linhas", "conta"]) for i in range(k)]
+    # a name of two kinds, twice in one of them, and none
+    layouts += [("a", "L0", ["corrente"]), ("b", "L0", ["corrente"]), ("c", None, ["corrente"]), ("d", None, ["conta"]), ("e", "absent", ["conta", "poupança"])]
+    found = identify(pages, table_of(spark, layouts))
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(f"f{i}", n) for i in range(k) for n in [*(f"L{j}" for j in range(k)), None]}
+    assert records_shuffled(found) < k * k / 5
+
+
 def test_rows_of_one_file_and_null_files(spark):
     rows = [("f", 1, "conta um"), ("f", 1, "conta dois"), (None, 1, "conta um"), (None, 1, "conta um"), ("g", 1, "nada"), ("g", 2, "conta um")]
     pages = spark.createDataFrame(rows, "file string, page_no int, text string")
