@@ -118,3 +118,14 @@ def test_bank_label_of_marked_texts(spark):
     pages = spark.createDataFrame([("a", 1, "AGE\u0302NCIA 1\nlo\u0301te"), ("b", 1, "Extrato por perı\u0301odo"), ("c", 1, "\u0301")], "file string, page_no int, text string")
     out = detect_layout(pages, shipped_layouts()).select("file", bank_label("bank_id").alias("label"))
     assert [r.label[-5:] for r in out.orderBy("file").collect()] == ["(001)", "(104)", "ctado"]
+
+
+def test_sums_that_grow_with_the_rows_are_not_sent_to_the_driver(spark):
+    from tallybook.operators.match import one_to_one_runs, tag_side
+    from tallybook.operators.ordering import id_block, ordinal
+    side = spark.range(2_000).selectExpr("id AS row_id", "id % 7 AS account_id", "date_add(date '2024-01-01', cast(id % 300 AS int)) AS date", "id % 11 AS cents")
+    placed = ordinal(side.withColumn("blk", id_block(bits=4)), ["account_id"], ["date", "blk"], ["row_id"], "pos")
+    tagged = tag_side(side, one_to_one_runs(side, side, ["account_id"], tol=None), ["account_id"], "l")
+    for df in (placed, tagged):
+        assert df.count() == 2_000 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.account_id, r.pos) for r in placed.collect()) == [(a, i + 1) for a in range(7) for i in range(len(range(a, 2_000, 7)))]
