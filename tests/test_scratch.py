@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from tallybook.operators.clean import dedup_statement
 from tallybook.plans.extract import extract_statements
 from tallybook.session import CLEANUP, shared_dir, stored
 from tallybook.sources.catalog import shipped_layouts
@@ -35,3 +36,11 @@ def test_page_texts_go_and_words_of_a_page_without_text_are_read(spark):
     assert {(r.file, r.method, r.tx_count) for r in out.status.collect()} == {("s", "Text", 2), ("x", "unknown", 0)}
     left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - there
     assert any(x.startswith("lines-") for x in left) and not any(x.startswith("pages-") for x in left)
+
+
+def test_of_rows_in_one_place_the_smallest_stays(spark):
+    rows = [("f", 1, 2, "a", "7"), ("f", 1, 2, "a", None), ("f", 1, 3, "a ", "1"), ("f", None, 1, "b", "2"), (None, 1, 1, "a", "3"), (None, 1, 1, "a", "3")]
+    txn = spark.createDataFrame(rows, "file string, page_no int, line_no int, memo string, doc_id string").selectExpr(
+        "file", "page_no", "line_no", "date '2024-01-01' AS date", "cast(1 AS decimal(18,2)) AS amount", "memo", "doc_id", "cast(null AS decimal(18,2)) AS balance")
+    got = {(r.file, r.page_no, r.line_no, r.memo, r.doc_id, r.internal_id) for r in dedup_statement(txn).collect()}
+    assert got == {("f", 1, 2, "a", None, 0), ("f", None, 1, "b", "2", 1), (None, 1, 1, "a", "3", 0)}
