@@ -129,3 +129,12 @@ def test_sums_that_grow_with_the_rows_are_not_sent_to_the_driver(spark):
     for df in (placed, tagged):
         assert df.count() == 2_000 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.account_id, r.pos) for r in placed.collect()) == [(a, i + 1) for a in range(7) for i in range(len(range(a, 2_000, 7)))]
+
+
+def test_sheets_of_rows_with_one_id(spark):
+    from tallybook.operators.report import report_sheets
+    rows = [(1, "S-9"), (1, "S-10"), (1, "S-8"), (2, "S-11"), (0, "S-7")]
+    view = spark.createDataFrame(rows, "row_id long, group_id string").selectExpr(
+        "1L AS account_id", "row_id", "date '2024-01-01' AS date", "5L AS cents", "'x' AS description", "'Banco' AS source", "'Conciliado' AS status", "group_id")
+    out = report_sheets(view.repartition(3), ["account_id"]).where("Grupo is not null")
+    assert [r.Grupo for r in sorted(out.collect(), key=lambda r: r.ord)] == ["S-7", "S-10", "S-9", "S-8", "S-11"]
